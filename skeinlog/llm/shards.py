@@ -3,12 +3,13 @@
 Every row has a 128-bit key: the hash of its text, then the hash of its doc_id. Cutting the key order into pieces of equal
 bytes needs splitters; they are found by counting. Each round counts, over all partitions, the exact bytes below a grid of
 candidate boundaries inside the key ranges that still hold a splitter, and moves every splitter into one cell of that grid.
-Rounds end once no open cell holds more than the tolerance, or the key has no bits left. Then the rows cross the network once,
+Rounds end once every open cell holds no more than the tolerance or a single row, or the key has no bits left. Then the rows cross the network once,
 straight into their piece, and are numbered there; a piece's first slot is the count of rows in the pieces before it.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,11 +59,11 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> tuple[list[tuple
             on = [_floor(F.col("__k1"), width) == F.col("__a")]
             if level > per:
                 on.append(_floor(F.col("__k2"), (level - per) * BITS) == F.col("__b"))
-            small = F.broadcast(spark.createDataFrame(shown, "__cell int, __a long, __b long"))  # fewer rows than parts
+            small = F.broadcast(_rows(spark, shown, "__cell int, __a bigint, __b bigint"))  # fewer rows than parts
             rows = keys.join(small, on[0] if len(on) == 1 else on[0] & on[1])
         got = (
             rows.groupBy(outer.alias("cell"), _floor(part, min(bits, KEY_BITS)).alias("at"))
-            .agg(F.sum("__size").alias("bytes"))
+            .agg(F.sum("__size").alias("bytes"), F.count("*").alias("n"))
             .orderBy("cell", "at")
             .collect()
         )
@@ -74,14 +75,14 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> tuple[list[tuple
         new: dict[tuple[int, int], list] = {}
         by: dict[int, list] = {}
         for r in got:
-            by.setdefault(r.cell, []).append((r["at"], r.bytes))
+            by.setdefault(r.cell, []).append((r["at"], r.bytes, r.n))
         limit = tolerance * total / parts
         for i, cell in enumerate(sorted(cells)):
             for p, goal, below in cells[cell]:
-                for at, size in by[i]:
+                for at, size, n in by[i]:
                     if below + size >= goal:
                         edge = (at, low) if level < per else (cell[0], at)
-                        if size <= limit or level == 2 * per - 1:
+                        if size <= limit or n == 1 or level == 2 * per - 1:
                             # the nearer side of the cell; its upper side is the next cell's lower one
                             done[p] = (edge, below + size - goal < goal - below, min(bits, KEY_BITS), level)
                         else:
@@ -115,6 +116,15 @@ def _listed(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from values that the driver holds."""
+    names = [x.split()[0] for x in schema.split(", __")]
+    names = [n if n.startswith("__") else f"__{n}" for n in names]
+    text = json.dumps([dict(zip(names, [[{"a": a, "b": b} for a, b in x] if isinstance(x, list) else x for x in r], strict=True)) for r in rows])
+    kind = "array<struct<" + ", __".join(x.replace(" ", ": ", 1) for x in schema.split(", __")) + ">>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+
+
 def _piece(marks: list[tuple[int, int]], spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Adds __piece: the number of splitters that are not above the row's key. A cell of the first grid that holds splitters is
     looked up in a table of at most one row for each of them; in all others the number follows from the cell."""
@@ -130,9 +140,7 @@ def _piece(marks: list[tuple[int, int]], spark: SparkSession, rows: DataFrame) -
     start = F.element_at(_listed(base, "int"), F.col("__cell") + 1)
     if not inner:
         return rows.withColumn("__piece", start).drop("__cell")
-    found = spark.createDataFrame(
-        [(c, [{"a": a, "b": b} for a, b in v]) for c, v in inner.items()], "__cell int, __marks array<struct<a: bigint, b: bigint>>"
-    )
+    found = _rows(spark, [(c, v) for c, v in inner.items()], "__cell int, __marks array<struct<a: bigint, b: bigint>>")
     more = F.size(F.filter("__marks", lambda m: m <= F.struct(F.col("__k1").alias("a"), F.col("__k2").alias("b"))))
     return rows.join(F.broadcast(found), "__cell", "left").withColumn("__piece", start + F.when(F.col("__marks").isNotNull(), more).otherwise(0)).drop("__cell", "__marks")
 
