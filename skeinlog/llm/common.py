@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the batches that go to Python small in bytes, since a text may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 24))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

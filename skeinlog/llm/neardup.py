@@ -4,9 +4,10 @@ Rows of equal shingle sets are one node. Nodes that agree in a band of their sig
 compared a batch of hashes at a time, and it is dropped as soon as the posterior probability that its similarity reaches the
 threshold falls under the chosen miss probability. What survives is decided on the full shingle sets.
 
-In a bucket every node is first held against the smallest one only. Links found that way join nearly all of a group of copies;
-then only the pairs of a bucket that still lie in different components are compared. Thus a group is not expanded into pairs, and
-no pair of a bucket that could still join two components is left out.
+In a bucket every node is first held against the smallest one only, its center. Links found that way join nearly all of a group of
+copies; then the nodes of a center that still lie outside of its main component are held against all its nodes, in blocks that
+return links only. Thus a group is not expanded into pairs, and no pair of a bucket that could still join two components is left
+out.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm.common import table, written
+from skeinlog.llm.common import bounded_batches, table, written
 from skeinlog.llm.components import components
 
 ROWS, BANDS = 6, 48  # 1 - (1 - 0.75 ** 6) ** 48: fewer than 1 link of similarity 0.75 in 10,000 meets in no band
@@ -28,6 +30,7 @@ BATCH = 32
 WIDTH, NUM, DEN = 5, 75, 100
 #: A candidate is dropped once its posterior probability of being a link is under this.
 MISS = 1e-6
+BLOCK = 16_384  # shingles in a block, at least
 CACHE = 400_000  # words whose hash a worker keeps
 
 _rng = np.random.default_rng(75)
@@ -183,14 +186,61 @@ def _two(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The links among pairs (a, b)."""
-    likely = written(_two(pairs, nodes, "bytes").mapInArrow(_likely, "a bigint, b bigint"), f"likely-{name}")
-    ids = written(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "set_hi", "set_lo"), "node"), f"ids-{name}")
+def _sets_of(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, set) for the nodes in ids."""
+    ids = written(ids.select("node").distinct().join(nodes.select("node", "set_hi"), "node"), "ids")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(ids.select("node"), "node", "left_semi")
     sets = texts.mapInArrow(_sets, "node bigint, set_hi bigint, set binary")
-    sets = written(sets.join(ids.select("node", "set_hi"), ["node", "set_hi"], "left_semi").dropDuplicates(["node"]), f"sets-{name}")
-    return written(_two(likely, sets, "set").mapInArrow(_linked, "a bigint, b bigint").distinct(), f"links-{name}")
+    return written(sets.join(ids, ["node", "set_hi"], "left_semi").dropDuplicates(["node"]).drop("set_hi"), "sets")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links among pairs (a, b)."""
+    likely = written(_two(pairs, nodes, "bytes").mapInArrow(_likely, "a bigint, b bigint"), "likely")
+    sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
+    return written(_two(likely, sets, "set").mapInArrow(_linked, "a bigint, b bigint").distinct(), "links")
+
+
+def _block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The links between a block of asking rows and a block of rows of other components, from one index of the latter's shingles."""
+    ask, data = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    sets = [np.frombuffer(x, np.uint64) for x in data["set"]]
+    size = np.array([len(x) for x in sets], np.int64)
+    ids, comps = data["node"].to_numpy(np.int64), data["component"].to_numpy(np.int64)
+    out = []
+    if len(sets) and len(ask):
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        for node, comp, x in zip(ask["node"], ask["component"], ask["set"], strict=True):
+            x = np.frombuffer(x, np.uint64)
+            lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+            length = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            hit = (DEN * common >= NUM * (len(x) + size - common)) & (comps != comp)
+            out += [(int(node), int(i)) for i in ids[hit]]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _remaining(met: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (a, b) that join components, among nodes that met one center.
+
+    The nodes of a center that lie outside of its most frequent component ask; all its nodes answer. Both are dealt into blocks of
+    about equal numbers of shingles, and each pair of blocks is one group, which returns links only."""
+    rows = written(met.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "rows")
+    by = rows.groupBy("center", "component").agg(F.sum("n").alias("s"))
+    by = by.groupBy("center").agg(F.max(F.struct("s", "component"))["component"].alias("main"), F.sum("s").alias("all"), F.max("s").alias("most"), F.count("*").alias("parts"))
+    by = by.where("parts > 1").withColumn("asked", F.col("all") - F.col("most"))
+    limit = F.least(F.greatest(F.sqrt(F.col("all") * F.col("asked") / 256), F.lit(BLOCK)), F.lit(1 << 22))
+    by = by.select("center", "main", F.ceil(F.col("all") / limit).alias("nd"), F.ceil(F.col("asked") / limit).alias("na"))
+    rows = written(rows.join(written(by, "mixed"), "center"), "mixed-rows")
+    count = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    data = rows.select("center", "node", "component", F.lit(False).alias("asks"), F.explode(count("na")).alias("i"), mine("nd").alias("j"))
+    ask = rows.where("component <> main").select("center", "node", "component", F.lit(True).alias("asks"), mine("na").alias("i"), F.explode(count("nd")).alias("j"))
+    dealt = data.unionAll(ask).join(_sets_of(rows, nodes, docs), "node")
+    return written(dealt.groupBy("center", "i", "j").applyInPandas(_block, "a bigint, b bigint").distinct(), "more")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -202,6 +252,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not, the text with the smallest hash of its set stands for the id in comparisons. Other columns are not read. An empty table gives an
     empty result.
     """
+    bounded_batches(docs.sparkSession)
     signed = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_sign, SIGNED), "signed")
     whole = signed.where("n_shingles > 0 and doc_id is not null")
     groups = written(whole.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node")), "groups")
@@ -212,21 +263,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
     buckets = written(buckets, "buckets")
-    met = written(keys.join(buckets, "key").select("key", "center", "node", "n", "size"), "met")
-    close = f"least({{0}}, {{1}}) * {DEN} >= greatest({{0}}, {{1}}) * {NUM}"
-    star = met.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(star, nodes, docs, "star")
+    met = written(keys.join(buckets.drop("size"), "key").where("node <> center").select("center", "node", "n").distinct(), "met")
+    links = _verified(met.select(F.col("center").alias("a"), F.col("node").alias("b")), nodes, docs)
     label = written(components(links), "labels")
 
-    # buckets of three or more whose nodes lie in several components
-    rest = met.where("size > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = written(rest.select("key", "center", "node", "n", "component"), "rest")
-    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = written(rest.join(written(mixed, "mixed"), "key", "left_semi"), "mixed-rows")
-    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "center")
-    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = left.join(right, "key").where("a < b and ca <> cb and a <> center").where(close.format("na", "nb")).select("a", "b").distinct()
-    more = _verified(pairs, nodes, docs, "rest")
+    more = _remaining(met, label, nodes, docs)
     full = components(links.unionAll(more)) if more.limit(1).count() else label
 
     tied = signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(groups, ["set_hi", "set_lo"], "left")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm.common import SPACE, table
+from skeinlog.llm.common import SPACE, bounded_batches, table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ends", "n_alpha_words")
 #: Bits in order: name and what makes a document fail. The first two are the base rules.
@@ -85,6 +85,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ledger(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, the MEASURES and fail_bits for each row of docs. A null text has no words; a null key and repeated rows stay rows of
     their own; other columns aren't read. An empty table gives an empty ledger."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     got = docs.select(key, F.col("text").alias("__text")).mapInArrow(_measured, f"`{key}` {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES))
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(0).cast("long") for i, (_, rule) in enumerate(RULES)]

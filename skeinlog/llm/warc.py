@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm.common import scratch, table, text_of, without, written
+from skeinlog.llm.common import bounded_batches, scratch, table, text_of, without, written
 
 # Fixed values of the ZIP format: signatures, the value that sends a reader to the ZIP64 fields, and sizes of fixed parts.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -241,6 +241,7 @@ def write_packages(pages: DataFrame, folder: str, least: int = 1000, roll: int =
     (name, bytes, records). The manifest, and not the folder's listing, says what was written: a lost task's packages aren't in it.
     A null html is the empty payload and a null url the empty URL; repeated rows are records of their own; an empty table gives no
     package; other columns aren't read."""
+    bounded_batches(pages.sparkSession)
     kind = "name string, bytes bigint, records bigint"
     return written(with_revisits(pages, least).mapInArrow(_writer(folder, roll, date), kind), "manifest")
 
