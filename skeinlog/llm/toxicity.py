@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skeinlog.llm.common import bounded_batches, crc_mod, table
 from skeinlog.llm.gru import BiGRU
@@ -267,7 +268,7 @@ def score(docs: DataFrame, model: Network | float, name: str = "score") -> DataF
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.drop(name)
-    schema = docs.schema.add(name, "double")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     held = spark.sparkContext.broadcast(model)  # some 100 kB: its size doesn't depend on the rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
