@@ -186,10 +186,10 @@ class GateCache:
         return out
 
 
-def train(texts: list[str | None], toxic: list[bool], prior: float, rounds: int = 2, epochs: int = 4, seed: int = 2) -> Network:
+def train(texts: list[str | None], toxic: list[bool], prior: float, rounds: int = 2, epochs: int = 4, least: int = 280, seed: int = 2) -> Network:
     """A network from labelled texts. A label is of a whole text, so each text is learnt from its most telling window: at first
     the one with the word that is most frequent in toxic texts against others, later the one that the network finds. Each text
-    that isn't toxic also gives a window at random. prior: the share of toxic texts among all."""
+    that isn't toxic also gives a window at random. prior: the share of toxic texts among all. A round is `epochs` passes, or as many more as make `least` updates."""
     docs = [tokens(t) for t in texts]
     y = np.array(toxic, bool)
     seen = [Counter(), Counter()]
@@ -205,6 +205,7 @@ def train(texts: list[str | None], toxic: list[bool], prior: float, rounds: int
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.parameters().items()}
     count = 0
     clean = np.flatnonzero(~y)
+    epochs = max(epochs, -(-least * 64 // (len(docs) + len(clean))))
     for part in range(rounds):
         if part:
             top, where = net.tops(docs, GateCache(net))
@@ -213,7 +214,7 @@ def train(texts: list[str | None], toxic: list[bool], prior: float, rounds: int
             more = [(i, int(rng.choice(starts(len(docs[i]))))) for i in clean]
             items = [*enumerate(best), *more]
             order = rng.permutation(len(items))
-            rate = 0.01 * 0.5 ** (part * epochs / 4 + epoch / 4)
+            rate = 0.01 * 0.05 ** ((part * epochs + epoch) / (rounds * epochs))
             for k in range(0, len(order), 64):
                 batch = [items[j] for j in order[k : k + 64]]
                 label = np.array([y[i] for i, _ in batch], np.float32)
