@@ -133,6 +133,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, width:
     return out.select("doc_id", "__row", "n_words", n_hit.alias("n_hit"), ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), (n_hit > 0).alias("contaminated"))
 
 
+def uncontaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of docs without any hit."""
+    hit = decontaminate(spark, docs, items, width).where("contaminated").select("__row").distinct()
+    return docs.withColumn("__row", F.xxhash64("doc_id", text_of("text"))).join(hit, "__row", "left_anti").drop("__row")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.encode(F.array_join("item_ids", ","), "UTF-8"), 256)

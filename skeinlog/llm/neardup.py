@@ -277,5 +277,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, each once: of each class the document with the smallest doc_id, and rows without an id."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"))
+    rows = docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["__id"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"])
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
