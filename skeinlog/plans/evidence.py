@@ -283,12 +283,17 @@ SQL["negative_majority"] = """
 select source, count(*) as n, count(*) filter (where quality = 1) as matched, count(*) filter (where quality = 1) * 2 > count(*) as fires
 from labels join documents using (doc_id) group by 1"""
 
-_STATUS = F.when(F.col("target") % 5 == 0, "expected_partial").when(F.col("target") % 5 == 1, "expected_fail").otherwise("must_pass")
+
+
+def _status():
+    return F.when(F.col("target") % 5 == 0, "expected_partial").when(F.col("target") % 5 == 1, "expected_fail").otherwise("must_pass")
+
+
 _STATUS_SQL = "case when target % 5 = 0 then 'expected_partial' when target % 5 = 1 then 'expected_fail' else 'must_pass' end"
 
 
 def target_status(spark, d):
-    m = _votes(spark, d).groupBy("target").agg(evals.lower_median("granularity").alias("median")).withColumn("status", _STATUS)
+    m = _votes(spark, d).groupBy("target").agg(evals.lower_median("granularity").alias("median")).withColumn("status", _status())
     meets, hard = evals.status_of(F.col("status"), F.col("median"), F.lit(2))
     return m.select("target", "status", "median", meets.alias("meets"), hard.alias("hard_fail"))
 
