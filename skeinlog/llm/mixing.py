@@ -36,14 +36,15 @@ def targets(totals: DataFrame, weights: Sequence[float], most: float) -> DataFra
     return ranked.withColumn("target", target).select("source", "source_size", "target")
 
 
-def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 20, cells: int = 4096, closing: int = 3) -> DataFrame:
+def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 20, cells: int = 4096, closing: int = 8) -> DataFrame:
     """docs with size, source_size, target, copies and taken (copies times size).
 
     A document of a source with rate r = target / source_size has r as its expected number of copies: floor(r) whole copies are
     certain, and the rest, p = r - floor(r), is its inclusion probability in a Pareto order sample. Documents rank by
     (u / (1 - u)) / (p / (1 - p)), with u a hash of doc_id and seed. A source's sample is fixed in size by words: ranks are taken
     while they fit in what the source still needs; the gap that is left, smaller than the document at the border, is closed with up
-    to `closing` further documents: the largest that fit, at last the one nearest to the gap, if it helps.
+    to `closing` further documents: the largest that fit, at last the one nearest to the gap, if it helps. It ends early where all
+    gaps are under 0.05% of their targets.
 
     No group is sorted as a whole: ranks are dealt into `cells` cells, cells are summed, and only the cell at a source's border is
     sorted. What decides is a row for each source, so every document is judged where it lies.
@@ -98,12 +99,14 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: floa
     drawn = drawn | (F.col("__q").isNotNull() & F.array_contains(F.coalesce("__close", F.array().cast("array<bigint>")), F.col("__id")))
     off = F.abs(F.col("size") - F.col("__gap"))
     for k in range(closing):
-        near = off < F.col("__gap") if k == closing - 1 else F.col("size") <= F.col("__gap")
+        near = (off < F.col("__gap")) | (F.col("size") <= F.col("__gap")) if k == closing - 1 else F.col("size") <= F.col("__gap")
         spare = ranked(rows, goal).where(F.col("__q").isNotNull() & ~drawn & near)
         best = spare.groupBy("__s").agg(F.min(F.struct(off.alias("off"), F.col("__id").alias("id"), F.col("size").alias("size"))).alias("__c"))
         goal = joined(goal, best.select(F.col("__s").alias("__k"), "__c"), "__k")
         goal = goal.withColumn("__gap", F.col("__gap") - F.coalesce("__c.size", F.lit(0)))
         goal = written(goal.withColumn("__close", F.when(F.col("__c").isNull(), F.col("__close")).otherwise(F.concat("__close", F.array("__c.id")))).drop("__c"), "closing")
+        if k < closing - 2 and not goal.where("__gap > 0.0005 * target").limit(1).count():
+            break
 
     extra = F.when(drawn, 1).otherwise(0)
     whole = F.when(F.col("__p") >= 1, F.col("__whole") + 1).otherwise(F.col("__whole"))
