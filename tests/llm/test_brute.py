@@ -138,7 +138,8 @@ def test_op4(spark, small, docs):
         s = docs[i].source
         assert (r["size"], r.source_size) == (size[i], total[s]) and math.isclose(r.target, target[s], rel_tol=1e-9) and r.taken <= 3 * size[i]
         taken[s] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 0.12 * target[s] + 50 for s in names)
+    largest = {s: max(size[i] for i in docs if docs[i].source == s) for s in names}  # ten documents a source: no subset may come nearer
+    assert all(abs(taken[s] - target[s]) <= max(0.02 * target[s], largest[s] / 2) for s in names)
     again = run(spark, small, "op4_mixing")
     assert again == got
 
