@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlog.plans import evidence, sessions
+from skeinlog.plans import evidence, sessions, state
 
-MODULES = (sessions, evidence)
+MODULES = (sessions, evidence, state)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
