@@ -118,7 +118,7 @@ select doc_id, sha256(source || case when lang = 'fr' then chr(0) || 'esc' || ch
 
 
 def idset_hash(spark, d):
-    # a group's ids are hashed in part: the sum of the ids' own hashes needs no group in one task
+    # a set's hash needs the set in one row; it is that of one customer's orders
     o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("id"))
     return o.groupBy("o_custkey").agg(F.count("*").alias("n"), T.set_hash(F.collect_set("id")).alias("set_hash"))
 

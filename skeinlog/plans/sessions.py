@@ -253,7 +253,7 @@ SQL["ledger_last_wins"] = "select user_id, event_type, max(event_id) as entry, a
 
 
 def retention_newest10(spark, d):
-    # a top-k by aggregation: the k newest of each type, kept in part on each side of the exchange
+    # the filter on row_number makes a limit for each group, which is applied before the exchange as well
     e = table(spark, d, "events")
     nth = F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("event_id").desc()))
     return e.select("event_type", "event_id").withColumn("age", nth).where("age <= 10").withColumn("age", F.col("age").cast("long"))
