@@ -6,13 +6,17 @@ addressed by a hash of its context and of the place in the code, give the logari
 code and by how sure the predictors are, selects the weights that add them up; the sum is refined by an offset that adapts along
 each document. The score is the sum of the logarithms of all decisions.
 
-All counts cover all learning texts: each task counts into tables of fixed size, and the tables are added up by segments. Word counts
-are exact, of any number of words, and reach a text by way of its block: the words of a block are joined with their counts, and the
-block's texts meet the block's words in one task. Only the gates' weights, some hundreds of numbers, are fitted on a bounded sample.
+All counts cover all learning texts. The predictors' tables have a fixed size: each task counts into its own, and they are added up by
+segments. What grows with the learning texts is exact, and reaches a text by way of its block: the counts of words and of pairs of
+words. The words of a block are joined with their counts; the hashes of its pairs go to shards by range, which add up the counts of all
+blocks and send each block its totals back; and the block's texts meet both in one task. A word after an escape has the probability of its
+count, discounted, and of its spelling with the mass that this leaves over. A token's probability by the decisions is then the prior of
+its probability by the counts of the pair and of the word before. Only the gates' weights, some hundreds of numbers, are fitted on a bounded sample.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import zlib
@@ -126,6 +130,8 @@ class Model:
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int) -> None:
         self.words, self.n, self.v = words, total, distinct
+        self.strength = 0.0  # how many tokens the decisions weigh as much as, against the counts of pairs
+        self.once, self.twice = 0, 0  # distinct words of the learning texts that occur so often
         self.counts = np.array([*counts, 0], np.int64)
         self.ids = _Ids(zip(words, range(len(words)), strict=True))
         self.ids.other = len(words)
@@ -212,8 +218,19 @@ class Model:
             begin = end
         return out / math.log(10)
 
-    def score(self, docs: list[list[bytes]], spell: dict[bytes, float]):
-        """For each of docs (tokens): log10 probability; and all tokens with their ids, for the base. spell keeps costs of spellings."""
+    def uncoded(self, spelt: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The log probabilities after an escape of words with these log probabilities of spelling and counts (0: unknown)."""
+        tokens, words = self.n - int(self.counts.sum()), self.v - len(self.words)
+        if words <= 0:
+            return spelt
+        discount = (self.once + 0.5) / (self.once + 2 * self.twice + 1)
+        left = math.log(discount * words / tokens)
+        known = np.log(np.maximum(counts - discount, 1e-300) / tokens)
+        return np.where(counts > 0, np.logaddexp(known, left + spelt), left + spelt)
+
+    def score(self, docs: list[list[bytes]], spell: dict[bytes, float], count: dict[bytes, int] | None = None, pairs: np.ndarray | None = None):
+        """For each of docs (tokens): log10 probability; and all tokens with their ids and counts, for the base. spell keeps costs of
+        spellings, count has those of the learnt words without a code, pairs that of each token with the word before it."""
         flat, sym, rare, contexts, doc, place = self.word_contexts(docs)
         odd = [flat[i] for i in rare]
         new = [w for w in dict.fromkeys(odd) if w not in spell]
@@ -221,7 +238,7 @@ class Model:
             spell.update(zip(new, self.spell_cost(new).tolist(), strict=True))
         order = np.argsort(place // PACE, kind="stable")
         rounds = np.cumsum(np.bincount(place // PACE))
-        total = np.zeros(len(docs))
+        logp = np.zeros(len(flat))
         offset = np.zeros(len(docs) * 4, np.float32)
         begin = 0
         for end in rounds if len(self.words) else ():  # a code of one symbol has no decisions
@@ -236,14 +253,19 @@ class Model:
                 s = self.sum(0, x, gate) + offset.take(cell)
                 sign = self.code.sign[at]
                 p = 1 / (1 + np.exp(s * sign))  # of what came
-                total += np.bincount(doc[part], np.add.reduceat(np.log(p), starts), len(docs))
+                logp[part] = np.add.reduceat(np.log(p), starts)
                 error += np.bincount(cell, sign * (p - 1), len(offset))
             offset += (RATE * error).astype(np.float32)
             begin = end
-        total /= math.log(10)
+        known = self.counts[sym]
         if len(rare):
-            total += np.bincount(doc[rare], np.fromiter(map(spell.__getitem__, odd), float, len(odd)), len(docs))
-        return total, sym, rare, odd, doc
+            known[rare] = [(count or {}).get(w, 0) for w in odd]
+            logp[rare] += self.uncoded(np.fromiter(map(spell.__getitem__, odd), float, len(odd)) * math.log(10), known[rare])
+        if pairs is not None and self.strength:
+            before_it = np.roll(known, 1)  # a text begins after an end
+            prior = math.log(self.strength) + logp
+            logp = np.where(pairs > 0, np.logaddexp(np.log(np.maximum(pairs, 1)), prior), prior) - np.log(before_it + self.strength)
+        return np.bincount(doc, logp, len(docs)) / math.log(10), known, doc
 
 
 def _class(w: bytes) -> int:
@@ -254,6 +276,38 @@ def _class(w: bytes) -> int:
 # ---- counting ----
 
 
+def pair_keys(docs: list[list[bytes]]) -> np.ndarray:
+    """A 64-bit hash of each token of docs, one after the other, with the word before it; the first of a text follows an end."""
+    flat = list(chain.from_iterable(docs))
+    ids: dict[bytes, int] = {}
+    number = np.fromiter((ids.setdefault(w, len(ids)) for w in flat), np.int64, len(flat))
+    h = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in ids), np.uint64, len(ids))[number]
+    x = h + np.roll(h, 1) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte, so that the upper bytes compress."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _shards(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, begin, end) of the runs of sorted keys that belong to one shard."""
+    ends = np.searchsorted(keys, np.array([((s + 1) << 64) // shards - 1 for s in range(shards)], np.uint64), "right").tolist()
+    begin = 0
+    for shard, end in enumerate(ends):
+        if end > begin:
+            yield shard, begin, end
+        begin = end
+
+
 def _batches(docs: Iterator[list[bytes]], size: int) -> Iterator[list[list[bytes]]]:
     held, n = [], 0
     for d in docs:
@@ -266,25 +320,78 @@ def _batches(docs: Iterator[list[bytes]], size: int) -> Iterator[list[list[bytes
         yield held
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, n): the words of each block, and how often they are in its learning texts."""
-    seen: dict[int, Counter] = {}
+COUNTED = "block int, word binary, n bigint, shard int, keys binary, counts binary"
+
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for block, words in seen.items():
-            keys, values = list(words), list(words.values())
-            for i in range(0, len(keys), 50_000):
-                k = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(k), pa.int32()), pa.array(k, pa.binary()), pa.array(values[i : i + 50_000], pa.int64())], ["block", "word", "n"])
-        seen.clear()
+def _counter(blocks: int):
+    """The words of each block, and how often they are in its learning texts (block, word, n); likewise for the keys of its pairs of words,
+    a row for each shard (block, shard, keys, counts)."""
+    kind = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, Counter] = {}
+        pairs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, words in seen.items():
+                keys, values = list(words), list(words.values())
+                for i in range(0, len(keys), 50_000):
+                    k = keys[i : i + 50_000]
+                    none = [pa.nulls(len(k), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(k), pa.int32()), pa.array(k, pa.binary()), pa.array(values[i : i + 50_000], pa.int64()), *none], schema=kind)
+            seen.clear()
+
+        for batch in batches:
+            ids, learns, docs = batch.column("block").to_pylist(), batch.column("learn").to_pylist(), [tokens(t) for t in batch.column("text").to_pylist()]
+            for block, learn, doc in zip(ids, learns, docs, strict=True):
+                words = seen.setdefault(block, Counter())
+                words.update(doc if learn else dict.fromkeys(doc, 0))
+            if docs:
+                size = [len(d) for d in docs]
+                keys, of, learnt = pair_keys(docs), np.repeat(ids, size), np.repeat(learns, size)
+                for block in set(ids):
+                    pairs.setdefault(block, []).append((keys[of == block], learnt[of == block]))
+            if sum(map(len, seen.values())) > FLUSH:
+                yield from flush()
+        yield from flush()
+        for block, held in pairs.items():
+            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([x for _, x in held]), len(keys)).astype(np.uint32)
+            for shard, i, j in _shards(keys, blocks):
+                yield pa.RecordBatch.from_pylist([{"block": block, "shard": shard, "keys": _packed(keys[i:j]), "counts": zlib.compress(n[i:j].tobytes(), 1)}], kind)
 
+    return run
+
+
+TOTALS = "block int, shard int, totals binary, once bigint"
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each shard and block, the counts over all blocks of the block's keys, in their order; once: keys of the shard with a count of one."""
+    kind = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("totals", pa.binary()), ("once", pa.int64())])
+    held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
     for batch in batches:
-        for block, learn, text in zip(*(batch.column(c).to_pylist() for c in ("block", "learn", "text")), strict=True):
-            words = seen.setdefault(block, Counter())
-            words.update(tokens(text) if learn else dict.fromkeys(tokens(text), 0))
-        if sum(map(len, seen.values())) > FLUSH:
-            yield from flush()
-    yield from flush()
+        for block, shard, keys, n in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "keys", "counts")), strict=True):
+            held.setdefault(shard, []).append((block, _unpacked(keys), np.frombuffer(zlib.decompress(n), np.uint32)))
+    for shard, parts in held.items():
+        keys, where = np.unique(np.concatenate([k for _, k, _ in parts]), return_inverse=True)
+        total = np.bincount(where, np.concatenate([n for _, _, n in parts]), len(keys)).astype(np.uint32)
+        once, begin = int((total == 1).sum()), 0
+        for block, k, _ in parts:
+            yield pa.RecordBatch.from_pylist([{"block": block, "shard": shard, "totals": zlib.compress(total[where[begin : begin + len(k)]].tobytes(), 1), "once": once}], kind)
+            once, begin = 0, begin + len(k)
+
+
+def strength(levels: list[tuple[int, int]], once: int) -> float:
+    """How many tokens the prior must weigh as much as, so that its share over the learning texts is that of the pairs that occur once.
+
+    levels: (tokens, distinct words) by the size of the words' counts."""
+    share = lambda a: sum(n * a / (n / words + a) for n, words in levels)
+    low, high = -10.0, 30.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if share(math.exp(mid)) < once else (low, mid)
+    return math.exp(low)
 
 
 def count(model: Model, docs: Iterator[list[bytes]]) -> list[list[np.ndarray]]:
@@ -384,16 +491,23 @@ def fit_gates(model: Model, counts: list[list[np.ndarray]], docs: list[list[byte
 def _scorer(held):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         model: Model = held.value
-        count = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
+        count, parts = {}, {}
+        for word, n, shard, totals in zip(*(words.column(c).to_pylist() for c in ("word", "n", "shard", "totals")), strict=True):
+            if word is None:
+                parts[shard] = np.frombuffer(zlib.decompress(totals), np.uint32)
+            else:
+                count[word] = n
         spell: dict[bytes, float] = {}
         texts = docs.column("text")
         n_tokens, n_known, base, total = [], [], [], []
         low = math.log10(model.n + model.v + 1)
+        keys = np.concatenate([pair_keys(batch) for batch in _batches((tokens(t.as_py()) for t in texts), 200_000)])
+        pairs = np.concatenate([parts[s] for s in sorted(parts)])[np.unique(keys, return_inverse=True)[1]]
+        begin = 0
         for batch in _batches((tokens(t.as_py()) for t in texts), 200_000):
-            score, sym, rare, odd, doc = model.score(batch, spell)
-            c = model.counts[sym]
-            if len(rare):
-                c[rare] = [count.get(w, 0) for w in odd]
+            size = sum(map(len, batch))
+            score, c, doc = model.score(batch, spell, count, pairs[begin : begin + size])
+            begin += size
             total += score.tolist()
             n_tokens += [len(d) for d in batch]
             n_known += np.bincount(doc, c > 0, len(batch)).astype(int).tolist()
@@ -419,12 +533,18 @@ def score_texts(docs: DataFrame, learn, top: int = TOP, sample: int = SAMPLE) ->
     blocks = max(1, math.ceil(size / BLOCK), min(spread, math.ceil(size / (1 << 20))))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
-    seen = written(rows.select("block", "learn", "text").repartition(blocks, "block").mapInArrow(_counter, "block int, word binary, n bigint"), "words")
+    seen = written(rows.select("block", "learn", "text").repartition(blocks, "block").mapInArrow(_counter(blocks), COUNTED), "words")
+    asked = seen.where("word is null").select("block", "shard", "keys", "counts").repartition(blocks, "shard")
+    pairs = written(asked.mapInArrow(_totals, TOTALS), "pairs")
+    seen = seen.where("word is not null").select("block", "word", "n")
     counts = written(seen.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, distinct, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    levels = counts.groupBy(F.floor(F.log2("n"))).agg(F.sum("n"), F.count("*")).collect()  # some tens of rows
     frequent = counts.where("n > 1").orderBy(F.col("n").desc(), "word").limit(top).toArrow()  # at most `top` rows
     model = Model(frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), total, distinct)
     model.spelling()
+    model.once, model.twice = once, twice
+    model.strength = strength([(n, words) for _, n, words in levels], pairs.agg(F.sum("once")).first()[0]) if total else 0.0
 
     held = spark.sparkContext.broadcast(model)
     segments = rows.where("learn").select("text").mapInArrow(_trainer(held), "part int, segment int, counts binary")
@@ -444,6 +564,7 @@ def score_texts(docs: DataFrame, learn, top: int = TOP, sample: int = SAMPLE) ->
     held = spark.sparkContext.broadcast(model)
     top_words = seen.sparkSession.createDataFrame(pa.table({"word": pa.array(model.words, pa.binary())}))
     near = seen.select("block", "word").join(F.broadcast(top_words), "word", "left_anti").join(counts, "word").select("block", "word", "n")
+    near = near.unionByName(pairs.select("block", "shard", "totals"), allowMissingColumns=True)
     texts = rows.withColumn("bytes", F.octet_length("text").cast("long"))
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, learn boolean, bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double"
     out = texts.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(_scorer(held), kind)

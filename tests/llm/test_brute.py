@@ -183,6 +183,42 @@ def test_op5_is_a_distribution():
     assert sum(10**x for x in first) <= 1 + 1e-6
 
 
+def test_op5_learns_beyond_the_coded_words(spark):
+    """With a code for the end only, words and pairs that were learnt still count: a learnt order costs less than another, and that less
+    than words that were not learnt."""
+    from skeinlog.llm import mixlm
+
+    texts = [" ".join(f"k{i}x{j}" for j in range(30)) for i in range(20)]
+    rows = [(n, texts[n % 20]) for n in range(100)]
+    rows += [(1000, texts[3]), (1001, " ".join(reversed(texts[3].split()))), (1002, " ".join(f"k{i}x3" for i in range(100, 130)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in mixlm.score_texts(d, F.col("doc_id") < 1000, top=1).collect()}
+    assert got[1000] > 0.5 * got[1001]
+    assert got[1001] > 0.9 * got[1002]
+
+
+def test_op5_totals_of_pairs():
+    """What the shards send back is the count over all blocks, as a plain count gives it."""
+    import pyarrow as pa
+
+    from skeinlog.llm import mixlm
+
+    rng = np.random.default_rng(1)
+    rows = [(b, n % 3 > 0, " ".join(f"w{x}" for x in rng.integers(0, 9, 20))) for b in range(3) for n in range(9)]
+    want = Counter()
+    for _, learn, t in rows:
+        w = [b"", *mixlm.tokens(t)]
+        want.update(p for p in zip(w, w[1:], strict=False) if learn)
+    asked = [r for b in range(3) for x in mixlm._counter(3)([pa.RecordBatch.from_pylist([{"block": b, "learn": y, "text": t} for k, y, t in rows if k == b])]) for r in x.to_pylist() if r["word"] is None]
+    back = [r for s in range(3) for x in mixlm._totals([pa.RecordBatch.from_pylist([r for r in asked if r["shard"] == s])]) for r in x.to_pylist()]
+    assert sum(r["once"] for r in back) == sum(n == 1 for n in want.values())
+    for b in range(3):
+        docs = [mixlm.tokens(t) for k, _, t in rows if k == b]
+        total = np.concatenate([np.frombuffer(zlib.decompress(r["totals"]), np.uint32) for r in sorted(back, key=lambda r: r["shard"]) if r["block"] == b])
+        got = total[np.unique(mixlm.pair_keys(docs), return_inverse=True)[1]]
+        assert got.tolist() == [want[p] for d in docs for p in zip([b"", *d], d, strict=False)]
+
+
 def test_op6_and_op9(spark, small, docs):
     got, found = run(spark, small, "op6_quality"), run(spark, small, "op9_secrets")
     assign = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
