@@ -11,7 +11,8 @@ segments. What grows with the learning texts is exact, and reaches a text by way
 words. The words of a block are joined with their counts; the hashes of its pairs go to shards by range, which add up the counts of all
 blocks and send each block its totals back; and the block's texts meet both in one task. A word after an escape has the probability of its
 count, discounted, and of its spelling with the mass that this leaves over. A token's probability by the decisions is then the prior of
-its probability by the counts of the pair and of the word before. Only the gates' weights, some hundreds of numbers, are fitted on a bounded sample.
+its probability by the counts of the pair and of the word before. The gates'
+weights are fitted by Newton's method over all learning texts, whole: tasks send partial gradients, which are added up.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from skeinlog.llm.common import bounded_batches, crc_mod, table, text_of, writte
 TOP = 1 << 16  # words with a code of their own, at most
 SLOTS = ((20, 20, 20), (20, 21, 21))  # bits of the tables' addresses, for words and for bytes
 SEGMENT = 1 << 14  # slots that are sent as one row
-SAMPLE = 600  # learning texts that the gates' weights are fitted on, at most
+STEPS, HOLD = 2, 20.0  # of Newton's method, and how many decisions the first weights count for
 BLOCK = 1 << 23  # bytes of text in a block, about
 FLUSH = 400_000  # words that a task counts before it passes them on
 PRIOR, RATE, PACE = 0.4, 0.003, 256
@@ -112,10 +113,14 @@ def slots(part: int, code: Code, which: np.ndarray, at: np.ndarray, contexts: tu
 def mixed(tables: list[np.ndarray], code: Code, at: np.ndarray, addresses: list[np.ndarray]):
     """The predictors' log odds, an array for each table, and each decision's gate."""
     x = [t.take(a) for t, a in zip(tables, addresses, strict=True)]
+    return x, gates(x, code, at)
+
+
+def gates(x: list[np.ndarray], code: Code, at: np.ndarray) -> np.ndarray:
     sure = []
     for v in (np.abs(x[0]), np.abs(x[-1])):
         sure.append((v > 0.01).view(np.uint8) + (v > 2).view(np.uint8))
-    return x, (code.gate[at] * 16 + sure[0] * 4 + sure[1]).astype(np.intp)
+    return (code.gate[at] * 16 + sure[0] * 4 + sure[1]).astype(np.intp)
 
 
 class _Ids(dict):
@@ -453,36 +458,71 @@ def odds(counts: np.ndarray) -> np.ndarray:
     return np.log((counts[:, 1] + np.float32(PRIOR)) / (counts[:, 0] + np.float32(PRIOR))).astype(np.float32)
 
 
-def fit_gates(model: Model, counts: list[list[np.ndarray]], docs: list[list[bytes]]) -> None:
-    """Online: the gates' weights follow the decisions of docs, which are learning texts, batch by batch. What docs themselves have put
-    into the counts is taken out for that, so that they are as new to the tables as a text to be scored."""
-    rng = np.random.default_rng(5)
-    own = count(model, iter(docs))
-    tables = []
-    for p in counts:
-        tables.append([odds(t - np.minimum(t, o.reshape(-1, 2))) for t, o in zip(p, own.pop(0), strict=True)])
+def gradients(model: Model, counts: list[list[np.ndarray]], docs: Iterator[list[bytes]]) -> np.ndarray:
+    """For both parts and each gate: the gradient of the log probability of docs by the gate's weights, and then its curvature. docs are
+    learning texts; what a few of them have put into the counts is taken out for them, so that they are as new as a text to be scored."""
+    wide = TABLES + 1
+    out = np.zeros((2, GATES, wide + wide * wide))
+    own = [[np.zeros(t.size, np.uint32) for t in p] for p in counts]
+
+    def follow(part: int, decisions: list[tuple[np.ndarray, list[np.ndarray], np.ndarray | None]]) -> None:
+        code, tables, mine = (model.code, model.bytes)[part], counts[part], own[part]
+        for at, addresses, weight in decisions:
+            for t, a in zip(mine, addresses, strict=True):
+                np.add.at(t, (a * np.uint32(2) + code.bits[at]).astype(np.intp), np.uint32(1) if weight is None else weight)
+        for at, addresses, weight in decisions:
+            x = [odds(t[a] - np.minimum(t[a], o.reshape(-1, 2)[a])) for t, o, a in zip(tables, mine, addresses, strict=True)]
+            g = gates(x, code, at)
+            p = 1 / (1 + np.exp(-model.sum(part, x, g)))
+            e, v, rows = code.bits[at] - p, p * (1 - p), [*x, np.ones(len(at), np.float32)]
+            if weight is not None:
+                e, v = e * weight, v * weight
+            for i, a in enumerate(rows):
+                out[part, :, i] += np.bincount(g, e * a, GATES)
+                va = v * a
+                for j in range(i, wide):
+                    h = np.bincount(g, va * rows[j], GATES)
+                    out[part, :, wide + i * wide + j] += h
+                    if j > i:
+                        out[part, :, wide + j * wide + i] += h
+        for _, addresses, _ in decisions:
+            for t, a in zip(mine, addresses, strict=True):
+                t.reshape(-1, 2)[a] = 0
+
+    for batch in _batches(docs, CHUNK):
+        flat, sym, rare, contexts, _, _ = model.word_contexts(batch)
+        decisions = []
+        for k in range(0, len(sym), CHUNK):
+            which, at = model.code.expand(sym[k : k + CHUNK])
+            decisions.append((at, slots(0, model.code, which + k, at, contexts), None))
+        follow(0, decisions)
+        spelt = Counter(flat[i] for i in rare)
+        words, n = list(spelt), np.fromiter(spelt.values(), np.uint32, len(spelt))
+        decisions = []
+        for k in range(0, len(words), 400):
+            sym, contexts, word = model.spelled(words[k : k + 400])
+            which, at = model.bytes.expand(sym)
+            decisions.append((at, slots(1, model.bytes, which, at, contexts), n[k : k + 400][word[which]]))
+        follow(1, decisions)
+    return out
 
-    def follow(part: int, code: Code, sym: np.ndarray, contexts, rate: float) -> None:
-        which, at = code.expand(sym)
-        x, gate = mixed(tables[part], code, at, slots(part, code, which, at, contexts))
-        w = model.weights[part]
-        bit = code.bits[at]
-        for k in range(0, len(at), 2000):
-            g, rows = gate[k : k + 2000], [v[k : k + 2000] for v in x]
-            s = sum(v * w[g, i] for i, v in enumerate(rows)) + w[g, -1]
-            e = bit[k : k + 2000] - 1 / (1 + np.exp(-s))
-            n = np.bincount(g, minlength=GATES) + 20.0
-            for i, v in enumerate([*rows, np.ones(len(e))]):
-                w[:, i] += (rate * np.bincount(g, e * v, GATES) / n).astype(np.float32)
-
-    order = rng.permutation(len(docs))
-    for turn in range(2):
-        for batch in _batches((docs[i] for i in order), 4000):
-            flat, sym, rare, contexts, _, _ = model.word_contexts(batch)
-            follow(0, model.code, sym, contexts, 0.1 / (1 + turn))
-            if len(rare):
-                sym, contexts, _ = model.spelled([flat[i] for i in rare])
-                follow(1, model.bytes, sym, contexts, 0.1 / (1 + turn))
+
+def _gradients(held, weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, counts = held.value
+        model.weights = weights
+        sums = gradients(model, counts, (tokens(t) for batch in batches for t in batch.column("text").to_pylist())).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums, pa.float64())], ["k", "v"])
+
+    return run
+
+
+def stepped(weights: np.ndarray, first: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The weights after a step of Newton's method; first counts for some decisions."""
+    wide = weights.shape[-1]
+    slope = sums[..., :wide] - HOLD * (weights - first)
+    bend = sums[..., wide:].reshape(*sums.shape[:-1], wide, wide) + HOLD * np.eye(wide)
+    return (weights + np.clip(np.linalg.solve(bend, slope[..., None])[..., 0], -1, 1)).astype(np.float32)
 
 
 # ---- the operator ----
@@ -518,7 +558,7 @@ def _scorer(held):
     return run
 
 
-def score_texts(docs: DataFrame, learn, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
+def score_texts(docs: DataFrame, learn, top: int = TOP) -> DataFrame:
     """(doc_id, learn, bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of docs (doc_id, text).
 
     learn: a Column, true of the rows that the counts are learnt from; null counts as false. base_score is the add-one unigram model.
@@ -556,8 +596,13 @@ def score_texts(docs: DataFrame, learn, top: int = TOP, sample: int = SAMPLE) ->
         x = np.frombuffer(zlib.decompress(r.counts), np.uint32).reshape(-1, 2)
         tables[r.part][r.segment * SEGMENT : r.segment * SEGMENT + len(x)] = x
     parts = [tables[:TABLES], tables[TABLES:]]
-    some = rows.where("learn").select("text", F.xxhash64(F.lit(5), "doc_id").alias("h")).orderBy("h", "text").limit(sample).collect()
-    fit_gates(model, parts, [tokens(r.text)[-20_000:] for r in some])
+    held, first = spark.sparkContext.broadcast((model, parts)), model.weights
+    for _ in range(STEPS):
+        sums = rows.where("learn").select("text").mapInArrow(_gradients(held, model.weights), "k int, v double")
+        each = F.aggregate(F.sort_array(F.collect_list("v")), F.lit(0.0), lambda a, b: a + b)  # in an order of their own, so that no run differs
+        sums = np.array([r.v for r in sums.groupBy("k").agg(each.alias("v")).orderBy("k").collect()]).reshape(2, GATES, -1)  # a fixed number
+        model.weights = stepped(model.weights, first, sums) if sums.size else first
+    held.destroy()
     model.tables = [[odds(t) for t in p] for p in parts]
     del tables, parts
 

@@ -219,6 +219,40 @@ def test_op5_totals_of_pairs():
         assert got.tolist() == [want[p] for d in docs for p in zip([b"", *d], d, strict=False)]
 
 
+def test_op5_weights_are_of_whole_texts(spark):
+    """The weights come from whole learning texts: with the halves of long texts swapped, they stay nearly what they are."""
+    from skeinlog.llm import mixlm
+
+    rng = np.random.default_rng(4)
+    dull = "a b c d " * 5500
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 22_000) % 5000) + " " for _ in range(3)]
+    probe = " ".join(f"w{x}" for x in rng.zipf(1.3, 3000) % 5000)
+    score = []
+    for swap in (False, True):
+        rows = [(i, dull + t if swap else t + dull) for i, t in enumerate(texts)] + [(99, probe)]
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        score.append({r.doc_id: r.score for r in mixlm.score_texts(d, F.col("doc_id") < 99).collect()}[99])
+    assert math.isclose(*score, rel_tol=0.002)
+
+
+def test_op5_gradients_add_up():
+    from skeinlog.llm import mixlm
+
+    docs = [[*(f"w{(i * j) % 7}".encode() for j in range(2000)), b""] for i in range(1, 5)]
+    m = mixlm.Model([b"w0", b"w1", b"w2", b""], [4000, 1000, 900, 4], 8004, 8)
+    m.spelling()
+    counts = [[t.reshape(-1, 2) for t in p] for p in mixlm.count(m, iter(docs))]
+    whole = mixlm.gradients(m, counts, iter(docs))
+    parts = mixlm.gradients(m, counts, iter(docs[:2])) + mixlm.gradients(m, counts, iter(docs[2:]))
+    assert np.allclose(whole, parts)
+    first = m.weights
+    for _ in range(4):
+        m.weights = mixlm.stepped(m.weights, first, mixlm.gradients(m, counts, iter(docs)))
+    wide = first.shape[-1]
+    slope = lambda g, w: np.abs(g[..., :wide] - mixlm.HOLD * (w - first)).sum()
+    assert slope(mixlm.gradients(m, counts, iter(docs)), m.weights) < 0.05 * slope(whole, first)
+
+
 def test_op6_and_op9(spark, small, docs):
     got, found = run(spark, small, "op6_quality"), run(spark, small, "op9_secrets")
     assign = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
