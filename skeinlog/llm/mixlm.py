@@ -3,8 +3,8 @@
 A text is a sequence of binary decisions. A frequent word of the learning texts is spelt by its Huffman code; any other is an escape
 and then its bytes, by a Huffman code of bytes, to an end of word. Before each decision several predictors, each a table of counts
 addressed by a hash of its context and of the place in the code, give the logarithm of the odds. A gate, chosen by the depth in the
-code and by how sure the predictors are, selects the weights that add them up; the sum is refined by an offset that adapts along
-each document. The score is the sum of the logarithms of all decisions.
+code and by how sure the predictors are, selects the weights that add them up; the weights and an offset move every few
+tokens along each document, from its first on. The score is the sum of the logarithms of all decisions.
 
 All counts cover all learning texts. The predictors' tables have a fixed size: each task counts into its own, and they are added up by
 segments. What grows with the learning texts is exact, and reaches a text by way of its block: the counts of words and of pairs of
@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 from skeinlog.llm.common import bounded_batches, crc_mod, table, text_of, written
 
 TOP = 1 << 16  # words with a code of their own, at most
-SLOTS = ((20, 20, 20), (20, 21, 21))  # bits of the tables' addresses, for words and for bytes
+SLOTS = ((17, 20, 20, 20), (19, 20, 21, 21))  # bits of the tables' addresses, for words and for bytes
 SEGMENT = 1 << 14  # slots that are sent as one row
 STEPS, HOLD = 2, 20.0  # of Newton's method, and how many decisions the first weights count for
 BLOCK = 1 << 23  # bytes of text in a block, about
 FLUSH = 400_000  # words that a task counts before it passes them on
-PRIOR, RATE, PACE = 0.4, 0.003, 256
+PRIOR, RATE, TURN, PACE = 0.4, 0.003, 0.0003, 8  # RATE of the offsets and TURN of the weights, moved every PACE tokens
 GATES = 64
 CHUNK = 1500  # words whose decisions are worked out at once, few enough for the cache
-ORDERS = (2, 3)
+ORDERS = (2, 3, 4)
 TABLES = len(SLOTS[0])
 END_OF_WORD = 256
 _K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -118,7 +118,7 @@ def mixed(tables: list[np.ndarray], code: Code, at: np.ndarray, addresses: list[
 
 def gates(x: list[np.ndarray], code: Code, at: np.ndarray) -> np.ndarray:
     sure = []
-    for v in (np.abs(x[0]), np.abs(x[-1])):
+    for v in (np.abs(x[1]), np.abs(x[-1])):
         sure.append((v > 0.01).view(np.uint8) + (v > 2).view(np.uint8))
     return (code.gate[at] * 16 + sure[0] * 4 + sure[1]).astype(np.intp)
 
@@ -144,7 +144,7 @@ class Model:
         self.code, self.bytes = Code([*counts, rest]), None
         self.classes = np.array([*map(_class, words), 0], np.uint32)
         self.tables: list[list[np.ndarray]] = []
-        self.weights = np.tile(np.array([0.3, 0.4, 0.4, 0.0], np.float32), (2, GATES, 1))
+        self.weights = np.tile(np.array([0.2, 0.3, 0.3, 0.3, 0.0], np.float32), (2, GATES, 1))
 
     def spelling(self) -> None:
         letters = np.bincount(np.frombuffer(b"".join(self.words), np.uint8), minlength=257)
@@ -170,7 +170,7 @@ class Model:
         far = np.zeros(len(flat), np.uint32)
         for k in (1, 2, 3, 4):  # coarse classes of the four words before
             far = far * np.uint32(17) + (before(kind, k, 64) >> np.uint32(2))
-        contexts = (_mix(last.astype(np.uint32) * _K2), _mix((one * np.uint32(65) + two + np.uint32(7)) * _K1), _mix((far + np.uint32(3)) * np.uint32(0x165667B1)))
+        contexts = (None, _mix(last.astype(np.uint32) * _K2), _mix((one * np.uint32(65) + two + np.uint32(7)) * _K1), _mix((far + np.uint32(3)) * np.uint32(0x165667B1)))
         return flat, sym, rare, contexts, np.repeat(np.arange(len(docs)), size), place
 
     # bytes
@@ -244,10 +244,10 @@ class Model:
         order = np.argsort(place // PACE, kind="stable")
         rounds = np.cumsum(np.bincount(place // PACE))
         logp = np.zeros(len(flat))
-        offset = np.zeros(len(docs) * 4, np.float32)
+        moved = np.zeros((TABLES + 1, len(docs) * 4), np.float32)  # of each document's weights, and its offsets
         begin = 0
         for end in rounds if len(self.words) else ():  # a code of one symbol has no decisions
-            error = np.zeros(len(offset))
+            error = np.zeros(moved.shape)
             for k in range(begin, end, CHUNK):  # a few tokens at a time, so that all stays in the cache
                 part = order[k : min(end, k + CHUNK)]
                 which, at = self.code.expand(sym[part])
@@ -255,12 +255,20 @@ class Model:
                 which = part[which]
                 x, gate = mixed(self.tables[0], self.code, at, slots(0, self.code, which, at, contexts))
                 cell = doc[which] * 4 + (gate >> 4)
-                s = self.sum(0, x, gate) + offset.take(cell)
+                s = self.sum(0, x, gate) + moved[-1].take(cell)
+                for v, m in zip(x, moved, strict=False):
+                    s += v * m.take(cell)
+                np.clip(s, -30, 30, out=s)
                 sign = self.code.sign[at]
                 p = 1 / (1 + np.exp(s * sign))  # of what came
                 logp[part] = np.add.reduceat(np.log(p), starts)
-                error += np.bincount(cell, sign * (p - 1), len(offset))
-            offset += (RATE * error).astype(np.float32)
+                e = sign * (p - 1)
+                error[-1] += np.bincount(cell, e, moved.shape[1])
+                for i, v in enumerate(x):
+                    error[i] += np.bincount(cell, e * v, moved.shape[1])
+            error[:-1] *= TURN
+            error[-1] *= RATE
+            moved += error.astype(np.float32)
             begin = end
         known = self.counts[sym]
         if len(rare):

@@ -253,6 +253,26 @@ def test_op5_gradients_add_up():
     assert slope(mixlm.gradients(m, counts, iter(docs)), m.weights) < 0.05 * slope(whole, first)
 
 
+def test_op5_adapts_in_short_texts(monkeypatch):
+    """A word that a text repeats gets cheaper within its first 160 tokens, by the offsets and by the weights; the texts beside don't matter."""
+    from skeinlog.llm import mixlm
+
+    words = [b"a", b"b", b"c"]
+    learnt = [[*(words[x] for x in np.random.default_rng(6).choice(3, 400, p=(0.8, 0.15, 0.05))), b""] for _ in range(5)]
+    m = mixlm.Model([*words, b""], [1600, 300, 100, 5], 2005, 4)
+    m.spelling()
+    m.tables = [[mixlm.odds(t.reshape(-1, 2)) for t in p] for p in mixlm.count(m, iter(learnt))]
+
+    def later():
+        cost = {n: m.score([[b"c"] * n], {})[0][0] for n in (8, 80, 160)}
+        assert math.isclose(m.score([[b"a"] * 300, [b"c"] * 80], {})[0][1], cost[80], rel_tol=1e-6)
+        return (cost[160] - cost[80]) / ((cost[80] - cost[8]) * 80 / 72)
+
+    assert later() < 0.97
+    monkeypatch.setattr(mixlm, "RATE", 0)
+    assert later() < 0.99
+
+
 def test_op6_and_op9(spark, small, docs):
     got, found = run(spark, small, "op6_quality"), run(spark, small, "op9_secrets")
     assign = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
