@@ -55,11 +55,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut, and no executor's loss takes it away."""
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path, for drop() once no later step reads it."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: lineage is cut, and no executor's loss takes it away."""
+    return stored(df, label)[0]
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -1,50 +1,63 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is a sequence of binary decisions. A frequent word of the learning texts is spelt by its Huffman code; any other is an escape
-and then its bytes, by a Huffman code of bytes, to an end of word. Before each decision several predictors, each a table of counts
-addressed by a hash of its context and of the place in the code, give the logarithm of the odds. A gate, chosen by the depth in the
-code and by how sure the predictors are, selects the weights that add them up; the weights and an offset move every few
-tokens along each document, from its first on. The score is the sum of the logarithms of all decisions.
-
-All counts cover all learning texts. The predictors' tables have a fixed size: each task counts into its own, and they are added up by
-segments. What grows with the learning texts is exact, and reaches a text by way of its block: the counts of words and of pairs of
-words. The words of a block are joined with their counts; the hashes of its pairs go to shards by range, which add up the counts of all
-blocks and send each block its totals back; and the block's texts meet both in one task. A word after an escape has the probability of its
-count, discounted, and of its spelling with the mass that this leaves over. A token's probability by the decisions is then the prior of
-its probability by the counts of the pair and of the word before. The gates'
-weights are fitted by Newton's method over all learning texts, whole: tasks send partial gradients, which are added up.
+A text is a sequence of binary decisions, and its score is the sum of their logarithms.
+
+- Its symbols are spelt by a Huffman code: a frequent word, the class of another known word (a hash of its last two bytes), or a new
+  word. Before each bit several predictors, each a table of counts addressed by a hash of its context and by the place in the code,
+  give the logarithm of the odds. A gate, chosen by the depth in the code and by how sure two predictors are, selects the weights
+  that add them up. Weights and an offset move along each text, from its first tokens on.
+- Inside of a class, a word has its exact share of the class's count. A new word is spelt in bytes, by predictors of its own.
+- Before each word, a decision says whether it comes from what has followed the word before it, with its exact share there.
+- Before each segment, a decision says whether the whole segment repeats one that has followed the same four words. Segments begin
+  where a hash of the four words before is divisible by SPAN, so that copies are cut alike.
+
+The exact counts, of words, of pairs of words, of contexts and of segments, grow with the learning texts; only the symbols' and the
+bytes' tables have a fixed size. A learning text is scored by the counts of all others, and every text by its own words so far
+besides: a count is the total, less the text's own, plus what came before in the text. (The tables of fixed size keep their own.)
+
+Texts are made into numbers once, in blocks, each with its own list of words. Shards by hash add up the counts of all blocks and send
+each block its totals back, so no task holds the counts of the corpus. The weights learn online: a task goes once over its learning
+texts, whole, by a step of Newton's method for every few thousand tokens; the tasks' weights are then averaged by their curvatures.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from skeinlog.llm.common import bounded_batches, crc_mod, table, text_of, written
-
-TOP = 1 << 16  # words with a code of their own, at most
-SLOTS = ((17, 20, 20, 20), (19, 20, 21, 21))  # bits of the tables' addresses, for words and for bytes
-SEGMENT = 1 << 14  # slots that are sent as one row
-STEPS, HOLD = 2, 20.0  # of Newton's method, and how many decisions the first weights count for
-BLOCK = 1 << 23  # bytes of text in a block, about
-FLUSH = 400_000  # words that a task counts before it passes them on
-PRIOR, RATE, TURN, PACE = 0.4, 0.003, 0.0003, 8  # RATE of the offsets and TURN of the weights, moved every PACE tokens
-GATES = 64
-CHUNK = 1500  # words whose decisions are worked out at once, few enough for the cache
-ORDERS = (2, 3, 4)
-TABLES = len(SLOTS[0])
+from skeinlog.llm.common import bounded_batches, crc_mod, drop, stored, table, text_of, written
+
+TOP = 1024  # words with a symbol of their own, at most
+CLASSES = 255  # of the other words
+FEW = 32  # words that stand for the language or the manner of a text
+PAIRS = 2048  # rows of the table whose context is two symbols
+ORDERS = (1, 2, 3, 4)  # of the bytes' contexts
+BYTE_BITS = (18, 18, 20, 20)  # of the addresses of the bytes' tables
 END_OF_WORD = 256
-_K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+BLOCK = 1 << 19  # tokens of a block, about
+SHARDS = 1 << 14  # at most
+SEGMENT = 1 << 14  # cells that are sent as one row
+SPAN = 8  # tokens of a segment, about
+SLACK = 14  # bits of a key beyond those that number the tokens: 1 in 2 ** SLACK unseen contexts is taken for a seen one
+CHUNK, STEP = 1500, 1 << 14  # tokens whose decisions are worked out at once, and those of a step of learning
+PRIOR, RATE, TURN = 0.4, 0.003, 0.0003  # of counts; of the offsets; of the weights
+PACE, LATER, SLOW = 8, 256, 64  # weights move every PACE tokens, from token LATER on every SLOW
+HOLD = 20.0  # decisions that the first weights count for
+GATES, LEVELS = 64, 24
+WORDS, BYTES, PAIR, SEG = range(4)
+_C = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_C), -1, 1 << 64))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -52,11 +65,29 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
+def pack(a: np.ndarray) -> bytes:
+    """An array, byte by byte of its values, so that the upper bytes compress."""
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return a.dtype.char.encode() + len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpack(data: bytes) -> np.ndarray:
+    kind, size = np.dtype(data[:1].decode()), int.from_bytes(data[1:9], "little")
+    if not size:
+        return np.empty(0, kind)
+    raw = np.frombuffer(pa.decompress(data[9:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def _small(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint32) if not len(a) or a.max() < 1 << 32 else a.astype(np.uint64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
-    """Spreads 32-bit values."""
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
-    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
-    return x ^ (x >> np.uint32(16))
+    """Spreads 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Code:
@@ -66,13 +97,13 @@ class Code:
         n = len(counts)
         heap = [(max(1, c), i) for i, c in enumerate(counts)]
         heapq.heapify(heap)
-        parent, bit, node = [0] * (2 * n), [0] * (2 * n), n
-        while len(heap) > 1:
+        parent, bit, below = [0] * (2 * n), [0] * (2 * n), []
+        for node in range(n, 2 * n - 1):
             (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
             parent[i], parent[j], bit[j] = node, node, 1
+            below.append((i, j))
             heapq.heappush(heap, (a + b, node))
-            node += 1
-        root = heap[0][1]
+        root = 2 * n - 2
         nodes, bits, start = [], [], [0]
         for s in range(n):
             path = []
@@ -82,11 +113,25 @@ class Code:
             nodes += [x for x, _ in reversed(path)]
             bits += [x for _, x in reversed(path)]
             start.append(len(nodes))
-        self.nodes, self.bits, self.start = np.array(nodes, np.uint32), np.array(bits, np.uint8), np.array(start, np.int64)
-        self.hash = _mix(self.nodes * _K1 + np.uint32(1))
+        self.n, self.start = n, np.array(start, np.int64)
+        self.nodes, self.bits = np.array(nodes, np.int64), np.array(bits, np.uint8)
         self.sign = np.where(self.bits, -1, 1).astype(np.float32)
         depth = np.arange(len(nodes)) - np.repeat(self.start[:-1], np.diff(self.start))
-        self.gate = ((depth > 1).astype(np.uint8) + (depth > 4) + (depth > 8)).astype(np.uint8)
+        self.gate = ((depth > 1).astype(np.uint8) + (depth > 4) + (depth > 8)).astype(np.uint8) * np.uint8(16)
+        # symbols from left to right, and the runs of them under the branches of each node
+        self.leaves, open_ = [], [root]
+        while open_:
+            x = open_.pop()
+            if x < n:
+                self.leaves.append(x)
+            else:
+                open_ += reversed(below[x - n])
+        at = {s: k for k, s in enumerate(self.leaves)}
+        span = {s: (at[s], at[s] + 1) for s in range(n)}
+        self.runs = np.zeros((n - 1, 3), np.int64)
+        for k, (i, j) in enumerate(below):
+            span[n + k] = (span[i][0], span[j][1])
+            self.runs[root - n - k] = (span[i][0], span[j][0], span[j][1])
 
     def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which symbol, place in the code) of each decision."""
@@ -94,359 +139,531 @@ class Code:
         which = np.repeat(np.arange(len(symbols)), size)
         return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size - self.start[symbols], size)
 
+    def by_node(self, counts: np.ndarray) -> np.ndarray:
+        """From counts of symbols, a row for each context, the counts (zeros, ones) of each context and node."""
+        below = np.zeros((len(counts), self.n + 1))
+        np.cumsum(counts[:, self.leaves], axis=1, out=below[:, 1:])
+        lo, mid, hi = (below[:, self.runs[:, k]] for k in range(3))
+        return np.stack((mid - lo, hi - mid), axis=2).reshape(-1, 2).astype(np.float32)
 
-def slots(part: int, code: Code, which: np.ndarray, at: np.ndarray, contexts: tuple[np.ndarray | None, ...]) -> list[np.ndarray]:
-    """The address of each decision in each table. A context of None is that of the place alone."""
-    here = code.hash.take(at)
-    out = []
-    for c, bits in zip(contexts, SLOTS[part], strict=True):
-        if c is None:
-            out.append(code.nodes.take(at))
-            continue
-        h = c.take(which)
-        h += here  # both are spread well
-        h >>= np.uint32(32 - bits)
-        out.append(h)
-    return out
 
+def byte_code() -> Code:
+    """Of bytes and the end of a word; by rule, so that it needs no pass: letters and the end are short, what is seldom in texts is long."""
+    return Code([32 if 97 <= x <= 122 else 8 if x >= 128 or 48 <= x <= 57 else 4 if x in b"-'.,!?" else 1 for x in range(256)] + [160])
 
-def mixed(tables: list[np.ndarray], code: Code, at: np.ndarray, addresses: list[np.ndarray]):
-    """The predictors' log odds, an array for each table, and each decision's gate."""
-    x = [t.take(a) for t, a in zip(tables, addresses, strict=True)]
-    return x, gates(x, code, at)
 
+def odds(counts: np.ndarray) -> np.ndarray:
+    """The log odds of ones by counts (zeros, ones)."""
+    return np.log((counts[:, 1] + np.float32(PRIOR)) / (counts[:, 0] + np.float32(PRIOR))).astype(np.float32)
 
-def gates(x: list[np.ndarray], code: Code, at: np.ndarray) -> np.ndarray:
-    sure = []
-    for v in (np.abs(x[1]), np.abs(x[-1])):
-        sure.append((v > 0.01).view(np.uint8) + (v > 2).view(np.uint8))
-    return (code.gate[at] * 16 + sure[0] * 4 + sure[1]).astype(np.intp)
 
+def classes(joined: bytes) -> np.ndarray:
+    """For words joined by line ends: a number under CLASSES by the last two bytes of each."""
+    data = np.frombuffer(b"\n\n" + joined + b"\n", np.uint8).astype(np.int64)
+    ends = np.flatnonzero(data == 10)[2:]
+    last, before = data[ends - 1], data[ends - 2]
+    return ((last * 257 + np.where(last == 10, 0, before)) * 40503 >> 4) % CLASSES
 
-class _Ids(dict):
-    """Numbers of words; a word that has none gets the last number."""
 
-    def __missing__(self, word: bytes) -> int:
-        return self.other
+class Model:
+    """What scoring needs. words, counts: the frequent ones; by_class: tokens of each class, those of frequent words left out."""
 
+    def __init__(self, words: list[bytes], counts: list[int], by_class: np.ndarray, total: int, distinct: int, new: int, bits: int) -> None:
+        self.words, self.n, self.v, self.by_class, self.bits = words, total, distinct, by_class, bits
+        self.ids = {w: i for i, w in enumerate(words)}
+        self.new = len(words) + CLASSES  # the symbol of a new word
+        self.code, self.bytes = Code([*counts, *by_class.tolist(), new]), byte_code()
+        few = min(FEW, len(words)) + 1
+        self.few, self.rows = few, (1, self.new + 2, few * 33, PAIRS, few * few)
+        self.tables: list[list[np.ndarray]] = [[], []]  # log odds, or (zeros, ones) while weights learn
+        tree = np.array([0.1, 0.3, 0.2, 0.2, 0.2, 0.0])
+        self.weights = [np.tile(tree, (GATES, 1)), np.tile([0.1, 0.2, 0.4, 0.3, 0.0], (GATES, 1)), np.tile([0.1, 0.0, -1.0], (LEVELS, 1)), np.tile([0.3, 0.5, 0.0], (LEVELS, 1))]
 
-class Model:
-    """What scoring needs. size: tokens of the learning texts and distinct ones among them."""
-
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int) -> None:
-        self.words, self.n, self.v = words, total, distinct
-        self.strength = 0.0  # how many tokens the decisions weigh as much as, against the counts of pairs
-        self.once, self.twice = 0, 0  # distinct words of the learning texts that occur so often
-        self.counts = np.array([*counts, 0], np.int64)
-        self.ids = _Ids(zip(words, range(len(words)), strict=True))
-        self.ids.other = len(words)
-        rest = max(1, total - sum(counts))
-        self.code, self.bytes = Code([*counts, rest]), None
-        self.classes = np.array([*map(_class, words), 0], np.uint32)
-        self.tables: list[list[np.ndarray]] = []
-        self.weights = np.tile(np.array([0.2, 0.3, 0.3, 0.3, 0.0], np.float32), (2, GATES, 1))
-
-    def spelling(self) -> None:
-        letters = np.bincount(np.frombuffer(b"".join(self.words), np.uint8), minlength=257)
-        letters[END_OF_WORD] = len(self.words)
-        self.bytes = Code((letters + 1).tolist())
-
-    # words
-
-    def word_contexts(self, docs: list[list[bytes]]):
-        """For the tokens of docs, one after the other: ids, contexts, the document of each and its place there."""
-        other = len(self.words)
-        flat = list(chain.from_iterable(docs))
-        sym = np.fromiter(map(self.ids.__getitem__, flat), np.int64, len(flat))
-        kind = self.classes[sym]
-        rare = np.flatnonzero(sym == other)
-        if len(rare):
-            kind[rare] = [_class(flat[i]) for i in rare]
-        size = np.array([len(d) for d in docs])
-        first = np.cumsum(size) - size
-        place = np.arange(len(flat)) - np.repeat(first, size)
-        before = lambda a, k, none: np.where(place >= k, np.concatenate((np.full(k, none, a.dtype), a[:-k]))[: len(a)], none)
-        last, one, two = before(sym, 1, other + 1), before(kind, 1, 64), before(kind, 2, 64)
-        far = np.zeros(len(flat), np.uint32)
-        for k in (1, 2, 3, 4):  # coarse classes of the four words before
-            far = far * np.uint32(17) + (before(kind, k, 64) >> np.uint32(2))
-        contexts = (None, _mix(last.astype(np.uint32) * _K2), _mix((one * np.uint32(65) + two + np.uint32(7)) * _K1), _mix((far + np.uint32(3)) * np.uint32(0x165667B1)))
-        return flat, sym, rare, contexts, np.repeat(np.arange(len(docs)), size), place
-
-    # bytes
-
-    def spelled(self, words: list[bytes]):
-        """The symbols of words spelt out, their contexts and the word of each."""
-        data = np.frombuffer(b"".join(words), np.uint8)
-        size = np.array([len(w) for w in words]) + 1
-        last = np.cumsum(size) - 1
-        sym = np.full(last[-1] + 1, END_OF_WORD, np.int64)
-        inside = np.ones(len(sym), bool)
-        inside[last] = False
-        sym[inside] = data
-        place = np.arange(len(sym)) - np.repeat(last - size + 1, size)
-        contexts, history = [], np.zeros(len(sym), np.uint32)
-        for k in range(1, max(ORDERS) + 1):
-            shifted = np.concatenate((np.zeros(k, np.int64), sym[:-k]))[: len(sym)]
-            history = history * np.uint32(263) + np.where(place >= k, shifted + 1, 0).astype(np.uint32)
-            if k in ORDERS:
-                contexts.append(_mix((history + np.uint32(k)) * np.uint32(0x27D4EB2F)))
-        # all of the word so far: differences of a running sum with weights that depend on the place
-        powers = np.cumprod(np.full(size.max() + 1, 263, np.uint32), dtype=np.uint32)
-        run = np.concatenate((np.zeros(1, np.uint32), np.cumsum((sym + 1).astype(np.uint32) * powers[place] * (powers[place] ^ _K1), dtype=np.uint32)))
-        begin = np.repeat(last - size + 1, size)
-        contexts.append(_mix((run[:-1] - run[begin] + np.uint32(11)) * np.uint32(0x27D4EB2F)))
-        return sym, tuple(contexts), np.repeat(np.arange(len(words)), size)
-
-    def sum(self, part: int, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        w = np.ascontiguousarray(self.weights[part].T)
-        s = w[-1].take(gate)
-        for i, v in enumerate(x):
-            s += v * w[i].take(gate)
-        return np.clip(s, -30, 30, out=s)
-
-    def spell_cost(self, words: list[bytes]) -> np.ndarray:
-        """The log10 probability of each word's spelling."""
-        out = np.empty(len(words))
-        begin = 0
-        while begin < len(words):
-            end, size = begin, 0
-            while end < len(words) and size < 4_000:
-                size += len(words[end]) + 1
-                end += 1
-            sym, contexts, word = self.spelled(words[begin:end])
-            which, at = self.bytes.expand(sym)
-            x, gate = mixed(self.tables[1], self.bytes, at, slots(1, self.bytes, which, at, contexts))
-            s = self.sum(1, x, gate)
-            cost = np.log(1 / (1 + np.exp(s * self.bytes.sign[at])))
-            out[begin:end] = np.bincount(word[which], cost, end - begin)
-            begin = end
-        return out / math.log(10)
-
-    def uncoded(self, spelt: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The log probabilities after an escape of words with these log probabilities of spelling and counts (0: unknown)."""
-        tokens, words = self.n - int(self.counts.sum()), self.v - len(self.words)
-        if words <= 0:
-            return spelt
-        discount = (self.once + 0.5) / (self.once + 2 * self.twice + 1)
-        left = math.log(discount * words / tokens)
-        known = np.log(np.maximum(counts - discount, 1e-300) / tokens)
-        return np.where(counts > 0, np.logaddexp(known, left + spelt), left + spelt)
-
-    def score(self, docs: list[list[bytes]], spell: dict[bytes, float], count: dict[bytes, int] | None = None, pairs: np.ndarray | None = None):
-        """For each of docs (tokens): log10 probability; and all tokens with their ids and counts, for the base. spell keeps costs of
-        spellings, count has those of the learnt words without a code, pairs that of each token with the word before it."""
-        flat, sym, rare, contexts, doc, place = self.word_contexts(docs)
-        odd = [flat[i] for i in rare]
-        new = [w for w in dict.fromkeys(odd) if w not in spell]
-        if new:
-            spell.update(zip(new, self.spell_cost(new).tolist(), strict=True))
-        order = np.argsort(place // PACE, kind="stable")
-        rounds = np.cumsum(np.bincount(place // PACE))
-        logp = np.zeros(len(flat))
-        moved = np.zeros((TABLES + 1, len(docs) * 4), np.float32)  # of each document's weights, and its offsets
+
+# ---- a block ----
+
+
+def _before(a: np.ndarray, place: np.ndarray, k: int, none: int) -> np.ndarray:
+    """What stands k places before, in the same text."""
+    out = np.full(len(a), none, a.dtype)
+    out[k:] = a[:-k] if k < len(a) else a[:0]
+    out[place < k] = none
+    return out
+
+
+def occurrences(doc: np.ndarray, value: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry: how often its value stands before it in its text, and how often in all of the text."""
+    key = doc.astype(np.int64) * max(1, distinct) + value
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    size = np.diff(first, append=len(key))
+    early, all_ = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    early[order] = np.arange(len(key)) - np.repeat(first, size)
+    all_[order] = np.repeat(size, size)
+    return early, all_
+
+
+class Block:
+    """Texts as numbers of words in a list of their own, one text after the other."""
+
+    def __init__(self, ids: bytes, size: bytes, learn: bytes, words: bytes) -> None:
+        self.ids, self.size, self.learn = unpack(ids).astype(np.int64), unpack(size), unpack(learn).astype(bool)
+        self.joined = pa.decompress(words[8:], decompressed_size=int.from_bytes(words[:8], "little"), codec="zstd", asbytes=True) if words[8:] else b""
+        self.words = self.joined.split(b"\n")
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.first = np.cumsum(self.size) - self.size
+        self.place = np.arange(len(self.ids)) - np.repeat(self.first, self.size)
+        self.learns = self.learn[self.doc]
+
+    def shard(self, shards: int) -> np.ndarray:
+        """That of each word."""
+        return np.fromiter(map(zlib.crc32, self.words), np.int64, len(self.words)) % shards
+
+    def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the pair that each token makes with the one before (an end before the first), then of each segment's context, then of
+        each segment; and the segments' begins and ends."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))[self.ids]
+        end = np.uint64(xxhash.xxh3_64_intdigest(b""))
+        back = [np.where(self.place >= k, np.concatenate((np.full(min(k, len(h)), end), h[:-k])), end) for k in (1, 2, 3, 4)]
+        pair = _mix(h + back[0] * _C)
+        context = np.zeros(len(h), np.uint64)
+        for b in back:
+            context = (context + b) * _C
+        context = _mix(context ^ np.uint64(0xA5A5))
+        begin = np.flatnonzero((self.place == 0) | ((context >> np.uint64(33)) % np.uint64(SPAN) == 0))
+        end_ = np.append(begin[1:], len(h))
+        powers = np.cumprod(np.full(len(h), _C), dtype=np.uint64)
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)))
+        undo = np.cumprod(np.full(len(h), _BACK), dtype=np.uint64)
+        segment = _mix((run[end_] - run[begin]) * undo[begin] + context[begin])
+        return np.concatenate((pair, context[begin], segment)) >> np.uint64(64 - bits), begin, end_
+
+    def known(self, model: Model, totals: np.ndarray, of_keys: np.ndarray) -> None:
+        """Counts as they are before each token; the symbols; the shares of words in their classes."""
+        n, ids, doc, learns = len(self.ids), self.ids, self.doc, self.learns
+        self.total = totals.astype(np.int64)[ids]
+        early, own = occurrences(doc, ids, len(self.words))
+        count = self.total + early - np.where(learns, own, 0)
+        top = np.fromiter((model.ids.get(w, -1) for w in self.words), np.int64, len(self.words))
+        kind = classes(self.joined)
+        sym, cls = top[ids], kind[ids]
+        rare = np.flatnonzero(sym < 0)
+        early, own = occurrences(doc[rare], cls[rare], CLASSES)
+        inside = model.by_class[cls[rare]] + early - np.where(learns[rare], own, 0)
+        there = count[rare] > 0
+        self.new = rare[~there]
+        sym[rare] = np.where(there, len(model.words) + cls[rare], model.new)
+        self.share = np.zeros(n)
+        self.share[rare[there]] = np.log(count[rare][there] / inside[there])
+        self.sym, self.suffix = sym, cls % 32
+
+        keys, self.begin, self.end = self.keys(model.bits)
+        where = np.unique(keys, return_inverse=True)[1]
+        self.pair = self._live(doc, where[:n], of_keys)
+        self.left = np.where(self.place > 0, np.concatenate((np.zeros(1, np.int64), count[:-1])), 0)  # of the word before, as one that is followed
+        at = self.place == 0
+        ends = int(totals[self.words.index(b"")]) if len(self.words) and n else 0
+        self.left[at] = ends - learns[at]
+        at, m = self.doc[self.begin], len(self.begin)
+        self.context = self._live(at, where[n : n + m], of_keys)
+        self.segment = self._live(at, where[n + m :], of_keys)
+
+    def _live(self, doc: np.ndarray, key: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        early, own = occurrences(doc, key, len(totals))
+        return totals[key].astype(np.int64) + early - np.where(self.learn[doc], own, 0)
+
+    def contexts(self, model: Model) -> list[np.ndarray]:
+        """The row of each token in the tables of each predictor: none; the symbol before; the last of the few most frequent words, and
+        the end of the word before; the two symbols before; the last two of the few."""
+        sym, place, few = self.sym, self.place, model.few
+        one, two = _before(sym, place, 1, model.new + 1), _before(sym, place, 2, model.new + 1)
+        n = len(sym)
+        at = np.maximum.accumulate(np.where(sym < few - 1, np.arange(n), -1))
+        last = _before(at, place, 1, -1)
+        last[last < np.repeat(self.first, self.size)] = -1
+        f1 = np.where(last >= 0, sym[last], few - 1)
+        f2 = np.where(last >= 0, f1[last], few - 1)
+        both = _mix((one * (model.new + 2) + two).astype(np.uint64)) % np.uint64(PAIRS)
+        return [np.zeros(n, np.int64), one, f1 * 33 + _before(self.suffix, place, 1, 32), both.astype(np.int64), f1 * few + f2]
+
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The symbols of words spelt out, their contexts and the word of each."""
+    data = np.frombuffer(b"".join(words), np.uint8)
+    size = np.array([len(w) for w in words]) + 1
+    last = np.cumsum(size) - 1
+    sym = np.full(last[-1] + 1, END_OF_WORD, np.int64)
+    inside = np.ones(len(sym), bool)
+    inside[last] = False
+    sym[inside] = data
+    place = np.arange(len(sym)) - np.repeat(last - size + 1, size)
+    contexts, history = [], np.zeros(len(sym), np.uint64)
+    for k in range(1, max(ORDERS) + 1):
+        history = history * np.uint64(263) + (_before(sym, place, k, -1) + 1).astype(np.uint64)
+        if k in ORDERS:
+            contexts.append(_mix(history + np.uint64(k << 40)))
+    return sym, contexts, np.repeat(np.arange(len(words)), size)
+
+
+def byte_slots(code: Code, which: np.ndarray, at: np.ndarray, contexts: list[np.ndarray]) -> list[np.ndarray]:
+    """The address of each decision in each of the bytes' tables."""
+    here = code.nodes[at].astype(np.uint64) * _C
+    return [((c[which] + here) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(contexts, BYTE_BITS, strict=True)]
+
+
+def sliced(words: list[bytes], most: int = 8000) -> Iterator[tuple[int, int]]:
+    """Runs of words with about that many bytes."""
+    begin, size = 0, 0
+    for i, w in enumerate(words):
+        size += len(w) + 1
+        if size >= most or i == len(words) - 1:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+
+
+def gates(depth: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By the depth (times 16) and by how sure two predictors are."""
+    x, y = np.abs(x), np.abs(y)
+    return (depth + ((x > 0.1).view(np.uint8) + (x > 1) + (x > 3)) * np.uint8(4) + ((y > 0.1).view(np.uint8) + (y > 1) + (y > 3))).astype(np.intp)
+
+
+class Learner:
+    """Weights that learn online, by Newton's method with all the curvature so far."""
+
+    def __init__(self, weights: list[np.ndarray]) -> None:
+        self.weights = [w.copy() for w in weights]
+        self.bend = [np.zeros((*w.shape, w.shape[1])) for w in weights]
+
+    def step(self, part: int, gate: np.ndarray, x: np.ndarray, e: np.ndarray, v: np.ndarray) -> None:
+        """x: inputs and a one, a row for each decision; e: what came less the probability of a one; v: curvature."""
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        ends = np.cumsum(np.bincount(gate, minlength=len(self.weights[part]))).tolist()
+        x, e, v = x[order], e[order], v[order]
         begin = 0
-        for end in rounds if len(self.words) else ():  # a code of one symbol has no decisions
-            error = np.zeros(moved.shape)
-            for k in range(begin, end, CHUNK):  # a few tokens at a time, so that all stays in the cache
-                part = order[k : min(end, k + CHUNK)]
-                which, at = self.code.expand(sym[part])
-                starts = np.flatnonzero(np.diff(which, prepend=-1))
-                which = part[which]
-                x, gate = mixed(self.tables[0], self.code, at, slots(0, self.code, which, at, contexts))
-                cell = doc[which] * 4 + (gate >> 4)
-                s = self.sum(0, x, gate) + moved[-1].take(cell)
-                for v, m in zip(x, moved, strict=False):
-                    s += v * m.take(cell)
-                np.clip(s, -30, 30, out=s)
-                sign = self.code.sign[at]
-                p = 1 / (1 + np.exp(s * sign))  # of what came
-                logp[part] = np.add.reduceat(np.log(p), starts)
-                e = sign * (p - 1)
-                error[-1] += np.bincount(cell, e, moved.shape[1])
-                for i, v in enumerate(x):
-                    error[i] += np.bincount(cell, e * v, moved.shape[1])
-            error[:-1] *= TURN
-            error[-1] *= RATE
-            moved += error.astype(np.float32)
+        for g, end in enumerate(ends):
+            if end > begin:
+                rows = x[begin:end]
+                self.bend[part][g] += (rows * v[begin:end, None]).T @ rows
+                slope = rows.T @ e[begin:end]
+                self.weights[part][g] += np.clip(np.linalg.solve(self.bend[part][g] + HOLD * np.eye(rows.shape[1]), slope), -1, 1)
             begin = end
-        known = self.counts[sym]
-        if len(rare):
-            known[rare] = [(count or {}).get(w, 0) for w in odd]
-            logp[rare] += self.uncoded(np.fromiter(map(spell.__getitem__, odd), float, len(odd)) * math.log(10), known[rare])
-        if pairs is not None and self.strength:
-            before_it = np.roll(known, 1)  # a text begins after an end
-            prior = math.log(self.strength) + logp
-            logp = np.where(pairs > 0, np.logaddexp(np.log(np.maximum(pairs, 1)), prior), prior) - np.log(before_it + self.strength)
-        return np.bincount(doc, logp, len(docs)) / math.log(10), known, doc
 
+    def sums(self) -> np.ndarray:
+        """Curvatures, and weights times curvatures, which add up over tasks."""
+        return np.concatenate([a.ravel() for w, b in zip(self.weights, self.bend, strict=True) for a in (b, np.einsum("gij,gj->gi", b, w))])
 
-def _class(w: bytes) -> int:
-    """One of 64 classes of words, by the last two bytes."""
-    return ((w[-1] * 31 + (w[-2] if len(w) > 1 else 0)) * 0x9E37 >> 7) & 63 if w else 63
 
+def averaged(first: list[np.ndarray], sums: np.ndarray) -> list[np.ndarray]:
+    """The weights of all tasks, averaged by their curvatures; the first ones count for HOLD decisions."""
+    out, at = [], 0
+    for w in first:
+        g, n = w.shape
+        bend = sums[at : at + g * n * n].reshape(g, n, n) + HOLD * np.eye(n)
+        pull = sums[at + g * n * n : at + g * n * n + g * n].reshape(g, n) + HOLD * w
+        out.append(np.round(np.linalg.solve(bend, pull[..., None])[..., 0], 6))
+        at += g * n * n + g * n
+    return out
 
-# ---- counting ----
 
+def _counted(tables: list[np.ndarray], addresses: list[np.ndarray], bits: np.ndarray) -> list[np.ndarray]:
+    """Log odds from tables of counts, this very decision taken out."""
+    out = []
+    for t, a in zip(tables, addresses, strict=True):
+        c = t[a]
+        c[np.arange(len(c)), bits] -= 1
+        out.append(odds(np.maximum(c, 0, out=c)))
+    return out
 
-def pair_keys(docs: list[list[bytes]]) -> np.ndarray:
-    """A 64-bit hash of each token of docs, one after the other, with the word before it; the first of a text follows an end."""
-    flat = list(chain.from_iterable(docs))
-    ids: dict[bytes, int] = {}
-    number = np.fromiter((ids.setdefault(w, len(ids)) for w in flat), np.int64, len(flat))
-    h = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in ids), np.uint64, len(ids))[number]
-    x = h + np.roll(h, 1) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+def _p(s: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """The probability of what came."""
+    return 1 / (1 + np.exp(np.clip(s, -30, 30) * sign))
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte, so that the upper bytes compress."""
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
+def learn_tree(model: Model, learner: Learner, part: int, code: Code, symbols: np.ndarray, addresses) -> np.ndarray:
+    """The log probability of each symbol, with weights that learn from it. addresses(which, at) gives those of decisions."""
+    which, at = code.expand(symbols)
+    x = _counted(model.tables[part], addresses(which, at), code.bits[at])
+    g = gates(code.gate[at], x[1], x[-1])
+    rows = np.stack((*x, np.ones(len(at), np.float32)), axis=1)
+    sign = code.sign[at]
+    p = _p((rows * learner.weights[part][g]).sum(axis=1), sign)
+    learner.step(part, g, rows, sign * (p - 1), p * (1 - p))
+    return np.bincount(which, np.log(p), len(symbols))
 
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+def spelling(model: Model, words: list[bytes], learner: Learner | None = None) -> np.ndarray:
+    """The log probability of each word's spelling."""
+    out, code = np.zeros(len(words)), model.bytes
+    for a, b in sliced(words):
+        sym, contexts, word = spelled(words[a:b])
+        if learner:
+            p = learn_tree(model, learner, BYTES, code, sym, lambda which, at, c=contexts: byte_slots(code, which, at, c))
+            out[a:b] = np.bincount(word, p, b - a)
+            continue
+        which, at = code.expand(sym)
+        x = [t.take(i) for t, i in zip(model.tables[BYTES], byte_slots(code, which, at, contexts), strict=True)]
+        w = model.weights[BYTES].astype(np.float32).T
+        g = gates(code.gate[at], x[1], x[-1])
+        s = w[-1].take(g)
+        for v, k in zip(x, w, strict=False):
+            s += v * k.take(g)
+        out[a:b] = np.bincount(word[which], np.log(_p(s, code.sign[at])), b - a)
+    return out
 
 
-def _shards(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
-    """(shard, begin, end) of the runs of sorted keys that belong to one shard."""
-    ends = np.searchsorted(keys, np.array([((s + 1) << 64) // shards - 1 for s in range(shards)], np.uint64), "right").tolist()
+def tree(model: Model, block: Block, rows: list[np.ndarray]) -> np.ndarray:
+    """The log probability of each token's symbol. Texts go on side by side, each with weights of its own that move every few tokens."""
+    code, sym, nodes = model.code, block.sym, model.code.n - 1
+    logp = np.zeros(len(sym))
+    rank = np.empty(len(block.size), np.int64)
+    rank[np.argsort(-block.size, kind="stable")] = np.arange(len(block.size))
+    rank = rank[block.doc]
+    turn = np.where(block.place < LATER, block.place // PACE, LATER // PACE + (block.place - LATER) // SLOW)
+    order = np.argsort(turn * max(1, len(block.size)) + rank, kind="stable")
+    w = [np.ascontiguousarray(k) for k in model.weights[WORDS].astype(np.float32).T]
+    moved = np.zeros((len(w), 4 * len(block.size)), np.float32)  # of each text's weights, by depth, and its offsets
+    rows = [r * nodes for r in rows]
     begin = 0
-    for shard, end in enumerate(ends):
-        if end > begin:
-            yield shard, begin, end
+    for end in np.cumsum(np.bincount(turn)).tolist():
+        texts = 4 * (int(rank[order[begin:end]].max()) + 1)
+        error = np.zeros((len(w), texts))
+        for k in range(begin, end, CHUNK):
+            part = order[k : min(end, k + CHUNK)]
+            which, at = code.expand(sym[part])
+            node = code.nodes.take(at)
+            x = [t.take(r[part].take(which) + node) for t, r in zip(model.tables[WORDS], rows, strict=True)]
+            g = gates(code.gate.take(at), x[1], x[-1])
+            cell = rank[part].take(which) * 4 + (g >> 4)
+            s = w[-1].take(g) + moved[-1].take(cell)
+            for v, a, m in zip(x, w, moved, strict=False):
+                s += v * (a.take(g) + m.take(cell))
+            sign = code.sign.take(at)
+            p = _p(s, sign)
+            logp[part] = np.bincount(which, np.log(p), len(part))
+            e = sign * (p - 1)
+            error[-1] += np.bincount(cell, e, texts)
+            for i, v in enumerate(x):
+                error[i] += np.bincount(cell, e * v, texts)
+        error[:-1] *= TURN
+        error[-1] *= RATE
+        moved[:, :texts] += error
         begin = end
+    return logp
+
+
+def blend(weights: np.ndarray, logp: np.ndarray, count: np.ndarray, of: np.ndarray, doc: np.ndarray, learner: Learner | None, part: int, learns: np.ndarray) -> np.ndarray:
+    """The log probability of entries that are taken, as a decision has it, from their share count / of, or else have logp. The decision's
+    inputs are how often such a count was there so far in the text, and whether it was the last time; its gate is the size of `of`."""
+    out = logp.copy()
+    at = np.flatnonzero(of > 0)
+    if not len(at):
+        return out
+    y, d = (count[at] > 0).astype(np.int64), doc[at]
+    start = np.flatnonzero(np.diff(d, prepend=-1))
+    size = np.diff(start, append=len(d))
+    place = np.arange(len(d)) - np.repeat(start, size)
+    ones = np.cumsum(y) - y
+    ones -= np.repeat(ones[start], size)
+    last = np.where(place > 0, np.concatenate((np.zeros(1, np.int64), y[:-1])) * 2 - 1, 0)
+    x = np.stack((np.log((ones + 0.5) / (place - ones + 0.5)), last, np.ones(len(at))), axis=1)
+    g = np.minimum(np.log2(of[at]).astype(np.intp), LEVELS - 1)
+    share, rest = np.log(np.maximum(count[at], 1e-300) / of[at]), logp[at]
+    for a in range(0, len(at), STEP) if learner else (0,):
+        k = slice(a, a + STEP) if learner else slice(None)
+        s = np.clip((x[k] * (learner.weights[part] if learner else weights)[g[k]]).sum(axis=1), -30, 30)
+        yes, no = -np.log1p(np.exp(-s)) + share[k], -np.log1p(np.exp(s)) + rest[k]
+        both = np.where(y[k] > 0, np.logaddexp(yes, no), no)
+        out[at[k]] = both
+        if learner:
+            own = learns[at[k]]
+            p = 1 / (1 + np.exp(-s))
+            e = np.exp(np.where(y[k] > 0, yes - both, -np.inf)) - p
+            learner.step(part, g[k][own], x[k][own], e[own], (p * (1 - p))[own])
+    return out
 
 
-def _batches(docs: Iterator[list[bytes]], size: int) -> Iterator[list[list[bytes]]]:
-    held, n = [], 0
-    for d in docs:
-        held.append(d)
-        n += len(d)
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def follow(model: Model, block: Block, learner: Learner | None = None) -> np.ndarray:
+    """The log10 probability of each text of a block whose counts are known. With a learner, only learning texts are gone over."""
+    logp = np.zeros(len(block.ids))
+    rows, nodes = block.contexts(model), model.code.n - 1
+    if learner:
+        mine = np.flatnonzero(block.learns)
+        for k in range(0, len(mine), STEP):
+            part = mine[k : k + STEP]
+            at_ = lambda which, at, p=part: [r[p].take(which) * nodes + model.code.nodes.take(at) for r in rows]
+            logp[part] = learn_tree(model, learner, WORDS, model.code, block.sym[part], at_)
+    else:
+        logp = tree(model, block, rows)
+    logp += block.share
+    new = np.unique(block.ids[block.new] if not learner else block.ids[block.new[block.learns[block.new]]])
+    spell = np.zeros(len(block.words))
+    spell[new] = spelling(model, [block.words[i] for i in new], learner)
+    logp[block.new] += spell[block.ids[block.new]]
+    logp = blend(model.weights[PAIR], logp, block.pair, block.left, block.doc, learner, PAIR, block.learns)
+    whole = np.add.reduceat(logp, block.begin)
+    doc = block.doc[block.begin]
+    whole = blend(model.weights[SEG], whole, block.segment, block.context, doc, learner, SEG, block.learn[doc])
+    return np.bincount(doc, whole, len(block.size)) / math.log(10)
 
 
-COUNTED = "block int, word binary, n bigint, shard int, keys binary, counts binary"
+# ---- counting ----
 
+MADE = "block bigint, doc_id array<{kind}>, learn binary, bytes binary, size binary, ids binary, words binary"
 
-def _counter(blocks: int):
-    """The words of each block, and how often they are in its learning texts (block, word, n); likewise for the keys of its pairs of words,
-    a row for each shard (block, shard, keys, counts)."""
-    kind = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _numbered(kind: pa.DataType, most: int):
+    """Blocks of texts (doc_id, learn, text), as numbers of the words in a list of the block's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {}
-        pairs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, words in seen.items():
-                keys, values = list(words), list(words.values())
-                for i in range(0, len(keys), 50_000):
-                    k = keys[i : i + 50_000]
-                    none = [pa.nulls(len(k), t) for t in (pa.int32(), pa.binary(), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(k), pa.int32()), pa.array(k, pa.binary()), pa.array(values[i : i + 50_000], pa.int64()), *none], schema=kind)
-            seen.clear()
+        task, made = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+        numbers, ids, size, learn, length, names = _Numbers(), [], [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made, numbers
+            words = b"\n".join(numbers)
+            values = pa.concat_arrays(names)
+            row = {
+                "learn": pack(np.array(learn, np.uint8)), "bytes": pack(np.array(length, np.int64)), "size": pack(np.array(size, np.int64)),
+                "ids": pack(np.array(ids, np.uint32)), "words": len(words).to_bytes(8, "little") + (pa.compress(words, codec="zstd", asbytes=True) if words else b""),
+            }
+            block = pa.array([(task << 32) + made], pa.int64())
+            out = pa.RecordBatch.from_arrays([block, pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), *(pa.array([x], pa.binary()) for x in row.values())], ["block", "doc_id", *row])
+            made, numbers = made + 1, _Numbers()
+            for x in (ids, size, learn, length, names):
+                x.clear()
+            return out
 
         for batch in batches:
-            ids, learns, docs = batch.column("block").to_pylist(), batch.column("learn").to_pylist(), [tokens(t) for t in batch.column("text").to_pylist()]
-            for block, learn, doc in zip(ids, learns, docs, strict=True):
-                words = seen.setdefault(block, Counter())
-                words.update(doc if learn else dict.fromkeys(doc, 0))
-            if docs:
-                size = [len(d) for d in docs]
-                keys, of, learnt = pair_keys(docs), np.repeat(ids, size), np.repeat(learns, size)
-                for block in set(ids):
-                    pairs.setdefault(block, []).append((keys[of == block], learnt[of == block]))
-            if sum(map(len, seen.values())) > FLUSH:
-                yield from flush()
-        yield from flush()
-        for block, held in pairs.items():
-            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([x for _, x in held]), len(keys)).astype(np.uint32)
-            for shard, i, j in _shards(keys, blocks):
-                yield pa.RecordBatch.from_pylist([{"block": block, "shard": shard, "keys": _packed(keys[i:j]), "counts": zlib.compress(n[i:j].tobytes(), 1)}], kind)
+            doc, begin = batch.column("doc_id").cast(kind), 0
+            for i, (l, t) in enumerate(zip(batch.column("learn").to_pylist(), batch.column("text"), strict=True)):
+                data = t.as_py().encode("utf-8", "surrogatepass")
+                words = [*data.lower().split(), b""]
+                ids += map(numbers.__getitem__, words)
+                size.append(len(words))
+                learn.append(l)
+                length.append(len(data))
+                if len(ids) >= most:
+                    names.append(doc.slice(begin, i + 1 - begin))
+                    begin = i + 1
+                    yield flush()
+            if begin < len(doc):
+                names.append(doc.slice(begin))
+        if size:
+            yield flush()
 
     return run
 
 
-TOTALS = "block int, shard int, totals binary, once bigint"
+ASKED = "block bigint, shard int, kind int, data binary, counts binary"
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each shard and block, the counts over all blocks of the block's keys, in their order; once: keys of the shard with a count of one."""
-    kind = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("totals", pa.binary()), ("once", pa.int64())])
-    held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        for block, shard, keys, n in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "keys", "counts")), strict=True):
-            held.setdefault(shard, []).append((block, _unpacked(keys), np.frombuffer(zlib.decompress(n), np.uint32)))
-    for shard, parts in held.items():
-        keys, where = np.unique(np.concatenate([k for _, k, _ in parts]), return_inverse=True)
-        total = np.bincount(where, np.concatenate([n for _, _, n in parts]), len(keys)).astype(np.uint32)
-        once, begin = int((total == 1).sum()), 0
-        for block, k, _ in parts:
-            yield pa.RecordBatch.from_pylist([{"block": block, "shard": shard, "totals": zlib.compress(total[where[begin : begin + len(k)]].tobytes(), 1), "once": once}], kind)
-            once, begin = 0, begin + len(k)
-
-
-def strength(levels: list[tuple[int, int]], once: int) -> float:
-    """How many tokens the prior must weigh as much as, so that its share over the learning texts is that of the pairs that occur once.
-
-    levels: (tokens, distinct words) by the size of the words' counts."""
-    share = lambda a: sum(n * a / (n / words + a) for n, words in levels)
-    low, high = -10.0, 30.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if share(math.exp(mid)) < once else (low, mid)
-    return math.exp(low)
-
-
-def count(model: Model, docs: Iterator[list[bytes]]) -> list[list[np.ndarray]]:
-    """The tables of counts of docs: for words and bytes, for each context, (zeros, ones) of each slot in turn."""
-    sums = [[np.zeros(2 << b, np.uint32) for b in bits] for bits in SLOTS]
-    spelt: dict[bytes, int] = {}
-
-    def add(part: int, which: np.ndarray, at: np.ndarray, contexts, weight: np.ndarray | None = None) -> None:
-        code = (model.code, model.bytes)[part]
-        bit = code.bits[at]
-        for t, a in zip(sums[part], slots(part, code, which, at, contexts), strict=True):
-            np.add.at(t, (a * np.uint32(2) + bit).astype(np.intp), np.uint32(1) if weight is None else weight)
-
-    def spell() -> None:
-        words, counts = list(spelt), np.fromiter(spelt.values(), np.uint32, len(spelt))
-        for i in range(0, len(words), 400):
-            sym, contexts, word = model.spelled(words[i : i + 400])
-            which, at = model.bytes.expand(sym)
-            add(1, which, at, contexts, counts[i : i + 400][word[which]])
-        spelt.clear()
-
-    for batch in _batches(docs, 120_000):
-        flat, sym, rare, contexts, _, _ = model.word_contexts(batch)
-        for k in range(0, len(sym), CHUNK):
-            which, at = model.code.expand(sym[k : k + CHUNK])
-            add(0, which + k, at, contexts)
-        for i in rare:
-            spelt[flat[i]] = spelt.get(flat[i], 0) + 1
-        if len(spelt) > FLUSH:
-            spell()
-    if spelt:
-        spell()
-    return sums
-
-
-def _trainer(held):
+def _asked(shards: int, bits: int):
+    """What a block has, a row for each shard: its words (kind 0) and its keys (kind 1), with their counts in its learning texts."""
+    fields = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("counts", pa.binary())])
+    edges = np.array([((s + 1) << bits) // shards for s in range(shards - 1)], np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = count(held.value, (tokens(t) for batch in batches for t in batch.column("text").to_pylist()))
-        rows = [(p * TABLES + k, s // SEGMENT, t[2 * s : 2 * (s + SEGMENT)]) for p in range(2) for k, t in enumerate(sums[p]) for s in range(0, len(t) // 2, SEGMENT)]
-        rows = [(t, s, zlib.compress(x.tobytes(), 1)) for t, s, x in rows if x.any()]
-        for i in range(0, len(rows), 32):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 32], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "segment", "counts"])
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = Block(r["ids"], r["size"], r["learn"], r["words"])
+                rows = []
+                shard, n = b.shard(shards), np.bincount(b.ids[b.learns], minlength=len(b.words))
+                order = np.argsort(shard, kind="stable")
+                ends = np.cumsum(np.bincount(shard, minlength=shards)).tolist()
+                for s, (i, j) in enumerate(zip([0, *ends], ends, strict=False)):
+                    if j > i:
+                        words = b"\n".join([b.words[k] for k in order[i:j].tolist()])
+                        rows.append((s, 0, len(words).to_bytes(8, "little") + pa.compress(words, codec="zstd", asbytes=True), pack(_small(n[order[i:j]]))))
+                keys, begin, _ = b.keys(bits)
+                counts = np.concatenate((b.learns, b.learns[begin], b.learns[begin])).astype(np.float64)
+                keys, where = np.unique(keys, return_inverse=True)
+                n = np.bincount(where, counts, len(keys)).astype(np.int64)
+                ends = np.append(np.searchsorted(keys, edges), len(keys)).tolist()
+                for s, (i, j) in enumerate(zip([0, *ends], ends, strict=False)):
+                    if j > i:
+                        rows.append((s, 1, pack(np.diff(keys[i:j], prepend=np.uint64(0))), pack(_small(n[i:j]))))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(rows), pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(fields)[1:], strict=True))], schema=fields)
+
+    return run
+
+
+TOTALS = "block bigint, shard int, kind int, data binary, n bigint"
+STATS, FREQUENT, SPELT = 2, 3, 4
+
+
+def segments(tables: list[np.ndarray], kind: int) -> Iterator[pa.RecordBatch]:
+    """The cells of tables that aren't all zero, as rows (block: which table, shard: which segment)."""
+    for k, t in enumerate(tables):
+        t = t.ravel()
+        for s in range(0, len(t), SEGMENT):
+            x = t[s : s + SEGMENT]
+            if x.any():
+                yield _row(k, s // SEGMENT, kind, pack(_small(x)), None)
+
+
+def _row(block: int, shard: int, kind: int, data: bytes | None, n: int | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary()), pa.array([n], pa.int64())],
+        ["block", "shard", "kind", "data", "n"],
+    )
+
+
+def count_bytes(tables: list[np.ndarray], code: Code, words: list[bytes]) -> None:
+    """Adds each of the words, once, to the bytes' tables of counts (zeros, ones)."""
+    for a, b in sliced(words, 60_000):
+        sym, contexts, _ = spelled(words[a:b])
+        which, at = code.expand(sym)
+        for t, x in zip(tables, byte_slots(code, which, at, contexts), strict=True):
+            np.add.at(t.ravel(), x * 2 + code.bits[at], np.uint32(1))
+
+
+def _totals(top: int):
+    """For each shard and block the counts over all blocks, in the block's order; besides, for the model: (STATS) tokens of each class, at
+    -1 distinct words, at -2 words that occur once; (FREQUENT) the most frequent words; (SPELT) the bytes' tables, each word counted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_class, distinct, once, frequent = np.zeros(CLASSES, np.int64), 0, 0, []
+        code, tables = byte_code(), [np.zeros((1 << b, 2), np.uint32) for b in BYTE_BITS]
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for (shard, kind), held in groupby(rows, lambda r: (r["shard"], r["kind"])):
+            held = list(held)
+            if kind == 1:
+                parts = [np.cumsum(unpack(r["data"]), dtype=np.uint64) for r in held]
+                keys, where = np.unique(np.concatenate(parts), return_inverse=True)
+                total = np.bincount(where, np.concatenate([unpack(r["counts"]) for r in held]), len(keys)).astype(np.int64)
+                at = 0
+                for r, k in zip(held, parts, strict=True):
+                    yield _row(r["block"], shard, kind, pack(_small(total[where[at : at + len(k)]])), None)
+                    at += len(k)
+                continue
+            lists = [pa.decompress(r["data"][8:], decompressed_size=int.from_bytes(r["data"][:8], "little"), codec="zstd", asbytes=True).split(b"\n") if r["data"][:8].strip(b"\0") else [b""] for r in held]
+            total: dict[bytes, int] = {}
+            for r, words in zip(held, lists, strict=True):
+                for w, n in zip(words, unpack(r["counts"]).tolist(), strict=True):
+                    total[w] = total.get(w, 0) + n
+            for r, words in zip(held, lists, strict=True):
+                yield _row(r["block"], shard, kind, pack(_small(np.fromiter(map(total.__getitem__, words), np.int64, len(words)))), None)
+            learnt = {w: n for w, n in total.items() if n}
+            if learnt:
+                n = np.fromiter(learnt.values(), np.int64, len(learnt))
+                np.add.at(by_class, classes(b"\n".join(learnt)), n)
+                distinct, once = distinct + len(learnt), once + int((n == 1).sum())
+                frequent = heapq.nsmallest(top, [*frequent, *((-n, w) for w, n in learnt.items() if n > 1)])
+                count_bytes(tables, code, [w for w in learnt if w])
+        for c, n in [*enumerate(by_class.tolist()), (-1, distinct), (-2, once)]:
+            yield _row(0, c, STATS, None, n)
+        for n, w in frequent:
+            yield _row(0, 0, FREQUENT, w, -n)
+        yield from segments(tables, SPELT)
 
     return run
 
@@ -455,172 +672,139 @@ def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up the segments of a partition; there is a fixed number of them, however many tasks have sent theirs."""
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for p, s, x in zip(*(batch.column(c).to_pylist() for c in ("part", "segment", "counts")), strict=True):
-            x = np.frombuffer(zlib.decompress(x), np.uint32)
-            sums[p, s] = np.minimum(sums[p, s].astype(np.uint64) + x, 0xFFFFFFFF).astype(np.uint32) if (p, s) in sums else x
-    for (p, s), x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([s], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["part", "segment", "counts"])
+        for r in batch.to_pylist():
+            at, x = (r["block"], r["shard"]), unpack(r["data"]).astype(np.uint64)
+            sums[at] = sums[at] + x if at in sums else x
+    for (t, s), x in sums.items():
+        yield _row(t, s, 0, pack(_small(x)), None)
+
+
+def _gathered(rows: DataFrame, spread: int, sizes: list[int], label: str) -> list[np.ndarray]:
+    """The tables, added up; they have a fixed size."""
+    out = [np.zeros(n, np.float64) for n in sizes]
+    for r in written(rows.repartition(spread, "block", "shard").mapInArrow(_adder, TOTALS), label).select("block", "shard", "data").collect():
+        x = unpack(r.data)
+        out[r.block][r.shard * SEGMENT : r.shard * SEGMENT + len(x)] = x
+    return out
 
 
-def odds(counts: np.ndarray) -> np.ndarray:
-    return np.log((counts[:, 1] + np.float32(PRIOR)) / (counts[:, 0] + np.float32(PRIOR))).astype(np.float32)
+def _joined(shards: int):
+    """A block with its totals: of words in the order of its list, of keys in ascending order."""
 
+    def run(block: pa.Table, totals: pa.Table) -> pa.Table:
+        parts: dict[tuple[int, int], np.ndarray] = {}
+        for kind, shard, data in zip(*(totals.column(c).to_pylist() for c in ("kind", "shard", "data")), strict=True):
+            parts[kind, shard] = unpack(data)
+        of = lambda kind: np.concatenate([parts[k] for k in sorted(parts) if k[0] == kind])
+        r = block.drop_columns(["doc_id"]).to_pylist()[0]
+        b = Block(r["ids"], r["size"], r["learn"], r["words"])
+        total = np.empty(len(b.words), np.int64)
+        total[np.argsort(b.shard(shards), kind="stable")] = of(0)
+        return block.append_column("totals", pa.array([pack(_small(total))], pa.binary())).append_column("of_keys", pa.array([pack(_small(of(1)))], pa.binary()))
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {c: batch.column(c)[i].as_py() for c in ("ids", "size", "learn", "words", "totals", "of_keys")}
+            b = Block(r["ids"], r["size"], r["learn"], r["words"])
+            b.known(model, unpack(r["totals"]), unpack(r["of_keys"]))
+            yield batch.slice(i, 1), b
 
-def gradients(model: Model, counts: list[list[np.ndarray]], docs: Iterator[list[bytes]]) -> np.ndarray:
-    """For both parts and each gate: the gradient of the log probability of docs by the gate's weights, and then its curvature. docs are
-    learning texts; what a few of them have put into the counts is taken out for them, so that they are as new as a text to be scored."""
-    wide = TABLES + 1
-    out = np.zeros((2, GATES, wide + wide * wide))
-    own = [[np.zeros(t.size, np.uint32) for t in p] for p in counts]
-
-    def follow(part: int, decisions: list[tuple[np.ndarray, list[np.ndarray], np.ndarray | None]]) -> None:
-        code, tables, mine = (model.code, model.bytes)[part], counts[part], own[part]
-        for at, addresses, weight in decisions:
-            for t, a in zip(mine, addresses, strict=True):
-                np.add.at(t, (a * np.uint32(2) + code.bits[at]).astype(np.intp), np.uint32(1) if weight is None else weight)
-        for at, addresses, weight in decisions:
-            x = [odds(t[a] - np.minimum(t[a], o.reshape(-1, 2)[a])) for t, o, a in zip(tables, mine, addresses, strict=True)]
-            g = gates(x, code, at)
-            p = 1 / (1 + np.exp(-model.sum(part, x, g)))
-            e, v, rows = code.bits[at] - p, p * (1 - p), [*x, np.ones(len(at), np.float32)]
-            if weight is not None:
-                e, v = e * weight, v * weight
-            for i, a in enumerate(rows):
-                out[part, :, i] += np.bincount(g, e * a, GATES)
-                va = v * a
-                for j in range(i, wide):
-                    h = np.bincount(g, va * rows[j], GATES)
-                    out[part, :, wide + i * wide + j] += h
-                    if j > i:
-                        out[part, :, wide + j * wide + i] += h
-        for _, addresses, _ in decisions:
-            for t, a in zip(mine, addresses, strict=True):
-                t.reshape(-1, 2)[a] = 0
-
-    for batch in _batches(docs, CHUNK):
-        flat, sym, rare, contexts, _, _ = model.word_contexts(batch)
-        decisions = []
-        for k in range(0, len(sym), CHUNK):
-            which, at = model.code.expand(sym[k : k + CHUNK])
-            decisions.append((at, slots(0, model.code, which + k, at, contexts), None))
-        follow(0, decisions)
-        spelt = Counter(flat[i] for i in rare)
-        words, n = list(spelt), np.fromiter(spelt.values(), np.uint32, len(spelt))
-        decisions = []
-        for k in range(0, len(words), 400):
-            sym, contexts, word = model.spelled(words[k : k + 400])
-            which, at = model.bytes.expand(sym)
-            decisions.append((at, slots(1, model.bytes, which, at, contexts), n[k : k + 400][word[which]]))
-        follow(1, decisions)
-    return out
 
+def _counter(held):
+    """The symbols' counts of learning texts in each predictor's contexts."""
 
-def _gradients(held, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = held.value
-        model.weights = weights
-        sums = gradients(model, counts, (tokens(t) for batch in batches for t in batch.column("text").to_pylist())).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums, pa.float64())], ["k", "v"])
+        model: Model = held.value
+        tables = [np.zeros(r * model.code.n, np.uint32) for r in model.rows]
+        for _, b in _blocks(batches, model):
+            for t, r in zip(tables, b.contexts(model), strict=True):
+                np.add.at(t, r[b.learns] * model.code.n + b.sym[b.learns], np.uint32(1))
+        yield from segments(tables, 0)
 
     return run
 
 
-def stepped(weights: np.ndarray, first: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """The weights after a step of Newton's method; first counts for some decisions."""
-    wide = weights.shape[-1]
-    slope = sums[..., :wide] - HOLD * (weights - first)
-    bend = sums[..., wide:].reshape(*sums.shape[:-1], wide, wide) + HOLD * np.eye(wide)
-    return (weights + np.clip(np.linalg.solve(bend, slope[..., None])[..., 0], -1, 1)).astype(np.float32)
-
+def _learner(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = held.value
+        learner = Learner(model.weights)
+        for _, b in _blocks(batches, model):
+            follow(model, b, learner)
+        sums = learner.sums()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums, pa.float64())], ["k", "v"])
 
-# ---- the operator ----
+    return run
 
 
 def _scorer(held):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
-        count, parts = {}, {}
-        for word, n, shard, totals in zip(*(words.column(c).to_pylist() for c in ("word", "n", "shard", "totals")), strict=True):
-            if word is None:
-                parts[shard] = np.frombuffer(zlib.decompress(totals), np.uint32)
-            else:
-                count[word] = n
-        spell: dict[bytes, float] = {}
-        texts = docs.column("text")
-        n_tokens, n_known, base, total = [], [], [], []
         low = math.log10(model.n + model.v + 1)
-        keys = np.concatenate([pair_keys(batch) for batch in _batches((tokens(t.as_py()) for t in texts), 200_000)])
-        pairs = np.concatenate([parts[s] for s in sorted(parts)])[np.unique(keys, return_inverse=True)[1]]
-        begin = 0
-        for batch in _batches((tokens(t.as_py()) for t in texts), 200_000):
-            size = sum(map(len, batch))
-            score, c, doc = model.score(batch, spell, count, pairs[begin : begin + size])
-            begin += size
-            total += score.tolist()
-            n_tokens += [len(d) for d in batch]
-            n_known += np.bincount(doc, c > 0, len(batch)).astype(int).tolist()
-            base += np.bincount(doc, np.log10(c + 1.0) - low, len(batch)).tolist()
-        got = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64())]
-        return pa.table([docs.column("doc_id"), docs.column("learn"), docs.column("bytes"), *got], ["doc_id", "learn", "bytes", "n_tokens", "n_known", "base_score", "score"])
+        for row, b in _blocks(batches, model):
+            base = np.bincount(b.doc, np.log10(b.total + 1.0) - low, len(b.size))
+            known = np.bincount(b.doc, b.total > 0, len(b.size)).astype(np.int64)
+            got = [pa.array(b.learn), pa.array(unpack(row.column("bytes")[0].as_py())), pa.array(b.size), pa.array(known), pa.array(base), pa.array(follow(model, b))]
+            yield pa.RecordBatch.from_arrays([row.column("doc_id")[0].values, *got], ["doc_id", "learn", "bytes", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, learn, top: int = TOP) -> DataFrame:
+# ---- the operator ----
+
+
+def score_texts(docs: DataFrame, learn, top: int = TOP, block: int = BLOCK) -> DataFrame:
     """(doc_id, learn, bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of docs (doc_id, text).
 
-    learn: a Column, true of the rows that the counts are learnt from; null counts as false. base_score is the add-one unigram model.
-    A null text is empty: the end alone, and no bits_per_byte; repeated rows are counted and scored one by one; a null doc_id is
-    passed through. Without learning rows every word is unknown and is spelt. An empty table gives an empty result.
+    learn: a Column, true of the rows that the counts are learnt from; null counts as false. base_score is the add-one unigram model by
+    the counts of all learning rows; score is by the counts of all others. top: words with a symbol of their own, at most; of equally
+    frequent ones the smaller bytes win. A null text is empty: the end alone, and no bits_per_byte; repeated rows are counted and scored
+    one by one; a null doc_id is passed through. Without learning rows every word is new and is spelt. An empty table gives an empty
+    result. A text must fit in a task's memory.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select("doc_id", F.coalesce(learn, F.lit(False)).alias("learn"), text_of("text").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, math.ceil(size / BLOCK), min(spread, math.ceil(size / (1 << 20))))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-
-    seen = written(rows.select("block", "learn", "text").repartition(blocks, "block").mapInArrow(_counter(blocks), COUNTED), "words")
-    asked = seen.where("word is null").select("block", "shard", "keys", "counts").repartition(blocks, "shard")
-    pairs = written(asked.mapInArrow(_totals, TOTALS), "pairs")
-    seen = seen.where("word is not null").select("block", "word", "n")
-    counts = written(seen.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
-    total, distinct, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    levels = counts.groupBy(F.floor(F.log2("n"))).agg(F.sum("n"), F.count("*")).collect()  # some tens of rows
-    frequent = counts.where("n > 1").orderBy(F.col("n").desc(), "word").limit(top).toArrow()  # at most `top` rows
-    model = Model(frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), total, distinct)
-    model.spelling()
-    model.once, model.twice = once, twice
-    model.strength = strength([(n, words) for _, n, words in levels], pairs.agg(F.sum("once")).first()[0]) if total else 0.0
+    kind = docs.schema["doc_id"].dataType
+    rows = docs.select("doc_id", F.coalesce(learn, F.lit(False)).alias("learn"), text_of("text").alias("text"))
+    made, first = stored(rows.mapInArrow(_numbered(to_arrow_type(kind), block), MADE.format(kind=kind.simpleString())), "blocks")
+    blocks = made.count()
+    # more tokens than this can't be: each block but the last of a task has `block` of them, and its last text's
+    bits = min(64, max(32, math.ceil(math.log2(max(1, blocks) * block)) + SLACK))
+    shards = max(1, min(blocks, SHARDS))
+    asked = made.drop("doc_id", "bytes").mapInArrow(_asked(shards, bits), ASKED).repartition(max(spread, shards // 8), "shard")
+    totals, second = stored(asked.sortWithinPartitions("shard", "kind").mapInArrow(_totals(top), TOTALS), "totals")
+
+    stats = {r.shard: r.n for r in totals.where(F.col("kind") == STATS).groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a number for each class
+    frequent = totals.where(F.col("kind") == FREQUENT).orderBy(F.col("n").desc(), "data").limit(top).collect()  # at most `top` rows
+    words, counts = [bytes(r.data) for r in frequent], [r.n for r in frequent]
+    by_class = np.array([stats.get(c, 0) for c in range(CLASSES)], np.int64)
+    total = int(by_class.sum())
+    np.subtract.at(by_class, classes(b"\n".join(words)) if words else np.empty(0, np.int64), counts)
+    model = Model(words, counts, by_class, total, stats.get(-1, 0), stats.get(-2, 0), bits)
+    spelt = _gathered(totals.where(F.col("kind") == SPELT), spread, [2 << b for b in BYTE_BITS], "bytes")
+
+    both = made.groupBy("block").cogroup(totals.where("kind < 2").select("block", "kind", "shard", "data").groupBy("block"))
+    whole = written(both.applyInArrow(_joined(shards), MADE.format(kind=kind.simpleString()) + ", totals binary, of_keys binary"), "joined")
+    drop(spark, first, second)
 
     held = spark.sparkContext.broadcast(model)
-    segments = rows.where("learn").select("text").mapInArrow(_trainer(held), "part int, segment int, counts binary")
-    added = segments.repartition(spread, "part", "segment").mapInArrow(_adder, "part int, segment int, counts binary")
-    added = written(added, "tables")
+    symbols = _gathered(whole.drop("doc_id", "bytes").mapInArrow(_counter(held), TOTALS), spread, [r * model.code.n for r in model.rows], "symbols")
     held.destroy()
-    tables = [np.zeros((1 << b, 2), np.uint32) for bits in SLOTS for b in bits]
-    for r in added.collect():  # as large as the model, which has a fixed size
-        x = np.frombuffer(zlib.decompress(r.counts), np.uint32).reshape(-1, 2)
-        tables[r.part][r.segment * SEGMENT : r.segment * SEGMENT + len(x)] = x
-    parts = [tables[:TABLES], tables[TABLES:]]
-    held, first = spark.sparkContext.broadcast((model, parts)), model.weights
-    for _ in range(STEPS):
-        sums = rows.where("learn").select("text").mapInArrow(_gradients(held, model.weights), "k int, v double")
-        each = F.aggregate(F.sort_array(F.collect_list("v")), F.lit(0.0), lambda a, b: a + b)  # in an order of their own, so that no run differs
-        sums = np.array([r.v for r in sums.groupBy("k").agg(each.alias("v")).orderBy("k").collect()]).reshape(2, GATES, -1)  # a fixed number
-        model.weights = stepped(model.weights, first, sums) if sums.size else first
+    model.tables = [[model.code.by_node(t.reshape(-1, model.code.n)) for t in symbols], [t.reshape(-1, 2).astype(np.float32) for t in spelt]]
+    del symbols, spelt
+    held = spark.sparkContext.broadcast(model)
+    sums = whole.drop("doc_id", "bytes").mapInArrow(_learner(held), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # a fixed number
     held.destroy()
-    model.tables = [[odds(t) for t in p] for p in parts]
-    del tables, parts
+    if sums:
+        model.weights = averaged(model.weights, np.array([r.v for r in sums]))
+    model.tables = [[odds(t) for t in p] for p in model.tables]
 
     held = spark.sparkContext.broadcast(model)
-    top_words = seen.sparkSession.createDataFrame(pa.table({"word": pa.array(model.words, pa.binary())}))
-    near = seen.select("block", "word").join(F.broadcast(top_words), "word", "left_anti").join(counts, "word").select("block", "word", "n")
-    near = near.unionByName(pairs.select("block", "shard", "totals"), allowMissingColumns=True)
-    texts = rows.withColumn("bytes", F.octet_length("text").cast("long"))
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, learn boolean, bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-    out = texts.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(_scorer(held), kind)
+    out = whole.mapInArrow(_scorer(held), f"doc_id {kind.simpleString()}, learn boolean, bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long")).withColumn("bits_per_byte", F.when(F.col("bytes") > 0, -F.col("score") * math.log2(10) / F.col("bytes")))
 
 
