@@ -38,10 +38,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from skeinlog.llm.common import bounded_batches, crc_mod, drop, stored, table, text_of, written
 
-TOP = 1024  # words with a symbol of their own, at most
+TOP = 511  # words with a symbol of their own, at most
 CLASSES = 255  # of the other words
 FEW = 32  # words that stand for the language or the manner of a text
-PAIRS = 2048  # rows of the table whose context is two symbols
 ORDERS = (1, 2, 3, 4)  # of the bytes' contexts
 BYTE_BITS = (18, 18, 20, 20)  # of the addresses of the bytes' tables
 END_OF_WORD = 256
@@ -174,9 +173,9 @@ class Model:
         self.new = len(words) + CLASSES  # the symbol of a new word
         self.code, self.bytes = Code([*counts, *by_class.tolist(), new]), byte_code()
         few = min(FEW, len(words)) + 1
-        self.few, self.rows = few, (1, self.new + 2, few * 33, PAIRS, few * few)
-        self.tables: list[list[np.ndarray]] = [[], []]  # log odds, or (zeros, ones) while weights learn
-        tree = np.array([0.1, 0.3, 0.2, 0.2, 0.2, 0.0])
+        self.few, self.rows = few, (1, self.new + 2, few * 33, few * few)
+        self.tables: list[list[np.ndarray]] = [[], []]  # log odds; while weights learn, those without a zero and without a one, by turns
+        tree = np.array([0.1, 0.3, 0.3, 0.3, 0.0])
         self.weights = [np.tile(tree, (GATES, 1)), np.tile([0.1, 0.2, 0.4, 0.3, 0.0], (GATES, 1)), np.tile([0.1, 0.0, -1.0], (LEVELS, 1)), np.tile([0.3, 0.5, 0.0], (LEVELS, 1))]
 
 
@@ -191,12 +190,34 @@ def _before(a: np.ndarray, place: np.ndarray, k: int, none: int) -> np.ndarray:
     return out
 
 
-def occurrences(doc: np.ndarray, value: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: how often its value stands before it in its text, and how often in all of the text."""
-    key = doc.astype(np.int64) * max(1, distinct) + value
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
+def ordered(key: np.ndarray, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, from 0 to `high`, in ascending order, and the place that each comes from; equal keys keep their order. Where both fit in 64
+    bits, key and place are sorted as one number, which is several times faster than sorting places by key."""
+    bits = max(1, len(key)).bit_length()
+    if int(high).bit_length() + bits > 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = np.sort((key.astype(np.uint64) << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
+    return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def ranked(key: np.ndarray, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, and which of them each key is."""
+    key, order = ordered(key, high)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return key[new], which
+
+
+def occurrences(doc: np.ndarray, value: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry: how often its value, one of so many, stands before it in its text, and how often in all of the text."""
+    values = max(1, values)
+    key, order = ordered(doc * values + value, (int(doc[-1]) + 1) * values if len(doc) else 0)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
     size = np.diff(first, append=len(key))
     early, all_ = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
     early[order] = np.arange(len(key)) - np.repeat(first, size)
@@ -259,7 +280,7 @@ class Block:
         self.sym, self.suffix = sym, cls % 32
 
         keys, self.begin, self.end = self.keys(model.bits)
-        where = np.unique(keys, return_inverse=True)[1]
+        where = ranked(keys, 1 << model.bits)[1]
         self.pair = self._live(doc, where[:n], of_keys)
         self.left = np.where(self.place > 0, np.concatenate((np.zeros(1, np.int64), count[:-1])), 0)  # of the word before, as one that is followed
         at = self.place == 0
@@ -275,17 +296,15 @@ class Block:
 
     def contexts(self, model: Model) -> list[np.ndarray]:
         """The row of each token in the tables of each predictor: none; the symbol before; the last of the few most frequent words, and
-        the end of the word before; the two symbols before; the last two of the few."""
+        the end of the word before; the last two of the few."""
         sym, place, few = self.sym, self.place, model.few
-        one, two = _before(sym, place, 1, model.new + 1), _before(sym, place, 2, model.new + 1)
-        n = len(sym)
+        one, n = _before(sym, place, 1, model.new + 1), len(sym)
         at = np.maximum.accumulate(np.where(sym < few - 1, np.arange(n), -1))
         last = _before(at, place, 1, -1)
         last[last < np.repeat(self.first, self.size)] = -1
         f1 = np.where(last >= 0, sym[last], few - 1)
         f2 = np.where(last >= 0, f1[last], few - 1)
-        both = _mix((one * (model.new + 2) + two).astype(np.uint64)) % np.uint64(PAIRS)
-        return [np.zeros(n, np.int64), one, f1 * 33 + _before(self.suffix, place, 1, 32), both.astype(np.int64), f1 * few + f2]
+        return [np.zeros(n, np.int64), one, f1 * 33 + _before(self.suffix, place, 1, 32), f1 * few + f2]
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -336,18 +355,20 @@ class Learner:
         self.bend = [np.zeros((*w.shape, w.shape[1])) for w in weights]
 
     def step(self, part: int, gate: np.ndarray, x: np.ndarray, e: np.ndarray, v: np.ndarray) -> None:
-        """x: inputs and a one, a row for each decision; e: what came less the probability of a one; v: curvature."""
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(gate, minlength=len(self.weights[part]))).tolist()
-        x, e, v = x[order], e[order], v[order]
-        begin = 0
-        for g, end in enumerate(ends):
-            if end > begin:
-                rows = x[begin:end]
-                self.bend[part][g] += (rows * v[begin:end, None]).T @ rows
-                slope = rows.T @ e[begin:end]
-                self.weights[part][g] += np.clip(np.linalg.solve(self.bend[part][g] + HOLD * np.eye(rows.shape[1]), slope), -1, 1)
-            begin = end
+        """x: inputs and a one, a row for each of them; e: what came less the probability of a one; v: curvature. The curvature, by which
+        steps are scaled, is that of every fourth decision, times four."""
+        w, few, n = self.weights[part], slice(None, None, 4), len(x)
+        slope = np.stack([np.bincount(gate, e * row, len(w)) for row in x], axis=1)
+        order = np.argsort(gate[few].astype(np.uint8), kind="stable")
+        size = np.bincount(gate[few], minlength=len(w))
+        ends = np.cumsum(size).tolist()
+        rows = x[:, few].T[order]
+        scaled = rows * (4 * v[few][order, None])
+        for g in np.flatnonzero(size).tolist():
+            k = slice(ends[g] - size[g], ends[g])
+            self.bend[part][g] += scaled[k].T @ rows[k]
+        move = np.linalg.solve(self.bend[part] + HOLD * np.eye(n), slope[..., None])[..., 0]
+        w += np.clip(move, -1, 1)
 
     def sums(self) -> np.ndarray:
         """Curvatures, and weights times curvatures, which add up over tasks."""
@@ -366,14 +387,10 @@ def averaged(first: list[np.ndarray], sums: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _counted(tables: list[np.ndarray], addresses: list[np.ndarray], bits: np.ndarray) -> list[np.ndarray]:
-    """Log odds from tables of counts, this very decision taken out."""
-    out = []
-    for t, a in zip(tables, addresses, strict=True):
-        c = t[a]
-        c[np.arange(len(c)), bits] -= 1
-        out.append(odds(np.maximum(c, 0, out=c)))
-    return out
+def without_one(counts: np.ndarray) -> np.ndarray:
+    """For each cell of counts (zeros, ones) the log odds once a zero, and once a one, that is looked at has been taken out."""
+    zero, one = np.maximum(counts - np.array([1, 0], np.float32), 0), np.maximum(counts - np.array([0, 1], np.float32), 0)
+    return np.stack((odds(zero), odds(one)), axis=1).ravel()
 
 
 def _p(s: np.ndarray, sign: np.ndarray) -> np.ndarray:
@@ -384,11 +401,17 @@ def _p(s: np.ndarray, sign: np.ndarray) -> np.ndarray:
 def learn_tree(model: Model, learner: Learner, part: int, code: Code, symbols: np.ndarray, addresses) -> np.ndarray:
     """The log probability of each symbol, with weights that learn from it. addresses(which, at) gives those of decisions."""
     which, at = code.expand(symbols)
-    x = _counted(model.tables[part], addresses(which, at), code.bits[at])
-    g = gates(code.gate[at], x[1], x[-1])
-    rows = np.stack((*x, np.ones(len(at), np.float32)), axis=1)
-    sign = code.sign[at]
-    p = _p((rows * learner.weights[part][g]).sum(axis=1), sign)
+    bits = code.bits.take(at)
+    rows = np.empty((len(model.tables[part]) + 1, len(at)), np.float32)
+    rows[-1] = 1
+    for t, a, x in zip(model.tables[part], addresses(which, at), rows, strict=False):
+        np.take(t, a * 2 + bits, out=x, mode="clip")
+    g = gates(code.gate.take(at), rows[1], rows[-2])
+    s = np.zeros(len(at), np.float32)
+    for x, w in zip(rows, learner.weights[part].astype(np.float32).T, strict=True):
+        s += x * np.ascontiguousarray(w).take(g)
+    sign = code.sign.take(at)
+    p = _p(s, sign)
     learner.step(part, g, rows, sign * (p - 1), p * (1 - p))
     return np.bincount(which, np.log(p), len(symbols))
 
@@ -480,7 +503,7 @@ def blend(weights: np.ndarray, logp: np.ndarray, count: np.ndarray, of: np.ndarr
             own = learns[at[k]]
             p = 1 / (1 + np.exp(-s))
             e = np.exp(np.where(y[k] > 0, yes - both, -np.inf)) - p
-            learner.step(part, g[k][own], x[k][own], e[own], (p * (1 - p))[own])
+            learner.step(part, g[k][own], x[k][own].T, e[own], (p * (1 - p))[own])
     return out
 
 
@@ -543,8 +566,7 @@ def _numbered(kind: pa.DataType, most: int):
 
         for batch in batches:
             doc, begin = batch.column("doc_id").cast(kind), 0
-            for i, (l, t) in enumerate(zip(batch.column("learn").to_pylist(), batch.column("text"), strict=True)):
-                data = t.as_py().encode("utf-8", "surrogatepass")
+            for i, (l, data) in enumerate(zip(batch.column("learn").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)):
                 words = [*data.lower().split(), b""]
                 ids += map(numbers.__getitem__, words)
                 size.append(len(words))
@@ -584,7 +606,7 @@ def _asked(shards: int, bits: int):
                         rows.append((s, 0, len(words).to_bytes(8, "little") + pa.compress(words, codec="zstd", asbytes=True), pack(_small(n[order[i:j]]))))
                 keys, begin, _ = b.keys(bits)
                 counts = np.concatenate((b.learns, b.learns[begin], b.learns[begin])).astype(np.float64)
-                keys, where = np.unique(keys, return_inverse=True)
+                keys, where = ranked(keys, 1 << bits)
                 n = np.bincount(where, counts, len(keys)).astype(np.int64)
                 ends = np.append(np.searchsorted(keys, edges), len(keys)).tolist()
                 for s, (i, j) in enumerate(zip([0, *ends], ends, strict=False)):
@@ -638,7 +660,8 @@ def _totals(top: int):
             held = list(held)
             if kind == 1:
                 parts = [np.cumsum(unpack(r["data"]), dtype=np.uint64) for r in held]
-                keys, where = np.unique(np.concatenate(parts), return_inverse=True)
+                keys = np.concatenate(parts)
+                keys, where = ranked(keys - keys.min(), int(keys.max() - keys.min()))
                 total = np.bincount(where, np.concatenate([unpack(r["counts"]) for r in held]), len(keys)).astype(np.int64)
                 at = 0
                 for r, k in zip(held, parts, strict=True):
@@ -794,14 +817,16 @@ def score_texts(docs: DataFrame, learn, top: int = TOP, block: int = BLOCK) -> D
     held = spark.sparkContext.broadcast(model)
     symbols = _gathered(whole.drop("doc_id", "bytes").mapInArrow(_counter(held), TOTALS), spread, [r * model.code.n for r in model.rows], "symbols")
     held.destroy()
-    model.tables = [[model.code.by_node(t.reshape(-1, model.code.n)) for t in symbols], [t.reshape(-1, 2).astype(np.float32) for t in spelt]]
+    tables = [[model.code.by_node(t.reshape(-1, model.code.n)) for t in symbols], [t.reshape(-1, 2).astype(np.float32) for t in spelt]]
     del symbols, spelt
+    model.tables = [[without_one(t) for t in p] for p in tables]
     held = spark.sparkContext.broadcast(model)
     sums = whole.drop("doc_id", "bytes").mapInArrow(_learner(held), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # a fixed number
     held.destroy()
     if sums:
         model.weights = averaged(model.weights, np.array([r.v for r in sums]))
-    model.tables = [[odds(t) for t in p] for p in model.tables]
+    model.tables = [[odds(t) for t in p] for p in tables]
+    del tables
 
     held = spark.sparkContext.broadcast(model)
     out = whole.mapInArrow(_scorer(held), f"doc_id {kind.simpleString()}, learn boolean, bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double")
