@@ -173,6 +173,8 @@ class Model:
         self.new = len(words) + CLASSES  # the symbol of a new word
         self.code, self.bytes = Code([*counts, *by_class.tolist(), new]), byte_code()
         few = min(FEW, len(words)) + 1
+        ends = classes(b"\n".join(words)) if words else np.empty(0, np.int64)
+        self.suffix = np.concatenate((ends % 32, np.arange(CLASSES) % 32, (32, 32)))  # of each symbol; of a new word, and of none, 32
         self.few, self.rows = few, (1, self.new + 2, few * 33, few * few)
         self.tables: list[list[np.ndarray]] = [[], []]  # log odds; while weights learn, those without a zero and without a one, by turns
         tree = np.array([0.1, 0.3, 0.3, 0.3, 0.0])
@@ -260,40 +262,61 @@ class Block:
         segment = _mix((run[end_] - run[begin]) * undo[begin] + context[begin])
         return np.concatenate((pair, context[begin], segment)) >> np.uint64(64 - bits), begin, end_
 
-    def known(self, model: Model, totals: np.ndarray, of_keys: np.ndarray) -> None:
-        """Counts as they are before each token; the symbols; the shares of words in their classes."""
-        n, ids, doc, learns = len(self.ids), self.ids, self.doc, self.learns
-        self.total = totals.astype(np.int64)[ids]
+    def known(self, model: Model, totals: np.ndarray, of_keys: np.ndarray) -> dict[str, bytes]:
+        """What scoring needs of the block, packed: symbols; the logarithms of words' shares in their classes; new words; counts of pairs
+        and segments, and of what they are shares of; all counts as they are before each token. And base scores and known tokens."""
+        ids, doc, learns = self.ids, self.doc, self.learns
+        total = totals.astype(np.int64)[ids]
         early, own = occurrences(doc, ids, len(self.words))
-        count = self.total + early - np.where(learns, own, 0)
+        count = total + early - np.where(learns, own, 0)
         top = np.fromiter((model.ids.get(w, -1) for w in self.words), np.int64, len(self.words))
-        kind = classes(self.joined)
-        sym, cls = top[ids], kind[ids]
+        sym, cls = top[ids], classes(self.joined)[ids]
         rare = np.flatnonzero(sym < 0)
         early, own = occurrences(doc[rare], cls[rare], CLASSES)
         inside = model.by_class[cls[rare]] + early - np.where(learns[rare], own, 0)
         there = count[rare] > 0
-        self.new = rare[~there]
         sym[rare] = np.where(there, len(model.words) + cls[rare], model.new)
-        self.share = np.zeros(n)
-        self.share[rare[there]] = np.log(count[rare][there] / inside[there])
-        self.sym, self.suffix = sym, cls % 32
-
-        keys, self.begin, self.end = self.keys(model.bits)
-        where = ranked(keys, 1 << model.bits)[1]
-        self.pair = self._live(doc, where[:n], of_keys)
-        self.left = np.where(self.place > 0, np.concatenate((np.zeros(1, np.int64), count[:-1])), 0)  # of the word before, as one that is followed
-        at = self.place == 0
-        ends = int(totals[self.words.index(b"")]) if len(self.words) and n else 0
-        self.left[at] = ends - learns[at]
-        at, m = self.doc[self.begin], len(self.begin)
-        self.context = self._live(at, where[n : n + m], of_keys)
-        self.segment = self._live(at, where[n + m :], of_keys)
+        share = np.log(count[rare][there] / inside[there])
+        new, spelt = np.unique(ids[rare[~there]], return_inverse=True)
+        new = b"\n".join([self.words[i] for i in new.tolist()])
+
+        keys, begin, _ = self.keys(model.bits)
+        where, n, m = ranked(keys, 1 << model.bits)[1], len(ids), len(begin)
+        left = np.where(self.place > 0, np.concatenate((np.zeros(1, np.int64), count[:-1])), 0)  # of the word before, as one that is followed
+        ends = int(totals[self.words.index(b"")]) if n else 0
+        left[self.place == 0] = ends - learns[self.place == 0]
+        low = math.log10(model.n + model.v + 1)
+        out = {"sym": sym.astype(np.uint16), "share": share.astype(np.float32), "spelt": spelt.astype(np.uint32), "begin": np.diff(begin, prepend=0).astype(np.uint32)}
+        live = {"pair": self._live(doc, where[:n], of_keys), "left": left, "context": self._live(doc[begin], where[n : n + m], of_keys), "segment": self._live(doc[begin], where[n + m :], of_keys)}
+        per = {"n_known": np.bincount(doc, total > 0, len(self.size)).astype(np.int64), "base": np.bincount(doc, np.log10(total + 1.0) - low, len(self.size))}
+        out |= {k: _small(v) for k, v in live.items()} | per
+        return {k: pack(v) for k, v in out.items()} | {"new": len(new).to_bytes(8, "little") + (pa.compress(new, codec="zstd", asbytes=True) if new else b"")}
 
     def _live(self, doc: np.ndarray, key: np.ndarray, totals: np.ndarray) -> np.ndarray:
         early, own = occurrences(doc, key, len(totals))
         return totals[key].astype(np.int64) + early - np.where(self.learn[doc], own, 0)
 
+
+KNOWN = ("sym", "share", "spelt", "begin", "pair", "left", "context", "segment", "n_known", "base", "new")
+
+
+class Ready:
+    """A block whose counts are known: row has what known() gave, size and learn."""
+
+    def __init__(self, row: dict[str, bytes], model: Model) -> None:
+        self.size, self.learn = unpack(row["size"]), unpack(row["learn"]).astype(bool)
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.first = np.cumsum(self.size) - self.size
+        self.place = np.arange(len(self.doc)) - np.repeat(self.first, self.size)
+        self.learns = self.learn[self.doc]
+        self.sym = unpack(row["sym"]).astype(np.int64)
+        self.share = np.zeros(len(self.sym))
+        self.share[(self.sym >= len(model.words)) & (self.sym < model.new)] = unpack(row["share"])
+        self.at, self.spelt, data = np.flatnonzero(self.sym == model.new), unpack(row["spelt"]).astype(np.int64), row["new"]
+        self.new = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b"\n") if data[8:] else [b""][: len(self.at)]
+        self.begin = np.cumsum(unpack(row["begin"]), dtype=np.int64)
+        self.pair, self.left, self.context, self.segment = (unpack(row[k]).astype(np.int64) for k in ("pair", "left", "context", "segment"))
+
     def contexts(self, model: Model) -> list[np.ndarray]:
         """The row of each token in the tables of each predictor: none; the symbol before; the last of the few most frequent words, and
         the end of the word before; the last two of the few."""
@@ -304,7 +327,7 @@ class Block:
         last[last < np.repeat(self.first, self.size)] = -1
         f1 = np.where(last >= 0, sym[last], few - 1)
         f2 = np.where(last >= 0, f1[last], few - 1)
-        return [np.zeros(n, np.int64), one, f1 * 33 + _before(self.suffix, place, 1, 32), f1 * few + f2]
+        return [np.zeros(n, np.int64), one, f1 * 33 + model.suffix[one], f1 * few + f2]
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -436,7 +459,7 @@ def spelling(model: Model, words: list[bytes], learner: Learner | None = None) -
     return out
 
 
-def tree(model: Model, block: Block, rows: list[np.ndarray]) -> np.ndarray:
+def tree(model: Model, block: Ready, rows: list[np.ndarray]) -> np.ndarray:
     """The log probability of each token's symbol. Texts go on side by side, each with weights of its own that move every few tokens."""
     code, sym, nodes = model.code, block.sym, model.code.n - 1
     logp = np.zeros(len(sym))
@@ -507,9 +530,9 @@ def blend(weights: np.ndarray, logp: np.ndarray, count: np.ndarray, of: np.ndarr
     return out
 
 
-def follow(model: Model, block: Block, learner: Learner | None = None) -> np.ndarray:
-    """The log10 probability of each text of a block whose counts are known. With a learner, only learning texts are gone over."""
-    logp = np.zeros(len(block.ids))
+def follow(model: Model, block: Ready, learner: Learner | None = None) -> np.ndarray:
+    """The log10 probability of each text of a block. With a learner, only learning texts are gone over."""
+    logp = np.zeros(len(block.sym))
     rows, nodes = block.contexts(model), model.code.n - 1
     if learner:
         mine = np.flatnonzero(block.learns)
@@ -520,10 +543,11 @@ def follow(model: Model, block: Block, learner: Learner | None = None) -> np.nda
     else:
         logp = tree(model, block, rows)
     logp += block.share
-    new = np.unique(block.ids[block.new] if not learner else block.ids[block.new[block.learns[block.new]]])
-    spell = np.zeros(len(block.words))
-    spell[new] = spelling(model, [block.words[i] for i in new], learner)
-    logp[block.new] += spell[block.ids[block.new]]
+    spell, asked = np.zeros(len(block.new)), np.arange(len(block.new))
+    if learner:
+        asked = np.unique(block.spelt[block.learns[block.at]])
+    spell[asked] = spelling(model, [block.new[i] for i in asked.tolist()], learner)
+    logp[block.at] += spell[block.spelt]
     logp = blend(model.weights[PAIR], logp, block.pair, block.left, block.doc, learner, PAIR, block.learns)
     whole = np.add.reduceat(logp, block.begin)
     doc = block.doc[block.begin]
@@ -728,29 +752,40 @@ def _joined(shards: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, Block]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            r = {c: batch.column(c)[i].as_py() for c in ("ids", "size", "learn", "words", "totals", "of_keys")}
-            b = Block(r["ids"], r["size"], r["learn"], r["words"])
-            b.known(model, unpack(r["totals"]), unpack(r["of_keys"]))
-            yield batch.slice(i, 1), b
+READY = "block bigint, doc_id array<{kind}>, learn binary, bytes binary, size binary, " + ", ".join(f"{k} binary" for k in KNOWN) + ", shard int, kind int, data binary, n bigint"
 
 
 def _counter(held):
-    """The symbols' counts of learning texts in each predictor's contexts."""
+    """Blocks whose counts are known; and, from learning texts, the symbols' counts in each predictor's contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         tables = [np.zeros(r * model.code.n, np.uint32) for r in model.rows]
-        for _, b in _blocks(batches, model):
-            for t, r in zip(tables, b.contexts(model), strict=True):
-                np.add.at(t, r[b.learns] * model.code.n + b.sym[b.learns], np.uint32(1))
-        yield from segments(tables, 0)
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("doc_id")
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in ("ids", "size", "learn", "words", "totals", "of_keys")}
+                got = Block(r["ids"], r["size"], r["learn"], r["words"]).known(model, unpack(r["totals"]), unpack(r["of_keys"]))
+                b = Ready(r | got, model)
+                for t, x in zip(tables, b.contexts(model), strict=True):
+                    np.add.at(t, x[b.learns] * model.code.n + b.sym[b.learns], np.uint32(1))
+                same = [batch.column(c).slice(i, 1) for c in ("block", "doc_id", "learn", "bytes", "size")]
+                none = [pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array([got[k]], pa.binary()) for k in KNOWN), *none], ["block", "doc_id", "learn", "bytes", "size", *KNOWN, "shard", "kind", "data", "n"])
+        for row in segments(tables, 0) if kind else ():
+            none = [pa.nulls(1, kind.type), *[pa.nulls(1, pa.binary())] * (3 + len(KNOWN))]
+            yield pa.RecordBatch.from_arrays([row.column("block"), *none, *(row.column(c) for c in ("shard", "kind", "data", "n"))], ["block", "doc_id", "learn", "bytes", "size", *KNOWN, "shard", "kind", "data", "n"])
 
     return run
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, Ready]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1), Ready({c: batch.column(c)[i].as_py() for c in ("size", "learn", *KNOWN[:8], "new")}, model)
+
+
 def _learner(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
@@ -766,11 +801,9 @@ def _learner(held):
 def _scorer(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
-        low = math.log10(model.n + model.v + 1)
         for row, b in _blocks(batches, model):
-            base = np.bincount(b.doc, np.log10(b.total + 1.0) - low, len(b.size))
-            known = np.bincount(b.doc, b.total > 0, len(b.size)).astype(np.int64)
-            got = [pa.array(b.learn), pa.array(unpack(row.column("bytes")[0].as_py())), pa.array(b.size), pa.array(known), pa.array(base), pa.array(follow(model, b))]
+            of = lambda c, r=row: pa.array(unpack(r.column(c)[0].as_py()))
+            got = [pa.array(b.learn), of("bytes"), of("size"), of("n_known"), of("base"), pa.array(follow(model, b))]
             yield pa.RecordBatch.from_arrays([row.column("doc_id")[0].values, *got], ["doc_id", "learn", "bytes", "n_tokens", "n_known", "base_score", "score"])
 
     return run
@@ -810,18 +843,19 @@ def score_texts(docs: DataFrame, learn, top: int = TOP, block: int = BLOCK) -> D
     model = Model(words, counts, by_class, total, stats.get(-1, 0), stats.get(-2, 0), bits)
     spelt = _gathered(totals.where(F.col("kind") == SPELT), spread, [2 << b for b in BYTE_BITS], "bytes")
 
-    both = made.groupBy("block").cogroup(totals.where("kind < 2").select("block", "kind", "shard", "data").groupBy("block"))
-    whole = written(both.applyInArrow(_joined(shards), MADE.format(kind=kind.simpleString()) + ", totals binary, of_keys binary"), "joined")
-    drop(spark, first, second)
-
     held = spark.sparkContext.broadcast(model)
-    symbols = _gathered(whole.drop("doc_id", "bytes").mapInArrow(_counter(held), TOTALS), spread, [r * model.code.n for r in model.rows], "symbols")
+    both = made.groupBy("block").cogroup(totals.where("kind < 2").select("block", "kind", "shard", "data").groupBy("block"))
+    both = both.applyInArrow(_joined(shards), MADE.format(kind=kind.simpleString()) + ", totals binary, of_keys binary")
+    ready = written(both.mapInArrow(_counter(held), READY.format(kind=kind.simpleString())), "ready")
     held.destroy()
+    drop(spark, first, second)
+    symbols = _gathered(ready.where("kind = 0").select("block", "shard", "kind", "data", "n"), spread, [r * model.code.n for r in model.rows], "symbols")
+    whole = ready.where("kind is null").drop("shard", "kind", "data", "n")
     tables = [[model.code.by_node(t.reshape(-1, model.code.n)) for t in symbols], [t.reshape(-1, 2).astype(np.float32) for t in spelt]]
     del symbols, spelt
     model.tables = [[without_one(t) for t in p] for p in tables]
     held = spark.sparkContext.broadcast(model)
-    sums = whole.drop("doc_id", "bytes").mapInArrow(_learner(held), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # a fixed number
+    sums = whole.drop("doc_id", "bytes", "n_known", "base").mapInArrow(_learner(held), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # a fixed number
     held.destroy()
     if sums:
         model.weights = averaged(model.weights, np.array([r.v for r in sums]))

@@ -256,7 +256,7 @@ def plain_scores(texts, learn, model):
             none = model.new + 1
             one = syms[-1] if t else none
             f = [*few[::-1], model.few - 1, model.few - 1][:2]
-            suffix = int(mixlm.classes(d[t - 1])[0]) % 32 if t else 32
+            suffix = int(mixlm.classes(d[t - 1])[0]) % 32 if t and syms[-1] != model.new else 32
             rows = [0, one, f[0] * 33 + suffix, f[0] * model.few + f[1]]
             lp = 0.0
             for k in range(model.code.start[s], model.code.start[s + 1]):
@@ -371,7 +371,8 @@ def test_op5_adapts_in_short_texts(monkeypatch):
         words = b"\n".join(m.words)
         ids = np.array([m.words.index(w) for d in docs for w in d], np.uint32)
         b = mixlm.Block(mixlm.pack(ids), mixlm.pack(size), mixlm.pack(np.zeros(len(docs), np.uint8)), len(words).to_bytes(8, "little") + pa.compress(words, codec="zstd", asbytes=True))
-        b.known(m, np.array([1600, 300, 100, 5]), np.zeros(len(np.unique(b.keys(40)[0])), np.int64))
+        got = b.known(m, np.array([1600, 300, 100, 5]), np.zeros(len(np.unique(b.keys(40)[0])), np.int64))
+        b = mixlm.Ready(got | {"size": mixlm.pack(size), "learn": mixlm.pack(np.zeros(len(docs), np.uint8))}, m)
         return np.bincount(b.doc, mixlm.tree(m, b, b.contexts(m)), len(docs))
 
     def later():
