@@ -468,34 +468,38 @@ def tree(model: Model, block: Ready, rows: list[np.ndarray]) -> np.ndarray:
     rank = rank[block.doc]
     turn = np.where(block.place < LATER, block.place // PACE, LATER // PACE + (block.place - LATER) // SLOW)
     order = np.argsort(turn * max(1, len(block.size)) + rank, kind="stable")
-    w = [np.ascontiguousarray(k) for k in model.weights[WORDS].astype(np.float32).T]
-    moved = np.zeros((len(w), 4 * len(block.size)), np.float32)  # of each text's weights, by depth, and its offsets
-    rows = [r * nodes for r in rows]
+    own = np.repeat(model.weights[WORDS].astype(np.float32).T[:, None], len(block.size), axis=1)  # weights and offset of each text and gate
+    flat = own.reshape(len(own), -1)
+    rows = [(r * nodes)[order] for r in rows]
+    sym, rank = sym[order], rank[order]
+    got = np.zeros(len(sym))
     begin = 0
     for end in np.cumsum(np.bincount(turn)).tolist():
-        texts = 4 * (int(rank[order[begin:end]].max()) + 1)
-        error = np.zeros((len(w), texts))
+        texts = 4 * (int(rank[end - 1]) + 1)
+        error = np.zeros((len(own), texts))
         for k in range(begin, end, CHUNK):
-            part = order[k : min(end, k + CHUNK)]
+            part = slice(k, min(end, k + CHUNK))
             which, at = code.expand(sym[part])
             node = code.nodes.take(at)
             x = [t.take(r[part].take(which) + node) for t, r in zip(model.tables[WORDS], rows, strict=True)]
             g = gates(code.gate.take(at), x[1], x[-1])
-            cell = rank[part].take(which) * 4 + (g >> 4)
-            s = w[-1].take(g) + moved[-1].take(cell)
-            for v, a, m in zip(x, w, moved, strict=False):
-                s += v * (a.take(g) + m.take(cell))
+            cell = rank[part].take(which) * GATES + g
+            s = flat[-1].take(cell)
+            for v, w in zip(x, flat, strict=False):
+                s += v * w.take(cell)
             sign = code.sign.take(at)
             p = _p(s, sign)
-            logp[part] = np.bincount(which, np.log(p), len(part))
+            got[part] = np.bincount(which, np.log(p), part.stop - k)
             e = sign * (p - 1)
+            cell >>= 4
             error[-1] += np.bincount(cell, e, texts)
             for i, v in enumerate(x):
                 error[i] += np.bincount(cell, e * v, texts)
         error[:-1] *= TURN
         error[-1] *= RATE
-        moved[:, :texts] += error
+        own[:, : texts // 4] += np.repeat(error.astype(np.float32), 16, axis=1).reshape(len(own), -1, GATES)
         begin = end
+    logp[order] = got
     return logp
 
 
@@ -506,27 +510,39 @@ def blend(weights: np.ndarray, logp: np.ndarray, count: np.ndarray, of: np.ndarr
     at = np.flatnonzero(of > 0)
     if not len(at):
         return out
-    y, d = (count[at] > 0).astype(np.int64), doc[at]
+    count, of, d = count[at], of[at].astype(np.float32), doc[at]
+    y = count > 0
     start = np.flatnonzero(np.diff(d, prepend=-1))
     size = np.diff(start, append=len(d))
-    place = np.arange(len(d)) - np.repeat(start, size)
-    ones = np.cumsum(y) - y
+    place = np.arange(len(d), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
+    ones = np.cumsum(y, dtype=np.int32) - y
     ones -= np.repeat(ones[start], size)
-    last = np.where(place > 0, np.concatenate((np.zeros(1, np.int64), y[:-1])) * 2 - 1, 0)
-    x = np.stack((np.log((ones + 0.5) / (place - ones + 0.5)), last, np.ones(len(at))), axis=1)
-    g = np.minimum(np.log2(of[at]).astype(np.intp), LEVELS - 1)
-    share, rest = np.log(np.maximum(count[at], 1e-300) / of[at]), logp[at]
-    for a in range(0, len(at), STEP) if learner else (0,):
-        k = slice(a, a + STEP) if learner else slice(None)
-        s = np.clip((x[k] * (learner.weights[part] if learner else weights)[g[k]]).sum(axis=1), -30, 30)
-        yes, no = -np.log1p(np.exp(-s)) + share[k], -np.log1p(np.exp(s)) + rest[k]
-        both = np.where(y[k] > 0, np.logaddexp(yes, no), no)
-        out[at[k]] = both
+    x = np.ones((3, len(d)), np.float32)
+    np.log((ones + np.float32(0.5)) / (place - ones + np.float32(0.5)), out=x[0])
+    x[1, 1:] = np.where(y[:-1], 1, -1)
+    x[1, start] = 0
+    g = np.minimum((of.view(np.uint32) >> np.uint32(23)).astype(np.intp) - 127, LEVELS - 1)  # the whole part of the logarithm to base 2
+    rest = logp[at]
+    share = np.log(count[y] / of[y])
+    n = 0
+    for a in range(0, len(at), STEP):
+        k = slice(a, a + STEP)
+        w = (learner.weights[part] if learner else weights).astype(np.float32).T
+        s = sum(v * np.ascontiguousarray(u).take(g[k]) for v, u in zip(x[:, k], w, strict=True))
+        np.clip(s, -30, 30, out=s)
+        no = rest[k] - np.logaddexp(np.float32(0), s)
+        hits = np.flatnonzero(y[k])
+        yes = share[n : n + len(hits)] - np.logaddexp(np.float32(0), -s[hits])
+        n += len(hits)
+        both = np.logaddexp(yes, no[hits])
+        no[hits] = both
+        out[at[k]] = no
         if learner:
-            own = learns[at[k]]
             p = 1 / (1 + np.exp(-s))
-            e = np.exp(np.where(y[k] > 0, yes - both, -np.inf)) - p
-            learner.step(part, g[k][own], x[k][own].T, e[own], (p * (1 - p))[own])
+            e = -p
+            e[hits] += np.exp(yes - both).astype(np.float32)
+            own = learns[at[k]]
+            learner.step(part, g[k][own], x[:, k][:, own], e[own], (p * (1 - p))[own])
     return out
 
 
@@ -614,7 +630,7 @@ ASKED = "block bigint, shard int, kind int, data binary, counts binary"
 def _asked(shards: int, bits: int):
     """What a block has, a row for each shard: its words (kind 0) and its keys (kind 1), with their counts in its learning texts."""
     fields = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("counts", pa.binary())])
-    edges = np.array([((s + 1) << bits) // shards for s in range(shards - 1)], np.uint64)
+    edges = np.array([(s << bits) // shards for s in range(shards)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -632,10 +648,10 @@ def _asked(shards: int, bits: int):
                 counts = np.concatenate((b.learns, b.learns[begin], b.learns[begin])).astype(np.float64)
                 keys, where = ranked(keys, 1 << bits)
                 n = np.bincount(where, counts, len(keys)).astype(np.int64)
-                ends = np.append(np.searchsorted(keys, edges), len(keys)).tolist()
+                ends = np.append(np.searchsorted(keys, edges[1:]), len(keys)).tolist()
                 for s, (i, j) in enumerate(zip([0, *ends], ends, strict=False)):
                     if j > i:
-                        rows.append((s, 1, pack(np.diff(keys[i:j], prepend=np.uint64(0))), pack(_small(n[i:j]))))
+                        rows.append((s, 1, pack(_small(np.diff(keys[i:j], prepend=edges[s]))), pack(_small(n[i:j]))))
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(rows), pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(fields)[1:], strict=True))], schema=fields)
 
@@ -684,8 +700,8 @@ def _totals(top: int):
             held = list(held)
             if kind == 1:
                 parts = [np.cumsum(unpack(r["data"]), dtype=np.uint64) for r in held]
-                keys = np.concatenate(parts)
-                keys, where = ranked(keys - keys.min(), int(keys.max() - keys.min()))
+                keys = np.concatenate(parts)  # from the shard's own edge on
+                keys, where = ranked(keys, int(keys.max()))
                 total = np.bincount(where, np.concatenate([unpack(r["counts"]) for r in held]), len(keys)).astype(np.int64)
                 at = 0
                 for r, k in zip(held, parts, strict=True):
