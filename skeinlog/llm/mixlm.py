@@ -38,8 +38,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from skeinlog.llm.common import bounded_batches, crc_mod, drop, stored, table, text_of, written
 
-TOP = 511  # words with a symbol of their own, at most
-CLASSES = 255  # of the other words
+TOP = 255  # words with a symbol of their own, at most
+CLASSES = 64  # of the other words
 FEW = 32  # words that stand for the language or the manner of a text
 ORDERS = (1, 2, 3, 4)  # of the bytes' contexts
 BYTE_BITS = (18, 18, 20, 20)  # of the addresses of the bytes' tables
@@ -49,7 +49,7 @@ SHARDS = 1 << 14  # at most
 SEGMENT = 1 << 14  # cells that are sent as one row
 SPAN = 8  # tokens of a segment, about
 SLACK = 14  # bits of a key beyond those that number the tokens: 1 in 2 ** SLACK unseen contexts is taken for a seen one
-CHUNK, STEP = 1500, 1 << 14  # tokens whose decisions are worked out at once, and those of a step of learning
+CHUNK, STEP = 1500, 1 << 13  # tokens whose decisions are worked out at once, and those of a step of learning
 PRIOR, RATE, TURN = 0.4, 0.003, 0.0003  # of counts; of the offsets; of the weights
 PACE, LATER, SLOW = 8, 256, 64  # weights move every PACE tokens, from token LATER on every SLOW
 HOLD = 20.0  # decisions that the first weights count for
