@@ -300,22 +300,16 @@ class Block:
 KNOWN = ("sym", "share", "spelt", "begin", "pair", "left", "context", "segment", "n_known", "base", "new")
 
 
-class Ready:
-    """A block whose counts are known: row has what known() gave, size and learn."""
+class Symbols:
+    """The symbols of a block's texts."""
 
-    def __init__(self, row: dict[str, bytes], model: Model) -> None:
+    def __init__(self, row: dict[str, bytes]) -> None:
         self.size, self.learn = unpack(row["size"]), unpack(row["learn"]).astype(bool)
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
         self.first = np.cumsum(self.size) - self.size
         self.place = np.arange(len(self.doc)) - np.repeat(self.first, self.size)
         self.learns = self.learn[self.doc]
         self.sym = unpack(row["sym"]).astype(np.int64)
-        self.share = np.zeros(len(self.sym))
-        self.share[(self.sym >= len(model.words)) & (self.sym < model.new)] = unpack(row["share"])
-        self.at, self.spelt, data = np.flatnonzero(self.sym == model.new), unpack(row["spelt"]).astype(np.int64), row["new"]
-        self.new = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b"\n") if data[8:] else [b""][: len(self.at)]
-        self.begin = np.cumsum(unpack(row["begin"]), dtype=np.int64)
-        self.pair, self.left, self.context, self.segment = (unpack(row[k]).astype(np.int64) for k in ("pair", "left", "context", "segment"))
 
     def contexts(self, model: Model) -> list[np.ndarray]:
         """The row of each token in the tables of each predictor: none; the symbol before; the last of the few most frequent words, and
@@ -330,6 +324,19 @@ class Ready:
         return [np.zeros(n, np.int64), one, f1 * 33 + model.suffix[one], f1 * few + f2]
 
 
+class Ready(Symbols):
+    """A block whose counts are known: row has what known() gave, size and learn."""
+
+    def __init__(self, row: dict[str, bytes], model: Model) -> None:
+        super().__init__(row)
+        self.share = np.zeros(len(self.sym))
+        self.share[(self.sym >= len(model.words)) & (self.sym < model.new)] = unpack(row["share"])
+        self.at, self.spelt, data = np.flatnonzero(self.sym == model.new), unpack(row["spelt"]).astype(np.int64), row["new"]
+        self.new = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b"\n") if data[8:] else [b""][: len(self.at)]
+        self.begin = np.cumsum(unpack(row["begin"]), dtype=np.int64)
+        self.pair, self.left, self.context, self.segment = (unpack(row[k]).astype(np.int64) for k in ("pair", "left", "context", "segment"))
+
+
 def spelled(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """The symbols of words spelt out, their contexts and the word of each."""
     data = np.frombuffer(b"".join(words), np.uint8)
@@ -751,47 +758,39 @@ def _gathered(rows: DataFrame, spread: int, sizes: list[int], label: str) -> lis
     return out
 
 
-def _joined(shards: int):
-    """A block with its totals: of words in the order of its list, of keys in ascending order."""
+READY = "block bigint, doc_id array<{kind}>, learn binary, bytes binary, size binary, " + ", ".join(f"{k} binary" for k in KNOWN)
+
+
+def _joined(held, shards: int):
+    """A block with what is known of it, from its totals: those of words by shards of its list, those of keys in ascending order."""
 
     def run(block: pa.Table, totals: pa.Table) -> pa.Table:
         parts: dict[tuple[int, int], np.ndarray] = {}
         for kind, shard, data in zip(*(totals.column(c).to_pylist() for c in ("kind", "shard", "data")), strict=True):
             parts[kind, shard] = unpack(data)
         of = lambda kind: np.concatenate([parts[k] for k in sorted(parts) if k[0] == kind])
-        r = block.drop_columns(["doc_id"]).to_pylist()[0]
+        r = block.select(["ids", "size", "learn", "words"]).to_pylist()[0]
         b = Block(r["ids"], r["size"], r["learn"], r["words"])
         total = np.empty(len(b.words), np.int64)
         total[np.argsort(b.shard(shards), kind="stable")] = of(0)
-        return block.append_column("totals", pa.array([pack(_small(total))], pa.binary())).append_column("of_keys", pa.array([pack(_small(of(1)))], pa.binary()))
+        got = b.known(held.value, total, of(1))
+        return pa.table([*(block.column(c) for c in ("block", "doc_id", "learn", "bytes", "size")), *(pa.array([got[k]], pa.binary()) for k in KNOWN)], ["block", "doc_id", "learn", "bytes", "size", *KNOWN])
 
     return run
 
 
-READY = "block bigint, doc_id array<{kind}>, learn binary, bytes binary, size binary, " + ", ".join(f"{k} binary" for k in KNOWN) + ", shard int, kind int, data binary, n bigint"
-
-
 def _counter(held):
-    """Blocks whose counts are known; and, from learning texts, the symbols' counts in each predictor's contexts."""
+    """The symbols' counts in each predictor's contexts, of learning texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         tables = [np.zeros(r * model.code.n, np.uint32) for r in model.rows]
-        kind = None
         for batch in batches:
-            kind = batch.schema.field("doc_id")
-            for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in ("ids", "size", "learn", "words", "totals", "of_keys")}
-                got = Block(r["ids"], r["size"], r["learn"], r["words"]).known(model, unpack(r["totals"]), unpack(r["of_keys"]))
-                b = Ready(r | got, model)
+            for r in batch.to_pylist():
+                b = Symbols(r)
                 for t, x in zip(tables, b.contexts(model), strict=True):
                     np.add.at(t, x[b.learns] * model.code.n + b.sym[b.learns], np.uint32(1))
-                same = [batch.column(c).slice(i, 1) for c in ("block", "doc_id", "learn", "bytes", "size")]
-                none = [pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*same, *(pa.array([got[k]], pa.binary()) for k in KNOWN), *none], ["block", "doc_id", "learn", "bytes", "size", *KNOWN, "shard", "kind", "data", "n"])
-        for row in segments(tables, 0) if kind else ():
-            none = [pa.nulls(1, kind.type), *[pa.nulls(1, pa.binary())] * (3 + len(KNOWN))]
-            yield pa.RecordBatch.from_arrays([row.column("block"), *none, *(row.column(c) for c in ("shard", "kind", "data", "n"))], ["block", "doc_id", "learn", "bytes", "size", *KNOWN, "shard", "kind", "data", "n"])
+        yield from segments(tables, 0)
 
     return run
 
@@ -861,17 +860,15 @@ def score_texts(docs: DataFrame, learn, top: int = TOP, block: int = BLOCK) -> D
 
     held = spark.sparkContext.broadcast(model)
     both = made.groupBy("block").cogroup(totals.where("kind < 2").select("block", "kind", "shard", "data").groupBy("block"))
-    both = both.applyInArrow(_joined(shards), MADE.format(kind=kind.simpleString()) + ", totals binary, of_keys binary")
-    ready = written(both.mapInArrow(_counter(held), READY.format(kind=kind.simpleString())), "ready")
-    held.destroy()
+    ready = written(both.applyInArrow(_joined(held, shards), READY.format(kind=kind.simpleString())), "ready")
     drop(spark, first, second)
-    symbols = _gathered(ready.where("kind = 0").select("block", "shard", "kind", "data", "n"), spread, [r * model.code.n for r in model.rows], "symbols")
-    whole = ready.where("kind is null").drop("shard", "kind", "data", "n")
+    symbols = _gathered(ready.select("size", "learn", "sym").mapInArrow(_counter(held), TOTALS), spread, [r * model.code.n for r in model.rows], "symbols")
+    held.destroy()
     tables = [[model.code.by_node(t.reshape(-1, model.code.n)) for t in symbols], [t.reshape(-1, 2).astype(np.float32) for t in spelt]]
     del symbols, spelt
     model.tables = [[without_one(t) for t in p] for p in tables]
     held = spark.sparkContext.broadcast(model)
-    sums = whole.drop("doc_id", "bytes", "n_known", "base").mapInArrow(_learner(held), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # a fixed number
+    sums = ready.select("size", "learn", *KNOWN[:8], "new").mapInArrow(_learner(held), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # a fixed number
     held.destroy()
     if sums:
         model.weights = averaged(model.weights, np.array([r.v for r in sums]))
@@ -879,7 +876,7 @@ def score_texts(docs: DataFrame, learn, top: int = TOP, block: int = BLOCK) -> D
     del tables
 
     held = spark.sparkContext.broadcast(model)
-    out = whole.mapInArrow(_scorer(held), f"doc_id {kind.simpleString()}, learn boolean, bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = ready.mapInArrow(_scorer(held), f"doc_id {kind.simpleString()}, learn boolean, bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long")).withColumn("bits_per_byte", F.when(F.col("bytes") > 0, -F.col("score") * math.log2(10) / F.col("bytes")))
 
 
