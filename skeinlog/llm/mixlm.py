@@ -386,17 +386,17 @@ class Learner:
 
     def step(self, part: int, gate: np.ndarray, x: np.ndarray, e: np.ndarray, v: np.ndarray) -> None:
         """x: inputs and a one, a row for each of them; e: what came less the probability of a one; v: curvature. The curvature, by which
-        steps are scaled, is that of every fourth decision, times four."""
-        w, few, n = self.weights[part], slice(None, None, 4), len(x)
+        steps are scaled, is that of every 16th decision, times 16."""
+        w, few, n = self.weights[part], slice(None, None, 16), len(x)
         slope = np.stack([np.bincount(gate, e * row, len(w)) for row in x], axis=1)
-        order = np.argsort(gate[few].astype(np.uint8), kind="stable")
-        size = np.bincount(gate[few], minlength=len(w))
-        ends = np.cumsum(size).tolist()
-        rows = x[:, few].T[order]
-        scaled = rows * (4 * v[few][order, None])
-        for g in np.flatnonzero(size).tolist():
-            k = slice(ends[g] - size[g], ends[g])
-            self.bend[part][g] += scaled[k].T @ rows[k]
+        rows, some, scaled = x[:, few], gate[few], 16 * v[few]
+        for i in range(n):
+            one = scaled * rows[i]
+            for j in range(i, n):
+                h = np.bincount(some, one * rows[j], len(w))
+                self.bend[part][:, i, j] += h
+                if j > i:
+                    self.bend[part][:, j, i] += h
         move = np.linalg.solve(self.bend[part] + HOLD * np.eye(n), slope[..., None])[..., 0]
         w += np.clip(move, -1, 1)
 
@@ -429,13 +429,13 @@ def _p(s: np.ndarray, sign: np.ndarray) -> np.ndarray:
 
 
 def learn_tree(model: Model, learner: Learner, part: int, code: Code, symbols: np.ndarray, addresses) -> np.ndarray:
-    """The log probability of each symbol, with weights that learn from it. addresses(which, at) gives those of decisions."""
+    """The log probability of each symbol, with weights that learn from it. addresses(which, at, bits) gives those of decisions."""
     which, at = code.expand(symbols)
     bits = code.bits.take(at)
     rows = np.empty((len(model.tables[part]) + 1, len(at)), np.float32)
     rows[-1] = 1
-    for t, a, x in zip(model.tables[part], addresses(which, at), rows, strict=False):
-        np.take(t, a * 2 + bits, out=x, mode="clip")
+    for t, a, x in zip(model.tables[part], addresses(which, at, bits), rows, strict=False):
+        np.take(t, a, out=x, mode="clip")
     g = gates(code.gate.take(at), rows[1], rows[-2])
     s = np.zeros(len(at), np.float32)
     for x, w in zip(rows, learner.weights[part].astype(np.float32).T, strict=True):
@@ -452,7 +452,7 @@ def spelling(model: Model, words: list[bytes], learner: Learner | None = None) -
     for a, b in sliced(words):
         sym, contexts, word = spelled(words[a:b])
         if learner:
-            p = learn_tree(model, learner, BYTES, code, sym, lambda which, at, c=contexts: byte_slots(code, which, at, c))
+            p = learn_tree(model, learner, BYTES, code, sym, lambda which, at, bits, c=contexts: [a * 2 + bits for a in byte_slots(code, which, at, c)])
             out[a:b] = np.bincount(word, p, b - a)
             continue
         which, at = code.expand(sym)
@@ -561,8 +561,13 @@ def follow(model: Model, block: Ready, learner: Learner | None = None) -> np.nda
         mine = np.flatnonzero(block.learns)
         for k in range(0, len(mine), STEP):
             part = mine[k : k + STEP]
-            at_ = lambda which, at, p=part: [r[p].take(which) * nodes + model.code.nodes.take(at) for r in rows]
-            logp[part] = learn_tree(model, learner, WORDS, model.code, block.sym[part], at_)
+            rows_ = [r[part] * (2 * nodes) for r in rows]
+
+            def addresses(which: np.ndarray, at: np.ndarray, bits: np.ndarray, rows_: list[np.ndarray] = rows_) -> list[np.ndarray]:
+                node = model.code.nodes.take(at) * 2 + bits
+                return [r.take(which) + node for r in rows_]
+
+            logp[part] = learn_tree(model, learner, WORDS, model.code, block.sym[part], addresses)
     else:
         logp = tree(model, block, rows)
     logp += block.share
