@@ -26,10 +26,11 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -269,7 +270,7 @@ class Block:
         total = totals.astype(np.int64)[ids]
         early, own = occurrences(doc, ids, len(self.words))
         count = total + early - np.where(learns, own, 0)
-        top = np.fromiter((model.ids.get(w, -1) for w in self.words), np.int64, len(self.words))
+        top = np.fromiter(map(model.ids.get, self.words, repeat(-1)), np.int64, len(self.words))
         sym, cls = top[ids], classes(self.joined)[ids]
         rare = np.flatnonzero(sym < 0)
         early, own = occurrences(doc[rare], cls[rare], CLASSES)
@@ -351,14 +352,17 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarra
     for k in range(1, max(ORDERS) + 1):
         history = history * np.uint64(263) + (_before(sym, place, k, -1) + 1).astype(np.uint64)
         if k in ORDERS:
-            contexts.append(_mix(history + np.uint64(k << 40)))
+            contexts.append(_mix(history + np.uint64(k << 40)) & ~np.uint64(511))  # room for a symbol
     return sym, contexts, np.repeat(np.arange(len(words)), size)
 
 
+def byte_slot(code: Code, which: np.ndarray, at: np.ndarray, context: np.ndarray, bits: int) -> np.ndarray:
+    return ((context[which] + code.nodes[at].astype(np.uint64) * _C) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def byte_slots(code: Code, which: np.ndarray, at: np.ndarray, contexts: list[np.ndarray]) -> list[np.ndarray]:
     """The address of each decision in each of the bytes' tables."""
-    here = code.nodes[at].astype(np.uint64) * _C
-    return [((c[which] + here) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(contexts, BYTE_BITS, strict=True)]
+    return [byte_slot(code, which, at, c, b) for c, b in zip(contexts, BYTE_BITS, strict=True)]
 
 
 def sliced(words: list[bytes], most: int = 8000) -> Iterator[tuple[int, int]]:
@@ -588,49 +592,55 @@ def follow(model: Model, block: Ready, learner: Learner | None = None) -> np.nda
 MADE = "block bigint, doc_id array<{kind}>, learn binary, bytes binary, size binary, ids binary, words binary"
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _numbered(kind: pa.DataType, most: int):
-    """Blocks of texts (doc_id, learn, text), as numbers of the words in a list of the block's own."""
+    """Blocks of texts (doc_id, learn, text), as numbers of the words in a list of the block's own, the end the last of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
-        numbers, ids, size, learn, length, names = _Numbers(), [], [], [], [], []
+        held: list[tuple[pa.RecordBatch, pa.Array, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal made, numbers
-            words = b"\n".join(numbers)
-            values = pa.concat_arrays(names)
+            nonlocal made
+            found = pa.concat_arrays([w for _, w, _ in held]).dictionary_encode()
+            size = np.concatenate([n for _, _, n in held])
+            end = len(found.dictionary)
+            ids = np.insert(found.indices.to_numpy().astype(np.uint32), np.cumsum(size), end)
+            words = b"\n".join([*found.dictionary.cast(pa.binary()).to_pylist(), b""])
+            of = lambda c: pa.concat_arrays([b.column(c) for b, _, _ in held])
+            names = of("doc_id").cast(kind)
             row = {
-                "learn": pack(np.array(learn, np.uint8)), "bytes": pack(np.array(length, np.int64)), "size": pack(np.array(size, np.int64)),
-                "ids": pack(np.array(ids, np.uint32)), "words": len(words).to_bytes(8, "little") + (pa.compress(words, codec="zstd", asbytes=True) if words else b""),
+                "learn": pack(of("learn").to_numpy(zero_copy_only=False).astype(np.uint8)),
+                "bytes": pack(pc.binary_length(of("text")).to_numpy().astype(np.int64)),
+                "size": pack(size + 1), "ids": pack(ids),
+                "words": len(words).to_bytes(8, "little") + (pa.compress(words, codec="zstd", asbytes=True) if words else b""),
             }
             block = pa.array([(task << 32) + made], pa.int64())
-            out = pa.RecordBatch.from_arrays([block, pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), *(pa.array([x], pa.binary()) for x in row.values())], ["block", "doc_id", *row])
-            made, numbers = made + 1, _Numbers()
-            for x in (ids, size, learn, length, names):
-                x.clear()
+            out = pa.RecordBatch.from_arrays([block, pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), *(pa.array([x], pa.binary()) for x in row.values())], ["block", "doc_id", *row])
+            made += 1
+            held.clear()
             return out
 
+        n = 0
         for batch in batches:
-            doc, begin = batch.column("doc_id").cast(kind), 0
-            for i, (l, data) in enumerate(zip(batch.column("learn").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)):
-                words = [*data.lower().split(), b""]
-                ids += map(numbers.__getitem__, words)
-                size.append(len(words))
-                learn.append(l)
-                length.append(len(data))
-                if len(ids) >= most:
-                    names.append(doc.slice(begin, i + 1 - begin))
-                    begin = i + 1
+            if not batch.num_rows:
+                continue
+            parts = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text")))  # of ASCII only; nothing where a text begins or ends with space
+            words, owner = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+            full = pc.not_equal(words, "")
+            words, owner = words.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+            size = np.bincount(owner, minlength=batch.num_rows)
+            ends = np.cumsum(size)
+            begin = 0
+            while begin < batch.num_rows:
+                base = ends[begin] - size[begin]
+                stop = min(batch.num_rows, int(np.searchsorted(ends + np.arange(1, len(ends) + 1) - base - begin, most - n)) + 1)  # at most one text beyond
+                held.append((batch.slice(begin, stop - begin), words.slice(base, ends[stop - 1] - base), size[begin:stop]))
+                n += int(size[begin:stop].sum()) + stop - begin
+                begin = stop
+                if n >= most:
                     yield flush()
-            if begin < len(doc):
-                names.append(doc.slice(begin))
-        if size:
+                    n = 0
+        if held:
             yield flush()
 
     return run
@@ -677,27 +687,31 @@ STATS, FREQUENT, SPELT = 2, 3, 4
 def segments(tables: list[np.ndarray], kind: int) -> Iterator[pa.RecordBatch]:
     """The cells of tables that aren't all zero, as rows (block: which table, shard: which segment)."""
     for k, t in enumerate(tables):
-        t = t.ravel()
+        t, rows = t.ravel(), []
         for s in range(0, len(t), SEGMENT):
             x = t[s : s + SEGMENT]
             if x.any():
-                yield _row(k, s // SEGMENT, kind, pack(_small(x)), None)
+                rows.append((k, s // SEGMENT, kind, pack(_small(x)), None))
+        yield from _rows(rows)
 
 
-def _row(block: int, shard: int, kind: int, data: bytes | None, n: int | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary()), pa.array([n], pa.int64())],
-        ["block", "shard", "kind", "data", "n"],
-    )
+def _rows(rows: list[tuple], most: int = 256) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), most):
+        columns = zip(*rows[i : i + most], strict=True)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["block", "shard", "kind", "data", "n"])
 
 
 def count_bytes(tables: list[np.ndarray], code: Code, words: list[bytes]) -> None:
-    """Adds each of the words, once, to the bytes' tables of counts (zeros, ones)."""
-    for a, b in sliced(words, 60_000):
+    """Adds each of the words, once, to the bytes' tables of counts (zeros, ones). What is equal in context and symbol is added at once."""
+    for a, b in sliced(words, 1 << 20):
         sym, contexts, _ = spelled(words[a:b])
-        which, at = code.expand(sym)
-        for t, x in zip(tables, byte_slots(code, which, at, contexts), strict=True):
-            np.add.at(t.ravel(), x * 2 + code.bits[at], np.uint32(1))
+        for k, c in enumerate(contexts):
+            both = np.sort(c | sym.astype(np.uint64))
+            first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+            n, both = np.diff(first, append=len(both)).astype(np.uint32), both[first]
+            which, at = code.expand((both & np.uint64(511)).astype(np.int64))
+            np.add.at(tables[k].ravel(), byte_slot(code, which, at, both & ~np.uint64(511), BYTE_BITS[k]) * 2 + code.bits[at], n[which])
 
 
 def _totals(top: int):
@@ -715,18 +729,16 @@ def _totals(top: int):
                 keys = np.concatenate(parts)  # from the shard's own edge on
                 keys, where = ranked(keys, int(keys.max()))
                 total = np.bincount(where, np.concatenate([unpack(r["counts"]) for r in held]), len(keys)).astype(np.int64)
-                at = 0
-                for r, k in zip(held, parts, strict=True):
-                    yield _row(r["block"], shard, kind, pack(_small(total[where[at : at + len(k)]])), None)
-                    at += len(k)
+                ends = np.cumsum([len(k) for k in parts]).tolist()
+                yield from _rows([(r["block"], shard, kind, pack(_small(total[where[e - len(k) : e]])), None) for r, k, e in zip(held, parts, ends, strict=True)])
                 continue
             lists = [pa.decompress(r["data"][8:], decompressed_size=int.from_bytes(r["data"][:8], "little"), codec="zstd", asbytes=True).split(b"\n") if r["data"][:8].strip(b"\0") else [b""] for r in held]
             total: dict[bytes, int] = {}
             for r, words in zip(held, lists, strict=True):
                 for w, n in zip(words, unpack(r["counts"]).tolist(), strict=True):
                     total[w] = total.get(w, 0) + n
-            for r, words in zip(held, lists, strict=True):
-                yield _row(r["block"], shard, kind, pack(_small(np.fromiter(map(total.__getitem__, words), np.int64, len(words)))), None)
+            counts = (np.fromiter(map(total.__getitem__, words), np.int64, len(words)) for words in lists)
+            yield from _rows([(r["block"], shard, kind, pack(_small(n)), None) for r, n in zip(held, counts, strict=True)])
             learnt = {w: n for w, n in total.items() if n}
             if learnt:
                 n = np.fromiter(learnt.values(), np.int64, len(learnt))
@@ -734,10 +746,8 @@ def _totals(top: int):
                 distinct, once = distinct + len(learnt), once + int((n == 1).sum())
                 frequent = heapq.nsmallest(top, [*frequent, *((-n, w) for w, n in learnt.items() if n > 1)])
                 count_bytes(tables, code, [w for w in learnt if w])
-        for c, n in [*enumerate(by_class.tolist()), (-1, distinct), (-2, once)]:
-            yield _row(0, c, STATS, None, n)
-        for n, w in frequent:
-            yield _row(0, 0, FREQUENT, w, -n)
+        yield from _rows([(0, c, STATS, None, n) for c, n in [*enumerate(by_class.tolist()), (-1, distinct), (-2, once)]])
+        yield from _rows([(0, 0, FREQUENT, w, -n) for n, w in frequent])
         yield from segments(tables, SPELT)
 
     return run
@@ -750,8 +760,7 @@ def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             at, x = (r["block"], r["shard"]), unpack(r["data"]).astype(np.uint64)
             sums[at] = sums[at] + x if at in sums else x
-    for (t, s), x in sums.items():
-        yield _row(t, s, 0, pack(_small(x)), None)
+    yield from _rows([(t, s, 0, pack(_small(x)), None) for (t, s), x in sums.items()])
 
 
 def _gathered(rows: DataFrame, spread: int, sizes: list[int], label: str) -> list[np.ndarray]:
@@ -850,8 +859,8 @@ def score_texts(docs: DataFrame, learn, top: int = TOP, block: int = BLOCK) -> D
     blocks = made.count()
     # more tokens than this can't be: each block but the last of a task has `block` of them, and its last text's
     bits = min(64, max(32, math.ceil(math.log2(max(1, blocks) * block)) + SLACK))
-    shards = max(1, min(blocks, SHARDS))
-    asked = made.drop("doc_id", "bytes").mapInArrow(_asked(shards, bits), ASKED).repartition(max(spread, shards // 8), "shard")
+    shards = max(1, min(math.ceil(blocks / 4), SHARDS))
+    asked = made.drop("doc_id", "bytes").mapInArrow(_asked(shards, bits), ASKED).repartition(max(spread, shards // 4), "shard")
     totals, second = stored(asked.sortWithinPartitions("shard", "kind").mapInArrow(_totals(top), TOTALS), "totals")
 
     stats = {r.shard: r.n for r in totals.where(F.col("kind") == STATS).groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a number for each class

@@ -221,7 +221,7 @@ def plain_scores(texts, learn, model):
             contexts, h = [], 0
             for k in range(1, 5):
                 h = (h * 263 + (history[-k] + 1 if len(history) >= k else 0)) & mask
-                contexts.append(mix((h + (k << 40)) & mask))
+                contexts.append(mix((h + (k << 40)) & mask) & ~511)
             for k in range(model.bytes.start[s], model.bytes.start[s + 1]):
                 here = int(model.bytes.nodes[k]) * int(mixlm._C)
                 x = [float(t[((c + here) * 0xBF58476D1CE4E5B9 & mask) >> (64 - b)]) for t, c, b in zip(model.tables[1], contexts, mixlm.BYTE_BITS, strict=True)]
