@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections.abc import Iterator
 from itertools import groupby, repeat
 
@@ -228,6 +227,16 @@ def occurrences(doc: np.ndarray, value: np.ndarray, values: int) -> tuple[np.nda
     return early, all_
 
 
+_held: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of an odd number, and their inverses; kept for the next block."""
+    if len(_held[0]) < n:
+        _held[:] = [np.cumprod(np.full(max(n, 2 * BLOCK), x), dtype=np.uint64) for x in (_C, _BACK)]
+    return _held[0][:n], _held[1][:n]
+
+
 class Block:
     """Texts as numbers of words in a list of their own, one text after the other."""
 
@@ -239,15 +248,16 @@ class Block:
         self.first = np.cumsum(self.size) - self.size
         self.place = np.arange(len(self.ids)) - np.repeat(self.first, self.size)
         self.learns = self.learn[self.doc]
+        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
 
     def shard(self, shards: int) -> np.ndarray:
         """That of each word."""
-        return np.fromiter(map(zlib.crc32, self.words), np.int64, len(self.words)) % shards
+        return (self.hash % np.uint64(shards)).astype(np.int64)
 
     def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the pair that each token makes with the one before (an end before the first), then of each segment's context, then of
         each segment; and the segments' begins and ends."""
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))[self.ids]
+        h = self.hash[self.ids]
         end = np.uint64(xxhash.xxh3_64_intdigest(b""))
         back = [np.where(self.place >= k, np.concatenate((np.full(min(k, len(h)), end), h[:-k])), end) for k in (1, 2, 3, 4)]
         pair = _mix(h + back[0] * _C)
@@ -257,9 +267,8 @@ class Block:
         context = _mix(context ^ np.uint64(0xA5A5))
         begin = np.flatnonzero((self.place == 0) | ((context >> np.uint64(33)) % np.uint64(SPAN) == 0))
         end_ = np.append(begin[1:], len(h))
-        powers = np.cumprod(np.full(len(h), _C), dtype=np.uint64)
+        powers, undo = _powers(len(h))
         run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)))
-        undo = np.cumprod(np.full(len(h), _BACK), dtype=np.uint64)
         segment = _mix((run[end_] - run[begin]) * undo[begin] + context[begin])
         return np.concatenate((pair, context[begin], segment)) >> np.uint64(64 - bits), begin, end_
 
@@ -289,7 +298,7 @@ class Block:
         low = math.log10(model.n + model.v + 1)
         out = {"sym": sym.astype(np.uint16), "share": share.astype(np.float32), "spelt": spelt.astype(np.uint32), "begin": np.diff(begin, prepend=0).astype(np.uint32)}
         live = {"pair": self._live(doc, where[:n], of_keys), "left": left, "context": self._live(doc[begin], where[n : n + m], of_keys), "segment": self._live(doc[begin], where[n + m :], of_keys)}
-        per = {"n_known": np.bincount(doc, total > 0, len(self.size)).astype(np.int64), "base": np.bincount(doc, np.log10(total + 1.0) - low, len(self.size))}
+        per = {"n_known": np.bincount(doc, total > 0, len(self.size)).astype(np.int64), "base": np.bincount(doc, (np.log10(totals + 1.0) - low)[ids], len(self.size))}
         out |= {k: _small(v) for k, v in live.items()} | per
         return {k: pack(v) for k, v in out.items()} | {"new": len(new).to_bytes(8, "little") + (pa.compress(new, codec="zstd", asbytes=True) if new else b"")}
 
@@ -500,7 +509,7 @@ def tree(model: Model, block: Ready, rows: list[np.ndarray]) -> np.ndarray:
                 s += v * w.take(cell)
             sign = code.sign.take(at)
             p = _p(s, sign)
-            got[part] = np.bincount(which, np.log(p), part.stop - k)
+            got[part] = np.add.reduceat(np.log(p), np.flatnonzero(np.diff(which, prepend=-1)))  # no symbol is without a bit
             e = sign * (p - 1)
             cell >>= 4
             error[-1] += np.bincount(cell, e, texts)
