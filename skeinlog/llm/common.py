@@ -55,10 +55,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """df as a table in the shared folder, and its path, for drop() once no later step reads it."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from itertools import groupby, repeat
+from itertools import groupby, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from skeinlog.llm.common import bounded_batches, crc_mod, drop, stored, table, text_of, written
 
-TOP = 255  # words with a symbol of their own, at most
-CLASSES = 64  # of the other words
+TOP = 127  # words with a symbol of their own, at most
+CLASSES = 32  # of the other words
 FEW = 32  # words that stand for the language or the manner of a text
 ORDERS = (1, 2, 3, 4)  # of the bytes' contexts
 BYTE_BITS = (18, 18, 20, 20)  # of the addresses of the bytes' tables
@@ -52,6 +52,7 @@ SLACK = 14  # bits of a key beyond those that number the tokens: 1 in 2 ** SLACK
 CHUNK, STEP = 1500, 1 << 13  # tokens whose decisions are worked out at once, and those of a step of learning
 PRIOR, RATE, TURN = 0.4, 0.003, 0.0003  # of counts; of the offsets; of the weights
 PACE, LATER, SLOW = 8, 256, 64  # weights move every PACE tokens, from token LATER on every SLOW
+BESIDE = 256  # texts that go on side by side
 HOLD = 20.0  # decisions that the first weights count for
 GATES, LEVELS = 64, 24
 WORDS, BYTES, PAIR, SEG = range(4)
@@ -487,14 +488,17 @@ def tree(model: Model, block: Ready, rows: list[np.ndarray]) -> np.ndarray:
     rank[np.argsort(-block.size, kind="stable")] = np.arange(len(block.size))
     rank = rank[block.doc]
     turn = np.where(block.place < LATER, block.place // PACE, LATER // PACE + (block.place - LATER) // SLOW)
-    order = np.argsort(turn * max(1, len(block.size)) + rank, kind="stable")
-    own = np.repeat(model.weights[WORDS].astype(np.float32).T[:, None], len(block.size), axis=1)  # weights and offset of each text and gate
-    flat = own.reshape(len(own), -1)
+    turn += rank // BESIDE * (int(turn.max(initial=0)) + 1)  # texts go on in groups, whose weights stay in the cache
+    turn, order = ordered(turn * BESIDE + rank % BESIDE, (int(turn.max(initial=0)) + 1) * BESIDE)
+    turn, rank = turn.astype(np.int64) // BESIDE, rank[order] % BESIDE
+    first = model.weights[WORDS].astype(np.float32).T[:, None]
     rows = [(r * nodes)[order] for r in rows]
-    sym, rank = sym[order], rank[order]
-    got = np.zeros(len(sym))
-    begin = 0
-    for end in np.cumsum(np.bincount(turn)).tolist():
+    sym = sym[order]
+    got, place = np.zeros(len(sym)), block.place[order]
+    for begin, end in pairwise([*np.flatnonzero(np.diff(turn, prepend=-1)).tolist(), len(turn)]):
+        if not place[begin]:  # of a group
+            own = np.repeat(first, BESIDE, axis=1)  # weights and offset of each text and gate
+            flat = own.reshape(len(own), -1)
         texts = 4 * (int(rank[end - 1]) + 1)
         error = np.zeros((len(own), texts))
         for k in range(begin, end, CHUNK):
@@ -518,7 +522,6 @@ def tree(model: Model, block: Ready, rows: list[np.ndarray]) -> np.ndarray:
         error[:-1] *= TURN
         error[-1] *= RATE
         own[:, : texts // 4] += np.repeat(error.astype(np.float32), 16, axis=1).reshape(len(own), -1, GATES)
-        begin = end
     logp[order] = got
     return logp
 
@@ -864,13 +867,13 @@ def score_texts(docs: DataFrame, learn, top: int = TOP, block: int = BLOCK) -> D
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType
     rows = docs.select("doc_id", F.coalesce(learn, F.lit(False)).alias("learn"), text_of("text").alias("text"))
-    made, first = stored(rows.mapInArrow(_numbered(to_arrow_type(kind), block), MADE.format(kind=kind.simpleString())), "blocks")
+    made, first = stored(rows.mapInArrow(_numbered(to_arrow_type(kind), block), MADE.format(kind=kind.simpleString())), "blocks", "none")
     blocks = made.count()
     # more tokens than this can't be: each block but the last of a task has `block` of them, and its last text's
     bits = min(64, max(32, math.ceil(math.log2(max(1, blocks) * block)) + SLACK))
     shards = max(1, min(math.ceil(blocks / 4), SHARDS))
     asked = made.drop("doc_id", "bytes").mapInArrow(_asked(shards, bits), ASKED).repartition(max(spread, shards // 4), "shard")
-    totals, second = stored(asked.sortWithinPartitions("shard", "kind").mapInArrow(_totals(top), TOTALS), "totals")
+    totals, second = stored(asked.sortWithinPartitions("shard", "kind").mapInArrow(_totals(top), TOTALS), "totals", "none")
 
     stats = {r.shard: r.n for r in totals.where(F.col("kind") == STATS).groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a number for each class
     frequent = totals.where(F.col("kind") == FREQUENT).orderBy(F.col("n").desc(), "data").limit(top).collect()  # at most `top` rows
@@ -883,7 +886,7 @@ def score_texts(docs: DataFrame, learn, top: int = TOP, block: int = BLOCK) -> D
 
     held = spark.sparkContext.broadcast(model)
     both = made.groupBy("block").cogroup(totals.where("kind < 2").select("block", "kind", "shard", "data").groupBy("block"))
-    ready = written(both.applyInArrow(_joined(held, shards), READY.format(kind=kind.simpleString())), "ready")
+    ready, _ = stored(both.applyInArrow(_joined(held, shards), READY.format(kind=kind.simpleString())), "ready", "none")  # what is large is packed
     drop(spark, first, second)
     symbols = _gathered(ready.select("size", "learn", "sym").mapInArrow(_counter(held), TOTALS), spread, [r * model.code.n for r in model.rows], "symbols")
     held.destroy()
