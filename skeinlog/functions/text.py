@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 MIN_QUOTE, MIN_CLAUSE, MIN_CLAUSE_TOKENS = 12, 16, 4
 SANITISED, SIGNATURE, OPENING = 160, 120, 280
 
+# Patterns of what evidence text must not show.
 _UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-_TICKET = r"(?i)\b[A-Z]{2,}-\d+\b"
-_HOME_PATH = r"(?i)(/Users/|/home/)[^\s'\"]*|[^\s'\"]*\.worktrees/[^\s'\"]*"
+_TICKET = r"(?i)\bsc-\d+\b"
+_PATH = r"\$HOME[^\t\n\f\r ]*|/(?:Users|home|private|var|tmp)/[^\t\n\f\r ]*"
+_WORKTREE = r"(?<![^\t\n\f\r ])[^\t\n\f\r ]*\.worktrees/[^\t\n\f\r ]*"  # from the start of its run of characters on, so that long runs are read once
+
+#: All white space of Unicode.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def normalise_ws(c: Column) -> Column:
@@ -22,7 +27,7 @@ def normalise_ws(c: Column) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def fingerprint_text(c: Column) -> Column:
@@ -30,7 +35,7 @@ def fingerprint_text(c: Column) -> Column:
 
 
 def normal_clause(c: Column) -> Column:
-    return F.regexp_replace(fingerprint_text(c), r"[.!?;:, ]+$", "")
+    return F.rtrim(fingerprint_text(c), F.lit(".!?;:, "))
 
 
 def fingerprint(c: Column) -> Column:
@@ -59,13 +64,13 @@ def acted_key(kind: Column, escalated: Column, statement: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words without the characters at their edges that are neither letter nor digit; those inside stay."""
-    bare = F.transform(F.split(c, r"(?U)\s+"), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", ""))
+    bare = F.transform(F.split(c, r"(?U)\s+"), lambda t: F.regexp_replace(F.regexp_replace(t, r"^[^\p{L}\p{Nd}]+", ""), r"(?<=[\p{L}\p{Nd}])[^\p{L}\p{Nd}]+$", ""))
     return F.filter(bare, lambda t: t != "")
 
 
 def clauses(line: Column) -> Column:
     """A line cut after . ! or ? where white space follows."""
-    cut = F.transform(F.split(line, r"(?<=[.!?])(?=\s)"), trim_ws)
+    cut = F.transform(F.split(line, r"(?U)(?<=[.!?])(?=\s)"), trim_ws)
     return F.filter(cut, lambda c: c != "")
 
 
@@ -75,7 +80,8 @@ def sanitise(c: Column) -> Column:
     s = F.regexp_replace(s, r"^<tool_use_error>|</tool_use_error>$", "")
     s = F.regexp_replace(s, _UUID, "[id]")
     s = F.regexp_replace(s, _TICKET, "[ticket]")
-    s = F.regexp_replace(s, _HOME_PATH, "[path]")
+    s = F.when(F.contains(s, F.lit(".worktrees/")), F.regexp_replace(s, _WORKTREE, "[path]")).otherwise(s)
+    s = F.regexp_replace(s, _PATH, "[path]")
     return F.substring(normalise_ws(s), 1, SANITISED)
 
 
@@ -85,9 +91,9 @@ def error_signature(c: Column) -> Column:
 
 
 def elide(c: Column, most: int) -> Column:
-    """The first and last half of a longer text, and how much is left out between."""
-    half = most // 2
-    cut = F.concat(F.substring(c, 1, half), F.lit(" …["), (F.length(c) - 2 * half).cast("string"), F.lit(" chars cut]… "), F.right(c, F.lit(half)))
+    """The first and last half of a longer text, trimmed, and by how much it is too long."""
+    half, c = most // 2, trim_ws(c)
+    cut = F.concat(F.substring(c, 1, half), F.lit(" …["), (F.length(c) - most).cast("string"), F.lit(" chars cut]… "), F.right(c, F.lit(half)))
     return F.when(F.length(c) > most, cut).otherwise(c)
 
 
@@ -95,12 +101,32 @@ def shorten(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
 
 
+# Fixed value: the pattern of a claim of quantity.
+QUANTITY = r"\d+\s*%|\b\d+\s+(sessions?|times?|incidents?)\b|\b\d+\s+of\s+\d+\b"
+
+
 def has_quantity(c: Column) -> Column:
     """Says a number of sessions, times or incidents, a share, or so many of so many."""
-    return c.rlike(r"\d+\s*%|\b\d+\s+(sessions?|times?|incidents?)\b|\b\d+\s+of\s+\d+\b")
+    return c.rlike(QUANTITY)
 
 
-#: label and pattern of what a stored text must not hold.
+# What a snapshot's free text must not hold (case matters), and what the files of an evaluation must not. Each has a set of
+# its own; they aren't one set.
+SNAPSHOT: Sequence[tuple[str, str]] = (
+    ("users_path", r"/Users/"),
+    ("home", r"\$HOME"),
+    ("uuid", r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),
+    ("ticket", r"\bsc-\d+\b"),
+)
+ARTIFACT: Sequence[tuple[str, str]] = (
+    ("uuid", r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),
+    ("users_path", r"/Users/"),
+    ("home_path", r"/home/"),
+    ("home", r"\$HOME"),
+    ("ticket", r"(?i)\bsc-\d+\b"),
+    ("worktree", r"\.worktrees/"),
+)
+#: label and pattern of what no file of a repository must hold.
 PRIVATE: Sequence[tuple[str, str]] = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"),
     ("home_path", r"/(Users|home)/[A-Za-z0-9_.-]+"),
@@ -110,5 +136,6 @@ PRIVATE: Sequence[tuple[str, str]] = (
 )
 
 
-def private_labels(c: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in PRIVATE]))
+def private_labels(c: Column, patterns: Sequence[tuple[str, str]] = PRIVATE) -> Column:
+    """The labels of the patterns that a text matches, never the matches."""
+    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in patterns]))

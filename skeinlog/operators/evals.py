@@ -12,12 +12,15 @@ RECALL, PRECISION = 0.5, 0.5
 
 
 def corroborate(dropped: Column, finding: Column, sessions: Column, anchors: Column, cap: Column) -> Column:
-    hits = F.size(F.array_intersect(sessions, anchors))
+    """The class of an item: cap is the number of anchors that its size is held against; 0 or null means all of `anchors`."""
+    size = F.size(F.array_distinct(sessions))
+    hits = F.size(F.filter(anchors, lambda a: F.array_contains(sessions, a)))
     recall = hits >= RECALL * F.size(anchors)
-    precise = (hits >= 1) & (hits >= PRECISION * F.size(sessions))
+    grounded = finding & (hits >= 1) & (hits >= PRECISION * size)
+    cap = F.when(F.coalesce(cap, F.lit(0)) > 0, cap).otherwise(F.size(anchors))
     return (
-        F.when(dropped, "dropped").when(F.size(anchors) == 0, "no_anchors").when(F.size(sessions) == 0, "anchor_mismatch")
-        .when(recall & (F.size(sessions) > 3 * cap + 2), "size_cap").when(recall, "corroborated").when(finding & precise, "grounded").otherwise("anchor_mismatch")
+        F.when(dropped, "dropped").when(F.size(anchors) == 0, "no_anchors").when((size == 0) | ~(recall | grounded), "anchor_mismatch")
+        .when(size > 3 * cap + 2, "size_cap").when(recall, "corroborated").otherwise("grounded")
     )
 
 
@@ -26,11 +29,13 @@ def lower_median(c: str) -> Column:
     return F.expr(f"cast(percentile_disc(0.5) within group (order by {c}) as bigint)")
 
 
-def status_of(status: Column, median: Column, pass_at: Column) -> tuple[Column, Column]:
-    """(meets expectation, hard fail) of a target's median granularity."""
+def status_of(status: Column, median: Column, pass_at: Column, tier: Column, provisional: Column | None = None) -> tuple[Column, Column]:
+    """(meets expectation, hard fail) of a target's median granularity. A provisional pass waits for confirmation: it doesn't meet the
+    expectation, but is no hard fail."""
     would = median >= pass_at
-    meets = F.when(status == "must_pass", would).when(status == "expected_partial", median > 0).otherwise(True)
-    hard = F.when(status == "expected_partial", median == 0).otherwise(False)
+    held = F.lit(False) if provisional is None else F.coalesce(provisional, F.lit(False))
+    meets = F.when(status == "must_pass", would & ~held).when(status == "expected_partial", median > 0).otherwise(True)
+    hard = F.when(status == "must_pass", (tier == "HIGH") & ~would).when(status == "expected_partial", median == 0).otherwise(False)
     return meets, hard
 
 
@@ -44,7 +49,7 @@ def pairwise_stability(rows: DataFrame, key: str, repeat: str, kind: str) -> Dat
     sets = rows.groupBy(key, repeat).agg(F.collect_set(kind).alias("s"))
     all_ = sets.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(repeat, "s"))), lambda x: x["s"]).alias("sets"))
     n = F.size("sets")
-    pairs = F.flatten(F.transform("sets", lambda a, i: F.transform(F.slice("sets", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))))
+    pairs = F.flatten(F.transform("sets", lambda a, i: F.transform(F.slice("sets", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda b: F.when(F.size(F.array_union(a, b)) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))))))
     mean = F.when(n < 2, F.lit(1.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs))
     union = F.array_distinct(F.flatten("sets"))
     churn = F.exists(union, lambda k: ~F.forall("sets", lambda s: F.array_contains(s, k)))

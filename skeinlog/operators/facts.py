@@ -41,7 +41,7 @@ def session_facts(decoded: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.nullif("skill", F.lit("")))).alias("skills"),
         F.coalesce(F.sum(F.size(F.filter("patch_lines", lambda x: x.startswith("+")))), F.lit(0)).alias("lines_added"),
         F.coalesce(F.sum(F.size(F.filter("patch_lines", lambda x: x.startswith("-")))), F.lit(0)).alias("lines_removed"),
-        F.size(F.collect_set("result_path")).cast("long").alias("files_touched"),
+        F.size(F.collect_set(F.when(F.col("patched"), F.col("result_path")))).cast("long").alias("files_touched"),
     )
     spoken = messages(ev).groupBy("session_id").agg(
         F.count("*").alias("assistant_turns"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),

@@ -51,9 +51,24 @@ def top_counts(rows: DataFrame, key: str, what: str, most: int) -> DataFrame:
 def curate(rows: DataFrame, key: str, cells: Sequence[tuple[str, Column, int]], outlier: Sequence[Column]) -> DataFrame:
     """(key, cell): the outlier first, then for each cell in order the first rows by key that fit and are not yet taken.
 
-    Quotas are small, so each cell is a top-k; no cell sorts the whole table."""
-    taken = rows.orderBy(*outlier, key).limit(1).select(key, F.lit("outlier").alias("cell"))
-    for name, fits, quota in cells:
-        more = rows.where(fits).join(taken.select(key), key, "left_anti").orderBy(key).limit(quota)
-        taken = taken.unionByName(more.select(key, F.lit(name).alias("cell")))
-    return taken
+    A row can be taken by earlier cells only as often as these have places, so of each cell the first rows by key, as many as all
+    places so far, are enough: one pass tags the rows with their cells and keeps those; the choice is then among a few rows."""
+    top = rows.orderBy(*outlier, key).limit(1).select(key).collect()
+    tags = F.array_compact(F.array(*[F.when(fits, F.lit(i)) for i, (_, fits, _) in enumerate(cells)]))
+    places = [1]
+    for _, _, quota in cells:
+        places.append(places[-1] + quota)
+    tagged = rows.select(key, F.explode(tags).alias("__cell"))
+    nth = F.row_number().over(Window.partitionBy("__cell").orderBy(key))
+    most = F.element_at(F.array(*[F.lit(n) for n in places[1:]]), F.col("__cell") + 1)
+    first: dict[int, list] = {}
+    for r in tagged.withColumn("__n", nth).where(F.col("__n") <= most).orderBy("__cell", "__n").collect() if cells else []:  # at most the sum of places
+        first.setdefault(r["__cell"], []).append(r[key])
+    taken = [(r[0], "outlier") for r in top]
+    seen = {k for k, _ in taken}
+    for i, (name, _, quota) in enumerate(cells):
+        new = [k for k in first.get(i, []) if k not in seen][:quota]
+        taken += [(k, name) for k in new]
+        seen.update(new)
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.sparkSession.createDataFrame(taken, f"`{key}` {kind}, cell string")

@@ -24,8 +24,10 @@ def floored(rows: DataFrame, repo: str, least: int, *aggregates: Column) -> Data
     return rows.where(F.col(repo).isNotNull() & (F.col(repo) != "")).groupBy(repo).agg(F.count("*").alias("n"), *aggregates).where(F.col("n") >= least)
 
 
-def due(counts: DataFrame, repo: str, fresh: str, total: str, floor: int, threshold: int) -> DataFrame:
-    """One row: fresh sessions over the repos that reach the floor, whether they reach the threshold, and which repos contribute."""
+def due(counts: DataFrame, repo: str, fresh: str, total: str, floor: int, threshold: int, since_days: Column | None = None, cadence_days: int = 0) -> DataFrame:
+    """One row: fresh sessions over the repos that reach the floor, which repos contribute, and whether it is due: the fresh ones reach
+    the threshold, and the last snapshot is at least cadence_days old (since_days null: there is none)."""
     ok = counts.where(F.col(total) >= floor)
     names = F.array_join(F.sort_array(F.collect_list(F.when(F.col(fresh) > 0, F.col(repo)))), ",")
-    return ok.agg(F.coalesce(F.sum(fresh), F.lit(0)).alias("fresh"), names.alias("contributing")).withColumn("due", F.col("fresh") >= threshold)
+    elapsed = F.lit(True) if since_days is None else since_days.isNull() | (since_days >= cadence_days)
+    return ok.agg(F.coalesce(F.sum(fresh), F.lit(0)).alias("fresh"), names.alias("contributing")).withColumn("due", (F.col("fresh") >= threshold) & elapsed)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,37 +15,48 @@ from skeinlog.functions.text import tokens
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names; a local one where it is unset."""
+    """df as a table in the folder that spark.checkpoint.dir names; a local one where it is unset and the master is local, as in tests.
+    It is removed when the driver ends."""
     spark: SparkSession = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skeinlog-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/sim-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def similar_pairs(items: DataFrame, key: str, text: str, bar: float) -> DataFrame:
     """(a, b, inter, size_a, size_b): pairs a < b whose token multisets have a Jaccard similarity of bar or more.
 
-    Exact for any bar above 0. Only the rarest tokens of an item are joined: of s token occurrences, any partner must share one of the
+    Exact for any bar above 0, which is taken as the decimal fraction that it is written as. Only the rarest tokens of an item are joined: of s token occurrences, any partner must share one of the
     first s - ceil(bar * s) + 1 in a common order by rarity, so frequent tokens are never keys of a join unless an item has no others.
     """
+    num, den = Fraction(str(bar)).as_integer_ratio()
     words = items.select(F.col(key).alias("id"), F.explode(tokens(F.lower(F.col(text)))).alias("t"))
     bag = words.groupBy("id", "t").agg(F.count("*").alias("n"))
     freq = bag.groupBy("t").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "t")
     bag = bag.join(freq, "t").withColumns({"size": F.sum("n").over(Window.partitionBy("id")), "upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     bag = _saved(bag)
-    prefix = bag.where(F.col("upto") - F.col("n") < F.col("size") - F.ceil(F.col("size") * bar) + 1).select("id", "t", "size")
+    prefix = bag.where(F.col("upto") - F.col("n") < F.col("size") - F.expr(f"(size * {num} + {den - 1}) div {den}") + 1).select("id", "t", "size")
     left, right = prefix.select(F.col("id").alias("a"), "t", F.col("size").alias("sa")), prefix.select(F.col("id").alias("b"), "t", F.col("size").alias("sb"))
-    close = F.least("sa", "sb") >= bar * F.greatest("sa", "sb")
+    close = den * F.least("sa", "sb") >= num * F.greatest("sa", "sb")
     cand = left.join(right, "t").where((F.col("a") < F.col("b")) & close).select("a", "b", "sa", "sb").distinct()
     na, nb = bag.select(F.col("id").alias("a"), "t", F.col("n").alias("na")), bag.select(F.col("id").alias("b"), "t", F.col("n").alias("nb"))
     shared = cand.join(na, "a").join(nb, ["b", "t"]).groupBy("a", "b", "sa", "sb").agg(F.sum(F.least("na", "nb")).alias("inter"))
-    return shared.where(F.col("inter") >= bar * (F.col("sa") + F.col("sb") - F.col("inter"))).select("a", "b", "inter", F.col("sa").alias("size_a"), F.col("sb").alias("size_b"))
+    return shared.where(den * F.col("inter") >= num * (F.col("sa") + F.col("sb") - F.col("inter"))).select("a", "b", "inter", F.col("sa").alias("size_a"), F.col("sb").alias("size_b"))
 
 
 def clusters(pairs: DataFrame, most: int = 50) -> DataFrame:
@@ -65,15 +78,23 @@ def duplicate_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(F.sha2(F.encode(text, "UTF-8"), 256).alias("h")).agg(F.min(key).alias("cluster"), F.count("*").alias("n")).where("n > 1").drop("h")
 
 
+SHORT = 256  # quotes of one or two words that are held against a text at once
+
+
 def quoted(docs: DataFrame, quotes: DataFrame, normal=lambda c: c) -> DataFrame:
-    """(doc_id, item_id): documents whose text contains a quote as it stands, after `normal` on both.
+    """(doc_id, item_id): documents whose text contains a quote as it stands, after `normal` on both; an empty quote is in none.
 
-    The longest inner word of a quote must be a word of the document, so candidates come from an equality join on it."""
-    q = quotes.select("item_id", normal(F.col("text")).alias("quote"))
-    inner = F.filter(F.slice(F.split("quote", r"\s+"), 2, 1_000_000), lambda w: w != "")
-    longest = F.array_sort(F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(1))), lambda x, y: F.length(y) - F.length(x))[0]
-    q = q.withColumn("w", longest)
+    The words inside of a quote have white space on both sides, so the longest of them must be a word of the document, and candidates
+    come from an equality join on it. A quote of one or two words has none inside: those are held against all texts, in blocks."""
+    q = quotes.select("item_id", normal(F.col("text")).alias("quote")).where("quote <> ''")
+    inner = F.filter(F.slice(F.split("quote", r"\s+"), F.lit(2), F.greatest(F.size(F.split("quote", r"\s+")) - 2, F.lit(0))), lambda w: w != "")
+    q = q.withColumn("w", F.get(F.array_sort(inner, lambda x, y: F.length(y) - F.length(x)), 0))
     d = docs.select("doc_id", normal(F.col("text")).alias("body")).where(F.length("body") > 0)
     words = d.select("doc_id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("w"))
-    cand = words.join(F.broadcast(q.select("item_id", "w")) if q.limit(100_001).count() <= 100_000 else q.select("item_id", "w"), "w").select("doc_id", "item_id")
-    return cand.join(d, "doc_id").join(q.select("item_id", "quote"), "item_id").where(F.col("body").contains(F.col("quote"))).select("doc_id", "item_id")
+    long = q.where("w is not null")
+    cand = words.join(long.select("item_id", "w"), "w").select("doc_id", "item_id")
+    found = cand.join(d, "doc_id").join(long.select("item_id", "quote"), "item_id").where(F.col("body").contains(F.col("quote"))).select("doc_id", "item_id")
+    blocks = q.where("w is null").groupBy(F.floor(F.pmod(F.xxhash64("item_id"), F.lit(1 << 40)) % F.greatest(F.lit(1), F.lit(q.where("w is null").count() // SHORT + 1))).alias("k"))
+    blocks = blocks.agg(F.collect_list(F.struct("item_id", "quote")).alias("b"))
+    hits = d.join(blocks, F.lit(True)).select("doc_id", "body", F.explode("b").alias("q")).where(F.col("body").contains(F.col("q.quote")))
+    return found.unionByName(hits.select("doc_id", F.col("q.item_id").alias("item_id")))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinlog.functions.text import MIN_QUOTE, has_quantity, normalise_ws, private_labels
+from skeinlog.functions.text import MIN_QUOTE, SNAPSHOT, has_quantity, normalise_ws, private_labels
 
 # Kinds of evidence that each kind of asset may rest on, and the signals that a new skill may.
 GROUNDING = {"claude_md_rule": "PF", "repo_doc": "PF", "hook": "FG", "setting": "FG", "new_skill": "GP", "habit": "FS"}
 RETYPED = ("retyped_directives", "retyped_kickoffs")
 AUDIENCES = ("user", "orchestrator", "subagents", "both", "automation")
+NAMED = ("claude_md_rule", "repo_doc")  # kinds of asset that must name their audience
 MOST_FINDINGS, MOST_QUOTES = 10, 3
 
 
@@ -33,15 +34,16 @@ def violations(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     out = counts.where(wrong).select(F.lit(None).cast("int").alias("rank"), F.lit("ranks").alias("rule"))
     free = F.concat_ws("\n", "title", "statement", "rationale")
     empty = F.coalesce(F.trim("title"), F.lit("")) == ""
+    named = F.coalesce("audience", F.lit(""))
     for rule, bad in (
         ("title", empty),
         ("adopted", ~F.coalesce("adopted", F.lit("")).isin("yes", "no", "unknown")),
         ("no_citation", F.coalesce(F.size("evidence_ids"), F.lit(0)) < 1),
         ("asset_type", ~F.col("asset_type").isin(*GROUNDING)),
-        ("audience", F.col("asset_type").isin("claude_md_rule", "repo_doc") & ~F.coalesce("audience", F.lit("")).isin(*AUDIENCES)),
+        ("audience", F.when(named == "", F.col("asset_type").isin(*NAMED)).otherwise(~named.isin(*AUDIENCES))),
         ("escalated_habit", F.col("escalated") & (F.col("asset_type") == "habit")),
         ("quantity", has_quantity(free)),
-        ("privacy", F.size(private_labels(free)) > 0),
+        ("privacy", F.size(private_labels(free, SNAPSHOT)) > 0),
     ):
         out = out.unionByName(where(rule, bad))
     c = cited(f, evidence)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinlog.functions import text as T
-from skeinlog.operators import evals, select, signals, similarity
+from skeinlog.operators import evals, select, signals, similarity, verify
 from skeinlog.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -16,9 +16,12 @@ def evidence_sanitise(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sanitise(F.col("text")).alias("evidence"))
 
 
-_SANITISE_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}, ' ' || chr(10) || chr(9) || chr(13)),
-  '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}', '[id]', 'g'), '(?i)\b[A-Z]{{2,}}-\d+\b', '[ticket]', 'g'),
-  '(?i)(/Users/|/home/)[^\s''"]*|[^\s''"]*\.worktrees/[^\s''"]*', '[path]', 'g'), '\s+', ' ', 'g'))[1:160]"""
+_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)"
+_SANITISE_SQL = (
+    r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}, """ + _TRIM + r"""), '^<tool_use_error>|</tool_use_error>$', '', 'g'),
+  '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}', '[id]', 'g'), '(?i)\bsc-\d+\b', '[ticket]', 'g'),
+  '\$HOME[^\s]*|/(?:Users|home|private|var|tmp)/[^\s]*|[^\s]*\.worktrees/[^\s]*', '[path]', 'g'), '\s+', ' ', 'g'))[1:160]"""
+)
 SQL["evidence_sanitise"] = f"select doc_id, {_SANITISE_SQL.format('text')} as evidence from documents"
 
 
@@ -28,7 +31,7 @@ def error_signatures(spark, d):
 
 
 SQL["error_signatures"] = rf"""
-with f as (select string_split(trim(text, ' ' || chr(10) || chr(9) || chr(13)), chr(10))[1] as l from documents)
+with f as (select string_split(trim(text, {_TRIM}), chr(10))[1] as l from documents)
 select regexp_replace({_SANITISE_SQL.format('l')}, '\d+', 'N', 'g')[1:120] as signature, count(*) as n from f group by 1"""
 
 
@@ -241,8 +244,8 @@ SQL["corroboration_class"] = """
 with s as (select o_custkey, coalesce(list(distinct o_orderkey) filter (where o_orderkey % 3 <> 0), []) as ss, coalesce(list(distinct o_orderkey) filter (where o_orderkey % 2 = 0), []) as a from orders group by 1),
 h as (select *, len(list_intersect(ss, a)) as h from s)
 select o_custkey, case when o_custkey % 11 = 0 then 'dropped' when len(a) = 0 then 'no_anchors' when len(ss) = 0 then 'anchor_mismatch'
-  when h >= 0.5 * len(a) and len(ss) > 11 then 'size_cap' when h >= 0.5 * len(a) then 'corroborated'
-  when o_custkey % 2 = 0 and h >= 1 and h >= 0.5 * len(ss) then 'grounded' else 'anchor_mismatch' end as class from h"""
+  when not (h >= 0.5 * len(a) or (o_custkey % 2 = 0 and h >= 1 and h >= 0.5 * len(ss))) then 'anchor_mismatch'
+  when len(ss) > 11 then 'size_cap' when h >= 0.5 * len(a) then 'corroborated' else 'grounded' end as class from h"""
 
 
 def _votes(spark, d):
@@ -294,14 +297,14 @@ _STATUS_SQL = "case when target % 5 = 0 then 'expected_partial' when target % 5
 
 def target_status(spark, d):
     m = _votes(spark, d).groupBy("target").agg(evals.lower_median("granularity").alias("median")).withColumn("status", _status())
-    meets, hard = evals.status_of(F.col("status"), F.col("median"), F.lit(2))
+    meets, hard = evals.status_of(F.col("status"), F.col("median"), F.lit(3), F.when(F.col("target") % 2 == 0, "HIGH").otherwise("MODERATE"), F.col("target") % 7 == 2)
     return m.select("target", "status", "median", meets.alias("meets"), hard.alias("hard_fail"))
 
 
 SQL["target_status"] = f"""
 with {_VOTES_SQL}, m as (select target, quantile_disc(granularity, 0.5) as median, {_STATUS_SQL} as status from v group by 1)
-select target, status, median, case when status = 'must_pass' then median >= 2 when status = 'expected_partial' then median > 0 else true end as meets,
-  case when status = 'expected_partial' then median = 0 else false end as hard_fail from m"""
+select target, status, median, case when status = 'must_pass' then median >= 3 and target % 7 <> 2 when status = 'expected_partial' then median > 0 else true end as meets,
+  case when status = 'must_pass' then target % 2 = 0 and median < 3 when status = 'expected_partial' then median = 0 else false end as hard_fail from m"""
 
 
 def weighted_recall(spark, d):
@@ -356,22 +359,45 @@ p as (select target, sample, s, lead(s) over (partition by target order by sampl
 select target, sample, round(1 - len(list_intersect(s, t)) / len(list_distinct(list_concat(s, t))), 9) as churn from p where t is not null"""
 
 
-def grounding_violations(spark, d):
-    """Citations whose kind the kind of asset doesn't allow."""
-    allowed = {"rule": ("P", "F"), "hook": ("F", "G"), "habit": ("F", "S"), "skill": ("G", "P")}
-    asset = F.element_at(F.array(*[F.lit(a) for a in allowed]), (F.col("p_size") % 4 + 1).cast("int"))
-    kind = F.element_at(F.array(*[F.lit(k) for k in "FPSG"]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    cited = table(spark, d, "part").select("p_partkey", asset.alias("asset"), kind.alias("kind"))
-    ok = None
-    for a, kinds in allowed.items():
-        c = (F.col("asset") == a) & F.col("kind").isin(*kinds)
-        ok = c if ok is None else ok | c
-    return cited.where(~ok)
-
-
-SQL["grounding_violations"] = """
-with c as (select p_partkey, (['rule', 'hook', 'habit', 'skill'])[p_size % 4 + 1] as asset, (['F', 'P', 'S', 'G'])[p_partkey % 4 + 1] as kind from part)
-select * from c where not ((asset = 'rule' and kind in ('P', 'F')) or (asset = 'hook' and kind in ('F', 'G')) or (asset = 'habit' and kind in ('F', 'S')) or (asset = 'skill' and kind in ('G', 'P')))"""
+def _findings(spark, d):
+    """A finding for each part: kinds of asset and of evidence, audiences, and what it says, by the part's columns."""
+    of = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(c) % len(values) + 1).cast("int"))
+    p = table(spark, d, "part")
+    asset = of(sorted(verify.GROUNDING), "p_size")
+    return p.select(
+        F.col("p_partkey").alias("rank"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 13 == 0, "see $HOME/x").otherwise(F.col("p_type")).alias("statement"),
+        F.when(F.col("p_partkey") % 17 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" of 60"))).otherwise(F.lit("none")).alias("rationale"), asset.alias("asset_type"),
+        of(("user", "both", "", "martians"), "p_partkey").alias("audience"), of(("yes", "no", "maybe"), "p_partkey").alias("adopted"),
+        (F.col("p_partkey") % 5 == 0).alias("escalated"), F.array(F.concat(F.lit("E"), (F.col("p_partkey") % 9).cast("string"))).alias("evidence_ids"),
+    )
+
+
+def finding_violations(spark, d):
+    """How many findings break each rule; the evidence is E0 to E7, of all kinds, so E8 dangles."""
+    rows = spark.range(8).select(
+        F.concat(F.lit("E"), F.col("id").cast("string")).alias("id"), F.substring(F.lit("FPSGFPSG"), (F.col("id") + 1).cast("int"), F.lit(1)).alias("kind"),
+        F.when(F.col("id") == 3, "retyped_kickoffs").otherwise("high_read").alias("signal_kind"), F.lit("r").alias("repo"), F.array(F.lit("s")).alias("session_ids"),
+    )
+    return verify.violations(_findings(spark, d), rows).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+SQL["finding_violations"] = r"""
+with p as (select p_partkey as k, (['claude_md_rule', 'habit', 'hook', 'new_skill', 'repo_doc', 'setting'])[p_size % 6 + 1] as a, (['user', 'both', '', 'martians'])[p_partkey % 4 + 1] as who,
+  p_partkey % 5 = 0 as esc, p_partkey % 9 as e, p_name || chr(10) || case when p_partkey % 13 = 0 then 'see $HOME/x' else p_type end || chr(10)
+    || case when p_partkey % 17 = 0 then p_size || ' of 60' else 'none' end as free, trim(p_name) as title from part),
+k as (select *, 'FPSGFPSG'[e + 1] as kind from p),
+r as (
+  select 'ranks' as rule from (select count(*) as n, max(k) as hi from p) where n > 10 or hi <> n
+  union all select 'title' from p where title = ''
+  union all select 'adopted' from p where k % 3 = 2
+  union all select 'audience' from p where who = 'martians' or (who = '' and a in ('claude_md_rule', 'repo_doc'))
+  union all select 'escalated_habit' from p where esc and a = 'habit'
+  union all select 'quantity' from p where regexp_matches(free, '\d+\s*%|\b\d+\s+(sessions?|times?|incidents?)\b|\b\d+\s+of\s+\d+\b')
+  union all select 'privacy' from p where free like '%/Users/%' or free like '%$HOME%' or regexp_matches(free, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|\bsc-\d+\b')
+  union all select 'dangling' from p where e = 8
+  union all select 'grounding' from k where e < 8 and not case when esc then kind in ('P', 'F') when a in ('claude_md_rule', 'repo_doc') then kind in ('P', 'F')
+    when a in ('hook', 'setting') then kind in ('F', 'G') when a = 'habit' then kind in ('F', 'S') else kind = 'P' or e = 3 end)
+select rule, count(*) as n from r group by rule"""
 
 
 def session_to_root(spark, d):

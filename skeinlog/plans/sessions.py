@@ -85,7 +85,8 @@ select token, count(*) as n from t where token <> '' group by token"""
 
 def _clauses(spark, d):
     """(conv_id, turn, line, pos, clause, norm): clauses of user turns that are long enough, outside of fences and logs."""
-    lines = _users(spark, d).select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    said = _users(spark, d).where(K.text_class(F.col("text")) == "user_turn")
+    lines = said.select("conv_id", "turn", F.posexplode(F.split(T.trim_ws(F.col("text")), "\n")).alias("line", "s")).withColumn("s", T.trim_ws(F.col("s")))
     fence = F.col("s").startswith("```")
     parity = F.sum(fence.cast("int")).over(Window.partitionBy("conv_id", "turn").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) % 2
     kept = lines.withColumns({"fence": fence, "inside": parity}).where(~F.col("fence") & (F.col("inside") == 0))
@@ -96,26 +97,29 @@ def _clauses(spark, d):
 
 
 _CLAUSES_SQL = rf"""
-l as (select conv_id, turn, u.line, u.s from {_USERS_SQL}, unnest(string_split(text, chr(10))) with ordinality as u(s, line)),
+l as (select conv_id, turn, u.line, trim(u.s, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as s from {_USERS_SQL}, unnest(string_split(text, chr(10))) with ordinality as u(s, line)),
 f as (select *, s like '```%' as fence, sum((s like '```%')::int) over (partition by conv_id, turn order by line) % 2 as inside from l),
 k as (select * from f where not fence and inside = 0 and not regexp_matches(s, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]')
   and regexp_matches(s, '[A-Za-z]') and s not like '[image:%'),
 c as (select conv_id, turn, line, u.pos, trim(u.x) as c from k,
   unnest(string_split(regexp_replace(s, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) with ordinality as u(x, pos)),
-s as (select *, trim(regexp_replace(regexp_replace(regexp_replace(c, '(?i)\b[A-Z]{{2,}}-\d+\b', '[ticket]', 'g'),
-  '(?i)(/Users/|/home/)[^\s''"]*|[^\s''"]*\.worktrees/[^\s''"]*', '[path]', 'g'), '\s+', ' ', 'g'))[1:160] as clause from c where c <> ''),
+s as (select *, trim(regexp_replace(regexp_replace(regexp_replace(c, '(?i)\bsc-\d+\b', '[ticket]', 'g'),
+  '\$HOME[^\s]*|/(?:Users|home|private|var|tmp)/[^\s]*|[^\s]*\.worktrees/[^\s]*', '[path]', 'g'), '\s+', ' ', 'g'))[1:160] as clause from c where c <> ''),
 n as (select *, regexp_replace(lower(trim(regexp_replace(clause, '\s+', ' ', 'g'))), '[.!?;:, ]+$', '') as norm,
   len(list_filter(list_transform(regexp_split_to_array(clause, '\s+'), lambda t: regexp_replace(t, '^[^\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}]+$', '', 'g')), lambda t: t <> '')) as nt from s),
 clauses as (select * from n where nt >= 4 and length(norm) >= 16)"""
 
 
 def directive_clauses(spark, d):
+    """first_turn: how often a clause is in the first turn of the user."""
     c = _clauses(spark, d)
-    return c.groupBy("conv_id", "norm").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"), F.min_by("clause", F.struct("turn", "line", "pos")).alias("exemplar"))
+    opening = _users(spark, d).where(K.text_class(F.col("text")) == "user_turn").groupBy("conv_id").agg(F.min("turn").alias("opening"))
+    first = F.count_if(F.col("turn") == F.col("opening")).alias("first_turn")
+    return c.join(opening, "conv_id").groupBy("conv_id", "norm").agg(F.count("*").alias("n"), first, F.min_by("clause", F.struct("turn", "line", "pos")).alias("exemplar"))
 
 
-SQL["directive_clauses"] = f"""with {_CLAUSES_SQL}
-select conv_id, norm, count(*) as n, min(turn) as first_turn, arg_min(clause, (turn, line, pos)) as exemplar from clauses group by conv_id, norm"""
+SQL["directive_clauses"] = f"""with {_CLAUSES_SQL}, o as (select conv_id, min(turn) as opening from {_USERS_SQL} where normal <> '' group by conv_id)
+select conv_id, norm, count(*) as n, count(*) filter (where turn = opening) as first_turn, arg_min(clause, (turn, line, pos)) as exemplar from clauses join o using (conv_id) group by conv_id, norm"""
 
 
 def repeated_directives(spark, d):

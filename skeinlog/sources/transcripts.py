@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE_TYPES = ("user", "assistant", "system", "summary", "ai-title", "last-prompt", "mode", "permission-mode", "file-history-snapshot", "queue-operation", "attachment")
+#: Fields of a line that are strings.
+STRINGS = ("type", "timestamp", "cwd", "gitBranch", "version", "uuid", "parentUuid", "leafUuid", "aiTitle", "attributionSkill", "attributionPlugin")
 BLOCK_TYPES = ("text", "thinking", "tool_use", "tool_result", "image")
 
 
@@ -27,7 +29,11 @@ def lines(spark: SparkSession, root: str) -> DataFrame:
     whole = spark.read.text(f"{root}/*/*.jsonl", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(?!agent-)(.+)\.jsonl$", 1).alias("session_id"), "value")
     split = whole.where("session_id <> ''").select("session_id", F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
     v = F.try_parse_json("raw")
-    return split.where(F.trim("raw") != "").select("session_id", F.col("line_no").cast("long").alias("line_no"), "raw", F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("v"))
+    kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")), F.lit("VOID"))
+    sound = F.schema_of_variant(v).startswith("OBJECT")
+    for f in STRINGS:  # a wrong type makes the whole line malformed; a null is as good as none
+        sound = sound & kind(f).isin("STRING", "VOID")
+    return split.where(F.trim("raw") != "").select("session_id", F.col("line_no").cast("long").alias("line_no"), "raw", F.when(sound, v).alias("v"))
 
 
 def _get(path: str, kind: str = "string", v: str = "v") -> Column:
@@ -53,7 +59,7 @@ def events(decoded: DataFrame) -> DataFrame:
         usage("input_tokens").alias("input_tokens"), usage("output_tokens").alias("output_tokens"),
         usage("cache_creation_input_tokens").alias("cache_creation"), usage("cache_read_input_tokens").alias("cache_read"),
         F.nullif(_get("$.toolUseResult.filePath"), F.lit("")).alias("result_path"), _get("$.toolUseResult.type").alias("result_type"),
-        F.flatten(F.transform(patch, lambda h: h["lines"])).alias("patch_lines"),
+        F.flatten(F.transform(patch, lambda h: h["lines"])).alias("patch_lines"), F.coalesce(F.size(patch) > 0, F.lit(False)).alias("patched"),
         (_get("$.message.usage", "variant").isNotNull()).alias("has_usage"),
     )
 

@@ -81,7 +81,8 @@ def test_verify(spark):
     assert rules(evidence_ids=["alpha/G1"]) == {"grounding"} and rules(asset_type="hook", evidence_ids=["alpha/G1"]) == set()
     assert rules(asset_type="new_skill", evidence_ids=["alpha/G1"]) == {"grounding"} and rules(asset_type="new_skill", evidence_ids=["alpha/G2"]) == set()
     assert rules(asset_type="habit", escalated=True) == {"escalated_habit"} and rules(audience="all") == {"audience"}
-    assert rules(statement="seen in 3 sessions") == {"quantity"} and rules(statement="ask a@b.co") == {"privacy"}
+    assert rules(statement="seen in 3 sessions") == {"quantity"} and rules(statement="see $HOME/x") == {"privacy"}
+    assert rules(asset_type="hook", evidence_ids=["alpha/G1"], audience="martians") == {"audience"} and rules(asset_type="hook", evidence_ids=["alpha/G1"], audience="") == set()
 
 
 def test_recount_and_quotes(spark):

@@ -35,9 +35,27 @@ def test_modes(spark):
     assert one(spark, classify.mode_of, "File has not been read yet.", "x does not contain main module", "boom") == ["edit_before_read", "wrong_cwd", "other"]
 
 
-def test_sanitise(spark):
-    got = one(spark, text.sanitise, "<tool_use_error>bad ABC-12 at /Users/me/x  1b4e28ba-2fa1-11d2-883f-0016d3cca427</tool_use_error>", "y" * 500)
-    assert got == ["bad [ticket] at [path] [id]", "y" * 160]
+@pytest.mark.parametrize(
+    ("said", "shown"),
+    [
+        ("<tool_use_error>bad sc-12 or SC-7 at /Users/me/x  1b4e28ba-2fa1-11d2-883f-0016d3cca427</tool_use_error>", "bad [ticket] or [ticket] at [path] [id]"),
+        ("y" * 500, "y" * 160),
+        ("UTF-8 and SHA-256 at /tmp/x. and $HOME/y", "UTF-8 and SHA-256 at [path] and [path]"),
+        ("in /srv/a/.worktrees/t/f.go:3 or /dev/null and /users/x", "in [path] or /dev/null and /users/x"),
+        ("cat '/private/a' x=/var/b", "cat '[path] x=[path]"),
+    ],
+)
+def test_sanitise(spark, said, shown):
+    assert one(spark, text.sanitise, said) == [shown]
+
+
+def test_long_runs_take_no_long(spark):
+    import time
+
+    runs = ["x" * 1_000_000, "." * 1_000_000, " " * 1_000_000 + "x" + " " * 1_000_000 + "y", "a" * 500_000 + ".worktrees/" + "b" * 500_000]
+    t = time.time()
+    got = one(spark, lambda c: F.concat_ws("|", text.sanitise(c), text.trim_ws(c), text.normal_clause(c), F.size(text.tokens(c))), *runs)
+    assert time.time() - t < 12 and len(got) == 4
 
 
 def test_signature(spark):
@@ -50,7 +68,8 @@ def test_tokens_and_clauses(spark):
 
 
 def test_elide(spark):
-    assert one(spark, lambda c: text.elide(c, 4), "abcdefgh", "abcd") == ["ab …[4 chars cut]… gh", "abcd"]
+    assert one(spark, lambda c: text.elide(c, 4), " abcdefgh\n", "abcd ") == ["ab …[4 chars cut]… gh", "abcd"]
+    assert one(spark, lambda c: text.elide(c, 5), "abcdefgh") == ["ab …[3 chars cut]… gh"]
 
 
 def test_quantity(spark):
@@ -59,6 +78,9 @@ def test_quantity(spark):
 
 def test_private(spark):
     assert one(spark, text.private_labels, "mail a@b.co or /home/me", "nothing") == [["email", "home_path"], []]
+    snapshot = lambda c: text.private_labels(c, text.SNAPSHOT)
+    assert one(spark, snapshot, "at $HOME/x", "/home/x SC-1", "/Users/ sc-1") == [["home"], [], ["users_path", "ticket"]]
+    assert one(spark, lambda c: text.private_labels(c, text.ARTIFACT), "/home/x SC-1", "a.worktrees/b") == [["home_path", "ticket"], ["worktree"]]
 
 
 def test_acted_key(spark):
@@ -95,10 +117,10 @@ def test_newest(spark):
 def test_corroboration(spark):
     from skeinlog.operators.evals import corroborate
 
-    rows = [(False, True, [1, 2], [1, 2, 3, 4]), (False, True, [1, 9], [1, 2, 3, 4, 5]), (False, False, [1, 9], [1, 2, 3, 4, 5]), (True, True, [1], [1]), (False, True, [1], []), (False, True, [], [1]), (False, True, list(range(15)), [1])]
+    rows = [(False, True, [1, 2], [1, 2, 3, 4]), (False, True, [1, 9], [1, 2, 3, 4, 5]), (False, False, [1, 9], [1, 2, 3, 4, 5]), (True, True, [1], [1]), (False, True, [1], []), (False, True, [], [1]), (False, True, list(range(15)), [1]), (False, True, list(range(20)), list(range(10, 40)))]
     df = spark.createDataFrame(rows, "d boolean, f boolean, s array<int>, a array<int>")
     got = [r[0] for r in df.select(corroborate(F.col("d"), F.col("f"), F.col("s"), F.col("a"), F.lit(4))).collect()]
-    assert got == ["corroborated", "grounded", "anchor_mismatch", "dropped", "no_anchors", "anchor_mismatch", "size_cap"]
+    assert got == ["corroborated", "grounded", "anchor_mismatch", "dropped", "no_anchors", "anchor_mismatch", "size_cap", "size_cap"]
 
 
 @pytest.mark.parametrize("links", [[(i, i + 1) for i in range(40)], [(1, 9), (9, 5), (5, 2), (20, 21)]])
@@ -111,3 +133,48 @@ def test_clusters(spark, links):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_corroboration_without_a_cap(spark):
+    from skeinlog.operators.evals import corroborate
+
+    df = spark.createDataFrame([(list(range(n)), [0, 1, 2, 3]) for n in (14, 15)], "s array<int>, a array<int>")
+    assert [r[0] for r in df.select(corroborate(F.lit(False), F.lit(True), F.col("s"), F.col("a"), F.lit(0))).collect()] == ["corroborated", "size_cap"]
+
+
+def test_status(spark):
+    from skeinlog.operators.evals import status_of
+
+    rows = [("must_pass", 1, "HIGH", False), ("must_pass", 1, "MODERATE", False), ("must_pass", 3, "HIGH", True), ("must_pass", 3, "HIGH", False), ("expected_partial", 0, "HIGH", False), ("expected_fail", 0, "HIGH", False)]
+    df = spark.createDataFrame(rows, "s string, m int, t string, p boolean")
+    got = df.select(*status_of(F.col("s"), F.col("m"), F.lit(3), F.col("t"), F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [(False, True), (False, False), (False, False), (True, False), (False, True), (True, False)]
+
+
+def test_quotes_of_few_words(spark):
+    from skeinlog.operators.similarity import quoted
+
+    texts = ["hello world", "say hello, world", "xhello worldx and more", "one\ttwo three four", ""]
+    quotes = ["hello", "hello worl", "lo wor", "two three four", "o three f", "hello world", "missing", "xhello worldx and", " hello"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    q = spark.createDataFrame(list(enumerate(quotes)), "item_id int, text string")
+    got = sorted((r.doc_id, r.item_id) for r in quoted(d, q).collect())
+    assert got == [(i, j) for i, t in enumerate(texts) for j, x in enumerate(quotes) if x in t]
+
+
+def test_similar_pairs_at_a_decimal_bar(spark):
+    """55 of 100 at a bar of 0.55: doubles would have put the bar one too high."""
+    from skeinlog.operators.similarity import similar_pairs
+
+    same = [f"s{i:03}" for i in range(55)]
+    rows = [("a", " ".join(same + [f"a{i}" for i in range(45)])), ("b", " ".join(same))]
+    got = similar_pairs(spark.createDataFrame(rows, "k string, t string"), "k", "t", 0.55).collect()
+    assert [(r.a, r.b, r.inter) for r in got] == [("a", "b", 55)]
+
+
+def test_curate_is_one_pass(spark):
+    rows = spark.range(40).select("id", (F.col("id") % 7).alias("m"))
+    cells = [(f"c{i}", F.col("m") == i, 2) for i in range(6)] + [("any", F.lit(True), 3)]
+    got = select.curate(rows, "id", cells, [F.col("id").desc()])
+    assert [tuple(r) for r in got.collect()][:4] == [(39, "outlier"), (0, "c0"), (7, "c0"), (1, "c1")]
+    assert [r.id for r in got.collect()][-3:] == [6, 13, 14] and got.count() == 16
