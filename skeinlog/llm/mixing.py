@@ -49,17 +49,19 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: floa
     No group is sorted as a whole: ranks are dealt into `cells` cells, cells are summed, and only the cell at a source's border is
     sorted. What decides is a row for each source, so every document is judged where it lies.
     Null texts have size 0 and no part in the sample; a null source is a source of its own, the last; a null doc_id hashes like a
-    value; rows equal in doc_id and text can't be told apart and are drawn together. Columns of docs with the names of new ones
+    value; rows equal in doc_id and text have ranks of their own, one after the other. Columns of docs with the names of new ones
     give way. An empty table gives an empty result.
     """
-    ruled = without(docs, "size", "source_size", "target", "copies", "taken", "__u", "__id", "__s").withColumns(
+    ruled = without(docs, "size", "source_size", "target", "copies", "taken", "__u", "__id", "__twin", "__s").withColumns(
         {
             "size": words_in("text"),
             "__u": (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(2**53),
             "__id": F.xxhash64(F.lit(seed + 1), "doc_id", text_of("text")),
+            "__twin": F.monotonically_increasing_id(),  # tells equal rows apart
         }
     )
-    rows = written(ruled.select("source", "size", "__u", "__id"), "mix")
+    ruled = written(ruled, "ruled")  # as numbered, for good
+    rows = written(ruled.select("source", "size", "__u", "__id", "__twin"), "mix")
     goal = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     few = goal.count() <= 100_000  # else the join shuffles, and splits a source that is too large
     small = lambda df: F.broadcast(df) if few else df
@@ -84,34 +86,34 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: floa
     edge = edge.select(F.col("__s").alias("__k"), F.col("e.__cell").alias("__edge"), F.col("e.before").alias("__before"))
     goal = written(joined(goal, edge, "__k"), "edges")
 
-    order = Window.partitionBy("__s").orderBy("__q", "__id").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("__s").orderBy("__q", "__id", "__twin").rowsBetween(Window.unboundedPreceding, 0)
     border = ranked(rows, goal).where("__q is not null and __cell = __edge").withColumn("__run", F.col("__before") + F.sum("size").over(order))
-    fits = F.when(F.col("__run") <= F.col("__rest"), F.struct(F.col("__q").alias("q"), F.col("__id").alias("id"), F.col("__run").alias("run")))
+    fits = F.when(F.col("__run") <= F.col("__rest"), F.struct(F.col("__q").alias("q"), F.col("__id").alias("id"), F.col("__twin").alias("twin"), F.col("__run").alias("run")))
     stop = border.groupBy("__s").agg(F.max(fits).alias("__stop")).select(F.col("__s").alias("__k"), "__stop")
     goal = written(joined(goal, stop, "__k"), "stops")
 
-    here = F.struct(F.col("__q").alias("q"), F.col("__id").alias("id"))
-    up_to = F.struct(F.col("__stop.q").alias("q"), F.col("__stop.id").alias("id"))
+    here = F.struct(F.col("__q").alias("q"), F.col("__id").alias("id"), F.col("__twin").alias("twin"))
+    up_to = F.struct(F.col("__stop.q").alias("q"), F.col("__stop.id").alias("id"), F.col("__stop.twin").alias("twin"))
     drawn = F.col("__q").isNotNull() & (
         F.col("__edge").isNull() | (F.col("__cell") < F.col("__edge")) | ((F.col("__cell") == F.col("__edge")) & F.col("__stop").isNotNull() & (here <= up_to))
     )
     goal = goal.withColumn("__gap", F.col("__rest") - F.coalesce(F.col("__stop.run"), F.col("__before"))).withColumn("__close", F.array().cast("array<bigint>"))
-    drawn = drawn | (F.col("__q").isNotNull() & F.array_contains(F.coalesce("__close", F.array().cast("array<bigint>")), F.col("__id")))
+    drawn = drawn | (F.col("__q").isNotNull() & F.array_contains(F.coalesce("__close", F.array().cast("array<bigint>")), F.col("__twin")))
     off = F.abs(F.col("size") - F.col("__gap"))
     for k in range(closing):
         near = (off < F.col("__gap")) | (F.col("size") <= F.col("__gap")) if k == closing - 1 else F.col("size") <= F.col("__gap")
         spare = ranked(rows, goal).where(F.col("__q").isNotNull() & ~drawn & near)
-        best = spare.groupBy("__s").agg(F.min(F.struct(off.alias("off"), F.col("__id").alias("id"), F.col("size").alias("size"))).alias("__c"))
+        best = spare.groupBy("__s").agg(F.min(F.struct(off.alias("off"), F.col("__id").alias("id"), F.col("__twin").alias("twin"), F.col("size").alias("size"))).alias("__c"))
         goal = joined(goal, best.select(F.col("__s").alias("__k"), "__c"), "__k")
         goal = goal.withColumn("__gap", F.col("__gap") - F.coalesce("__c.size", F.lit(0)))
-        goal = written(goal.withColumn("__close", F.when(F.col("__c").isNull(), F.col("__close")).otherwise(F.concat("__close", F.array("__c.id")))).drop("__c"), "closing")
+        goal = written(goal.withColumn("__close", F.when(F.col("__c").isNull(), F.col("__close")).otherwise(F.concat("__close", F.array("__c.twin")))).drop("__c"), "closing")
         if k < closing - 2 and not goal.where("__gap > 0.0005 * target").limit(1).count():
             break
 
     extra = F.when(drawn, 1).otherwise(0)
     whole = F.when(F.col("__p") >= 1, F.col("__whole") + 1).otherwise(F.col("__whole"))
     out = ranked(ruled, goal).withColumn("copies", (whole + extra).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("__u", "__id", "__s", "__whole", "__rest", "__p", "__q", "__cell", "__edge", "__before", "__stop", "__gap", "__close")
+    return out.drop("__u", "__id", "__twin", "__s", "__whole", "__rest", "__p", "__q", "__cell", "__edge", "__before", "__stop", "__gap", "__close")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

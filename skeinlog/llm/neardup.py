@@ -6,7 +6,7 @@ threshold falls under the chosen miss probability. What survives is decided on t
 
 In a bucket every node is first held against the smallest one only, its center. Links found that way join nearly all of a group of
 copies; then the nodes of a center that still lie outside of its main component are held against all its nodes, in blocks that
-return links only. Thus a group is not expanded into pairs, and no pair of a bucket that could still join two components is left
+compare signatures in the same way, verify what survives, and return no more links than join components (a spanning forest). Thus a group is not expanded into pairs, and no pair of a bucket that could still join two components is left
 out.
 """
 
@@ -166,15 +166,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(high, pa.int64()), pa.array(rows, pa.binary())], ["node", "set_hi", "set"])
 
 
+def _near(s: np.ndarray, t: np.ndarray) -> bool:
+    both = np.concatenate((s, t))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return DEN * common >= NUM * (len(s) + len(t) - common)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate((s, t))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if DEN * common >= NUM * (len(s) + len(t) - common):
+            if _near(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)):
                 keep.append(i)
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
@@ -188,10 +191,10 @@ def _two(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
 
 def _sets_of(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, set) for the nodes in ids."""
-    ids = written(ids.select("node").distinct().join(nodes.select("node", "set_hi"), "node"), "ids")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(ids.select("node"), "node", "left_semi")
-    sets = texts.mapInArrow(_sets, "node bigint, set_hi bigint, set binary")
-    return written(sets.join(ids, ["node", "set_hi"], "left_semi").dropDuplicates(["node"]).drop("set_hi"), "sets")
+    ids = written(ids.select("node").distinct().join(nodes.select("node", "doc", "set_hi"), "node"), "ids")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(ids.select(F.col("doc").alias("node")).distinct(), "node", "left_semi")
+    sets = texts.mapInArrow(_sets, "node bigint, set_hi bigint, set binary").withColumnRenamed("node", "doc")
+    return written(sets.join(ids, ["doc", "set_hi"]).select("node", "set").dropDuplicates(["node"]), "sets")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -202,32 +205,42 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The links between a block of asking rows and a block of rows of other components, from one index of the latter's shingles."""
+    """Links between a block of asking rows and a block of rows of other components, fewer than these have components.
+
+    Each asking row's signature is compared with those of all rows that aren't yet joined with it, a batch of hashes at a time, and what
+    its similarity can't be is dropped as in _likely; the others are verified on the full sets, until the asking row is joined with them."""
     ask, data = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-    sets = [np.frombuffer(x, np.uint64) for x in data["set"]]
-    size = np.array([len(x) for x in sets], np.int64)
-    ids, comps = data["node"].to_numpy(np.int64), data["component"].to_numpy(np.int64)
-    out = []
-    if len(sets) and len(ask):
-        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        for node, comp, x in zip(ask["node"], ask["component"], ask["set"], strict=True):
-            x = np.frombuffer(x, np.uint64)
-            lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
-            length = hi - lo
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
-            common = np.bincount(owner[at], minlength=len(sets))
-            hit = (DEN * common >= NUM * (len(x) + size - common)) & (comps != comp)
-            out += [(int(node), int(i)) for i in ids[hit]]
+    need, out, root = bars(), [], {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    if len(data) and len(ask):
+        packed = np.frombuffer(b"".join(data["bytes"]), np.uint8).reshape(-1, HASHES)
+        sets, size = [np.frombuffer(x, np.uint64) for x in data["set"]], data["n"].to_numpy(np.int64)
+        ids, comps = data["node"].to_numpy(np.int64), data["component"].to_numpy(np.int64)
+        for node, comp, x, mine in zip(ask["node"], ask["component"], ask["set"], ask["bytes"], strict=True):
+            x, mine = np.frombuffer(x, np.uint64), np.frombuffer(mine, np.uint8)
+            alive = np.flatnonzero((comps != comp) & (DEN * np.minimum(size, len(x)) >= NUM * np.maximum(size, len(x))))
+            got = np.zeros(len(alive), np.int64)
+            for k, least in enumerate(need):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                got += (packed[alive, part] == mine[part]).sum(axis=1)
+                alive, got = alive[got >= least], got[got >= least]
+            for i in alive.tolist():
+                if find(int(comps[i])) != find(int(comp)) and _near(x, sets[i]):
+                    root[find(int(comps[i]))] = find(int(comp))
+                    out.append((int(node), int(ids[i])))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def _remaining(met: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links (a, b) that join components, among nodes that met one center.
+    """Links (a, b) that join components, among nodes that met one center.
 
     The nodes of a center that lie outside of its most frequent component ask; all its nodes answer. Both are dealt into blocks of
-    about equal numbers of shingles, and each pair of blocks is one group, which returns links only."""
+    about equal numbers of shingles, and each pair of blocks is one group, which returns a spanning forest of the links that it finds."""
     rows = written(met.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "rows")
     by = rows.groupBy("center", "component").agg(F.sum("n").alias("s"))
     by = by.groupBy("center").agg(F.max(F.struct("s", "component"))["component"].alias("main"), F.sum("s").alias("all"), F.max("s").alias("most"), F.count("*").alias("parts"))
@@ -239,7 +252,7 @@ def _remaining(met: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFra
     mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
     data = rows.select("center", "node", "component", F.lit(False).alias("asks"), F.explode(count("na")).alias("i"), mine("nd").alias("j"))
     ask = rows.where("component <> main").select("center", "node", "component", F.lit(True).alias("asks"), mine("na").alias("i"), F.explode(count("nd")).alias("j"))
-    dealt = data.unionAll(ask).join(_sets_of(rows, nodes, docs), "node")
+    dealt = data.unionAll(ask).join(_sets_of(rows, nodes, docs), "node").join(nodes.select("node", "bytes", F.col("n_shingles").alias("n")), "node")
     return written(dealt.groupBy("center", "i", "j").applyInPandas(_block, "a bigint, b bigint").distinct(), "more")
 
 
@@ -248,17 +261,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that can be reached over links of similarity 0.75 or more on distinct 5-word shingles; kept
     is true of the row that has it. A text without words, null or empty, has no shingle, no link, and itself as component; so has
-    a null doc_id, whose component is null and which is kept. Rows that repeat a doc_id are one document if their texts are equal;
-    if not, the text with the smallest hash of its set stands for the id in comparisons. Other columns are not read. An empty table gives an
+    a null doc_id, whose component is null and which is kept. Rows that repeat a doc_id are one document, whose links are those of all
+    its texts. A doc_id must be an integer, or a string of one, above -2**62. Other columns are not read. An empty table gives an
     empty result.
     """
     bounded_batches(docs.sparkSession)
     signed = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_sign, SIGNED), "signed")
     whole = signed.where("n_shingles > 0 and doc_id is not null")
-    groups = written(whole.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node")), "groups")
-    chosen = groups.groupBy("node").agg(F.min(F.struct("set_hi", "set_lo")).alias("set")).select(F.col("node").alias("doc_id"), "set.*")
-    firsts = whole.join(chosen, ["doc_id", "set_hi", "set_lo"], "left_semi")
-    nodes = written(firsts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), "nodes")
+    groups = whole.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc"))
+    first = groups.groupBy("doc").agg(F.min(F.struct("set_hi", "set_lo")).alias("s")).select("doc", F.col("s.set_hi").alias("set_hi"), F.col("s.set_lo").alias("set_lo"), F.lit(True).alias("own"))
+    # a set is known by its least doc_id; where that has several sets, all but one by a number below those of documents
+    other = F.shiftrightunsigned(F.col("set_lo"), 2) - F.lit(1 << 62).cast("long") - F.lit(1 << 62).cast("long")
+    groups = groups.join(first, ["doc", "set_hi", "set_lo"], "left").withColumn("node", F.when(F.col("own"), F.col("doc")).otherwise(other)).drop("own")
+    groups = written(groups, "groups")
+    nodes = whole.select("doc_id", "n_shingles", "set_hi", "set_lo", "bands", "bytes").withColumnRenamed("doc_id", "doc").join(groups, ["doc", "set_hi", "set_lo"])
+    nodes = written(nodes.dropDuplicates(["node"]), "nodes")
 
     keys = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
@@ -268,10 +285,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = written(components(links), "labels")
 
     more = _remaining(met, label, nodes, docs)
+    tied = signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(groups.drop("doc"), ["set_hi", "set_lo"], "left")
+    several = groups.where("node <> doc").limit(1).count()
+    if several:  # the sets of one doc_id are one document
+        sets = tied.where("doc_id is not null and node is not null").select("doc_id", "node").distinct()
+        more = more.unionAll(sets.join(sets.groupBy("doc_id").agg(F.min("node").alias("least")), "doc_id").where("node <> least").select("node", "least"))
     full = components(links.unionAll(more)) if more.limit(1).count() else label
-
-    tied = signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(groups, ["set_hi", "set_lo"], "left")
     named = tied.join(written(full, "components"), "node", "left")
+    if several:
+        named = written(named.withColumn("component", F.coalesce("component", "node")), "named")
+        named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("least")), "component", "left").drop("component").withColumnRenamed("least", "component")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     out = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))

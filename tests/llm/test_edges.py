@@ -171,3 +171,75 @@ def test_chat(spark):
     assert [got[1, "unknown", 0].text[m.start : m.end] for m in got[1, "unknown", 0].mask] == ["ö<|im_end|>"]
     assert got[1, "ann", 1].n_turns == 2
     assert chat.rotate(turns.where("conv_id > 99")).count() == 0
+
+
+def test_shards_of_equal_rows(spark):
+    """Rows equal in text and doc_id are dealt among shards where they are too many for one."""
+    rows = [(1, "x" * 20)] * 4000 + [(i, f"text {i} " * 3) for i in range(2, 2002)]
+    got = shards.histogram_sort(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), shards=6, pieces=4).select("shard", "slot", "size").collect()
+    size, slots = {}, {}
+    for r in got:
+        size[r.shard] = size.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 6000 and sorted(size) == list(range(6))
+    assert max(size.values()) < 1.2 * min(size.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_splitters_reach_the_driver_alone(spark, monkeypatch):
+    """No collected table has more rows than there are parts, however many cells there are."""
+    seen, real = [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: seen.append(real(self)) or seen[-1])
+    d = spark.range(20_000).selectExpr("id as doc_id", "repeat(cast(id as string), 1 + id % 5) as text")
+    shards.histogram_sort(d, shards=3, pieces=8).count()
+    assert max(map(len, seen)) <= 24
+
+
+def test_mix_of_equal_rows(spark):
+    """Rows equal in doc_id and text are drawn one by one, so the mix meets its target."""
+    rows = [(1, "a b c d e f g h i j", "a")] * 100 + [(i, "k l m n o p q r s t", "b") for i in range(2, 402)]
+    got = mixing.pareto_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in ("a", "b"):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 10
+        assert all(r.taken <= 3 * r["size"] for r in mine)
+
+
+def test_turns_without_numbers(spark):
+    """A block with too many turns is dealt into parts; no turn is lost, and none is in a row with very many others."""
+    rows = [("c", None, "user" if i % 2 else "assistant", "same" if i % 3 else f"t{i}") for i in range(5000)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert sum(r.n_turns for r in got) == 10_000 and max(r.n_turns for r in got) < 700
+    assert {r.block_no for r in got} == {-1} and len({r.part_no for r in got}) == 10
+    text = "".join(r.text for r in got if r.perspective == "user")
+    assert text.count("<|im_start|>assistant") == 2500
+
+
+def test_names_that_look_alike(spark):
+    rows = [("c", 0, "a b", "x"), ("c", 1, "a_b", "y"), ("c", 2, "z", "w")]
+    text = next(r.text for r in chat.rotate(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect() if r.perspective == "z")
+    assert len({x.split("\n")[0] for x in text.split("<|im_start|>")[1:3]}) == 2
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:58], "x", "y"])
+    rows = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (1, " ".join(words)), (3, near), (4, "one two three four five six"), (5, "alpha beta gamma delta epsilon zeta eta theta")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k[0]: v[0] for k, v in got.items()} == {1: 1, 3: 1, 4: 4, 5: 1}
+
+
+def test_block_returns_a_forest():
+    """Of 200 near copies that aren't joined yet, 199 links at most come back."""
+    import numpy as np
+    import pandas as pd
+
+    words = neardup._Words()
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for n in range(200):
+        x = neardup.shingles(" ".join([*base[:n], f"n{n}", *base[n + 1 :]]), words)
+        rows.append((n, n, len(x), x.tobytes(), neardup._spread(neardup.signature(x)).astype(np.uint8).tobytes()))
+    data = pd.DataFrame(rows, columns=["node", "component", "n", "set", "bytes"])
+    got = neardup._block(pd.concat([data.assign(asks=True), data.assign(asks=False)]))
+    assert len(got) == 199
