@@ -505,7 +505,7 @@ def tree(model: Model, block: Ready, rows: list[np.ndarray]) -> np.ndarray:
             part = slice(k, min(end, k + CHUNK))
             which, at = code.expand(sym[part])
             node = code.nodes.take(at)
-            x = [t.take(r[part].take(which) + node) for t, r in zip(model.tables[WORDS], rows, strict=True)]
+            x = [model.tables[WORDS][0].take(node), *(t.take(r[part].take(which) + node) for t, r in zip(model.tables[WORDS][1:], rows[1:], strict=True))]  # the first has one row
             g = gates(code.gate.take(at), x[1], x[-1])
             cell = rank[part].take(which) * GATES + g
             s = flat[-1].take(cell)
@@ -581,7 +581,7 @@ def follow(model: Model, block: Ready, learner: Learner | None = None) -> np.nda
 
             def addresses(which: np.ndarray, at: np.ndarray, bits: np.ndarray, rows_: list[np.ndarray] = rows_) -> list[np.ndarray]:
                 node = model.code.nodes.take(at) * 2 + bits
-                return [r.take(which) + node for r in rows_]
+                return [node, *(r.take(which) + node for r in rows_[1:])]  # the first has one row
 
             logp[part] = learn_tree(model, learner, WORDS, model.code, block.sym[part], addresses)
     else:
