@@ -80,8 +80,8 @@ def signature(s: np.ndarray) -> np.ndarray:
     """The least value of each hash over a set that isn't empty."""
     low = (s >> np.uint64(32)).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(low), 2048):
-        part = low[i : i + 2048]
+    for i in range(0, len(low), 512):  # so that all stays in the cache
+        part = low[i : i + 512]
         v = _A[:, None] * part[None, :]
         v += _B[:, None]
         np.minimum(out, v.min(axis=1), out=out)
