@@ -34,12 +34,17 @@ def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
         F.coalesce(F.floor(F.col(turn) / block), F.lit(-1)).cast("long").alias("block_no"),
         F.struct(F.col(turn).cast("long").alias("n"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("who"), _safe(text_of("text")).alias("said")).alias("t"),
     )
-    same = rows.groupBy("conv", "block_no", "t").agg(F.count("*").alias("m"))  # equal turns are counted, and dealt one by one
-    parts = same.groupBy("conv", "block_no").agg(F.ceil(F.sum("m") / block).alias("parts")).where("parts > 1").withColumnsRenamed({"conv": "c", "block_no": "b"})
-    same = same.join(parts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block_no") == F.col("b")), "left")
-    each = same.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
-    dealt = F.coalesce(F.pmod(F.xxhash64("t", "k"), F.col("parts")), F.lit(0)).cast("long")
-    blocks = each.groupBy("conv", "block_no", dealt.alias("part_no")).agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    parts = rows.groupBy("conv", "block_no").agg(F.ceil(F.count("*") / block).alias("parts")).where("parts > 1").withColumnsRenamed({"conv": "c", "block_no": "b"})
+    few = parts.limit(10_001).count()
+    parts = F.broadcast(parts) if few <= 10_000 else parts
+    here = F.col("conv").eqNullSafe(F.col("c")) & (F.col("block_no") == F.col("b"))
+    turns = rows.withColumn("part_no", F.lit(0).cast("long"))
+    if few:
+        same = rows.join(parts, here).groupBy("conv", "block_no", "parts", "t").agg(F.count("*").alias("m"))  # equal turns are counted, and dealt one by one
+        each = same.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+        dealt = each.select("conv", "block_no", "t", F.pmod(F.xxhash64("t", "k"), F.col("parts")).cast("long").alias("part_no"))
+        turns = turns.join(parts, here, "left_anti").unionByName(dealt)
+    blocks = turns.groupBy("conv", "block_no", "part_no").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     heard = rows.where(~F.col("t.who").isin(*context)).groupBy("conv").agg(F.sort_array(F.collect_set("t.who")).alias("cast"))
     views = blocks.join(heard.withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c"))).select("conv", "block_no", "part_no", "turns", F.explode("cast").alias("perspective"))
 
