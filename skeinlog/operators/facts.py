@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinlog.functions.classify import is_interrupt, is_rejection, is_trivial, mode_of, rejection_reason, result_class, text_class
-from skeinlog.functions.text import error_signature, fingerprint, fingerprint_text, trim_ws
+from skeinlog.functions.text import error_signature, fingerprint, fingerprint_text, sanitise, trim_ws
+from skeinlog.operators import directives
 from skeinlog.sources.transcripts import blocks, events
 
 
@@ -16,6 +17,11 @@ def _last(c: str):
     return F.max_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("line_no"))).alias(c)
 
 
+def _map(key: str, value: str):
+    """A map of rows that have each key once."""
+    return F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
+
+
 def messages(ev: DataFrame) -> DataFrame:
     """Assistant lines, one for each message id, the first; lines without an id all count."""
     a = ev.where("type = 'assistant'").withColumn("mid", F.coalesce("message_id", F.lit("")))
@@ -58,14 +64,23 @@ def session_facts(decoded: DataFrame) -> DataFrame:
     results = results.withColumn("mode", mode)
     done = results.groupBy("session_id").agg(*[F.count_if(F.col("class") == k).alias(f"result_{k}") for k in ("interrupt", "rejection", "error")])
     modes = results.where("mode is not null").groupBy("session_id", "mode").agg(F.count("*").alias("n")).groupBy("session_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("mode", "n")))).alias("mechanical_friction"))
-    other = results.where("mode = 'other'").groupBy("session_id").agg(F.sort_array(F.collect_set(error_signature(F.col("body")))).alias("error_signatures"))
+    shown = results.where("class = 'error' and mode <> 'other'").groupBy("session_id", "mode").agg(F.min_by(sanitise(F.col("body")), F.struct("line_no", "block_no")).alias("shown"))
+    shown = shown.groupBy("session_id").agg(_map("mode", "shown").alias("mechanical_exemplars"))
+    other = results.where("mode = 'other'").groupBy("session_id", error_signature(F.col("body")).alias("signature")).agg(F.count("*").alias("n"))
+    other = other.groupBy("session_id").agg(F.sort_array(F.collect_list("signature")).alias("error_signatures"), _map("signature", "n").alias("other_error_signatures"))
+    models = messages(ev).where("model <> ''").groupBy("session_id", "model").agg(F.count("*").alias("n")).groupBy("session_id").agg(_map("model", "n").alias("model_mix"))
+    agent = F.try_variant_get("tool_input", "$.subagent_type", "variant")
+    agent = F.when((F.col("tool_name") == "Agent") & (F.schema_of_variant(agent) == "STRING"), F.nullif(F.try_variant_get("tool_input", "$.subagent_type", "string"), F.lit("")))
+    agents = bl.where("line_type = 'assistant' and block_type = 'tool_use'").groupBy("session_id").agg(F.sort_array(F.collect_set(agent)).alias("subagent_types"))
+    told = directives.by_session(texts.where("class = 'user_turn'"), "session_id", "line_no")
+    told = told.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("norm", "n", "first_turn", "exemplar"))).alias("directive_clauses"))
     used = bl.where("line_type = 'assistant' and block_type = 'tool_use'").groupBy("session_id", "tool_name").agg(F.count("*").alias("n"))
     tools = used.groupBy("session_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("tool_name", "n")))).alias("tool_counts"),
         *[F.coalesce(F.sum(F.when(F.col("tool_name") == t, F.col("n"))), F.lit(0)).alias(k) for t, k in (("Edit", "edits"), ("Write", "writes"), ("Agent", "fan_out"))],
     )
     out = base
-    for part in (spoken, said, done, modes, other, tools):
+    for part in (spoken, said, done, modes, shown, other, tools, models, agents, told):
         out = out.join(part, "session_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
@@ -73,7 +88,7 @@ def session_facts(decoded: DataFrame) -> DataFrame:
         *[zero(c).alias(c) for c in ("assistant_turns", "input_tokens", "output_tokens", "cache_creation", "cache_read_peak", "lines_added", "lines_removed", "files_touched", "edits", "writes", "fan_out")],
         zero("text_user_turn").alias("user_turns"), zero("text_task_notification").alias("task_notifications"),
         (zero("text_interrupt") + zero("result_interrupt")).alias("interrupts"), (zero("text_rejection") + zero("result_rejection")).alias("rejections"),
-        zero("result_error").alias("tool_errors"), "mechanical_friction", "error_signatures", "tool_counts", F.coalesce("fingerprints", F.array().cast("array<string>")).alias("fingerprints"),
+        zero("result_error").alias("tool_errors"), "mechanical_friction", "mechanical_exemplars", "error_signatures", "other_error_signatures", "tool_counts", "model_mix", "subagent_types", "directive_clauses", F.coalesce("fingerprints", F.array().cast("array<string>")).alias("fingerprints"),
     )
 
 

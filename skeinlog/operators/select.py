@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def budgeted(rows: DataFrame, key: str, priority: str, ordinal: str, size: str, budget: int, levels: Sequence[int] = (2, 3, 4)) -> DataFrame:
-    """rows that fit the budget of their key. Priority 0 always stays. Each of levels in turn keeps its longest prefix by ordinal
+def budgeted(rows: DataFrame, key: str, priority: str, ordinal: str, size: str, budget: int | Column, levels: Sequence[int] = (2, 3, 4)) -> DataFrame:
+    """rows that fit the budget of their key, a number or a column. Priority 0 always stays. Each of levels in turn keeps its longest prefix by ordinal
     that fits what is left; then the next has its turn. All windows share one exchange by key."""
     by_key = Window.partitionBy(key)
-    left = F.lit(budget) - F.coalesce(F.sum(F.when(F.col(priority) == 0, F.col(size))).over(by_key), F.lit(0))
+    left = (budget if isinstance(budget, Column) else F.lit(budget)) - F.coalesce(F.sum(F.when(F.col(priority) == 0, F.col(size))).over(by_key), F.lit(0))
     run = F.sum(size).over(Window.partitionBy(key, priority).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumns({"__run": run, "__left": left, "__keep": F.col(priority) == 0})
     for level in levels:

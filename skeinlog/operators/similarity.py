@@ -37,14 +37,17 @@ def _drop(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def similar_pairs(items: DataFrame, key: str, text: str, bar: float) -> DataFrame:
-    """(a, b, inter, size_a, size_b): pairs a < b whose token multisets have a Jaccard similarity of bar or more.
+def similar_pairs(items: DataFrame, key: str, text: str, bar: float, within: str | None = None) -> DataFrame:
+    """(a, b, inter, size_a, size_b): pairs a < b whose token multisets have a Jaccard similarity of bar or more;
+    with `within`, only pairs that agree in that column.
 
     Exact for any bar above 0, which is taken as the decimal fraction that it is written as. Only the rarest tokens of an item are joined: of s token occurrences, any partner must share one of the
     first s - ceil(bar * s) + 1 in a common order by rarity, so frequent tokens are never keys of a join unless an item has no others.
     """
     num, den = Fraction(str(bar)).as_integer_ratio()
-    words = items.select(F.col(key).alias("id"), F.explode(tokens(F.lower(F.col(text)))).alias("t"))
+    words = items.select(F.col(key).alias("id"), *([within] if within else []), F.explode(tokens(F.lower(F.col(text)))).alias("t"))
+    if within:
+        words = words.withColumn("t", F.concat_ws("\0", within, "t"))
     bag = words.groupBy("id", "t").agg(F.count("*").alias("n"))
     freq = bag.groupBy("t").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "t")

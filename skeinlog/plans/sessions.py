@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from skeinlog.functions import classify as K
 from skeinlog.functions import text as T
-from skeinlog.operators import evals, select, signals
+from skeinlog.operators import directives, evals, select, signals
 from skeinlog.sources.tables import table
 
 NOW = "2024-02-01 00:00:00"  # a fixed now, so that results don't depend on the day
@@ -83,17 +83,12 @@ t as (select regexp_replace(w, '^[^\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}]+$', '',
 select token, count(*) as n from t where token <> '' group by token"""
 
 
+def _said(spark, d):
+    return _users(spark, d).where(K.text_class(F.col("text")) == "user_turn")
+
+
 def _clauses(spark, d):
-    """(conv_id, turn, line, pos, clause, norm): clauses of user turns that are long enough, outside of fences and logs."""
-    said = _users(spark, d).where(K.text_class(F.col("text")) == "user_turn")
-    lines = said.select("conv_id", "turn", F.posexplode(F.split(T.trim_ws(F.col("text")), "\n")).alias("line", "s")).withColumn("s", T.trim_ws(F.col("s")))
-    fence = F.col("s").startswith("```")
-    parity = F.sum(fence.cast("int")).over(Window.partitionBy("conv_id", "turn").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) % 2
-    kept = lines.withColumns({"fence": fence, "inside": parity}).where(~F.col("fence") & (F.col("inside") == 0))
-    bad = F.col("s").rlike(r"^\d{4}-\d{2}-\d{2}[T ]") | ~F.col("s").rlike("[A-Za-z]") | F.col("s").startswith("[image:")
-    cut = kept.where(~bad).select("conv_id", "turn", "line", F.posexplode(T.clauses(F.col("s"))).alias("pos", "c"))
-    clause = cut.withColumn("clause", T.sanitise(F.col("c"))).withColumn("norm", T.normal_clause(F.col("clause")))
-    return clause.where((F.size(T.tokens(F.col("clause"))) >= T.MIN_CLAUSE_TOKENS) & (F.length("norm") >= T.MIN_CLAUSE))
+    return directives.clause_rows(_said(spark, d), ["conv_id", "turn"])
 
 
 _CLAUSES_SQL = rf"""
@@ -112,10 +107,7 @@ clauses as (select * from n where nt >= 4 and length(norm) >= 16)"""
 
 def directive_clauses(spark, d):
     """first_turn: how often a clause is in the first turn of the user."""
-    c = _clauses(spark, d)
-    opening = _users(spark, d).where(K.text_class(F.col("text")) == "user_turn").groupBy("conv_id").agg(F.min("turn").alias("opening"))
-    first = F.count_if(F.col("turn") == F.col("opening")).alias("first_turn")
-    return c.join(opening, "conv_id").groupBy("conv_id", "norm").agg(F.count("*").alias("n"), first, F.min_by("clause", F.struct("turn", "line", "pos")).alias("exemplar"))
+    return directives.by_session(_said(spark, d), "conv_id", "turn")
 
 
 SQL["directive_clauses"] = f"""with {_CLAUSES_SQL}, o as (select conv_id, min(turn) as opening from {_USERS_SQL} where normal <> '' group by conv_id)
