@@ -8,6 +8,8 @@ adjudications(key_hash, decision). Arrays hold the few samples, repeats or match
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -252,11 +254,11 @@ def recall_probes(signals: DataFrame, friction: DataFrame, clusters: DataFrame,
     return a.unionByName(b).unionByName(c).distinct()
 
 
-def recall(probes: DataFrame, findings: DataFrame, dropped: DataFrame, samples: DataFrame) -> DataFrame:
+def recall(probes: DataFrame, findings: DataFrame, dropped: DataFrame, samples: Sequence[int]) -> DataFrame:
     """(sample, kind, id, state): cited where a finding cites any id of the probe, else suppressed where a dropped entry does, else miss.
-    findings and dropped are (sample, evidence_id); samples(sample) has those that cite nothing too."""
+    findings and dropped are (sample, evidence_id); samples has those that cite nothing too, a run has a handful."""
     cites = lambda df, name: probes.join(df.select("sample", "evidence_id"), "evidence_id").select("sample", "kind", "id", F.lit(True).alias(name)).distinct()
-    grid = probes.select("kind", "id").distinct().join(F.broadcast(samples.select("sample").distinct()))  # a run has a handful of samples
+    grid = probes.select("kind", "id").distinct().withColumn("sample", F.explode(F.array(*map(F.lit, samples))))
     j = grid.join(cites(findings, "f"), ["sample", "kind", "id"], "left").join(cites(dropped, "d"), ["sample", "kind", "id"], "left")
     return j.select("sample", "kind", "id", F.when(F.col("f").isNotNull(), "cited").when(F.col("d").isNotNull(), "suppressed").otherwise("miss").alias("state"))
 

@@ -65,3 +65,79 @@ def envelope(raw: DataFrame, c: str) -> DataFrame:
     failed = F.coalesce(F.try_variant_get(v, "$.is_error", "boolean"), F.lit(False))
     why = F.when(v.isNull(), "not JSON").when(failed, "model error").when(out.isNull() | F.is_variant_null(out), "no output")
     return raw.withColumns({"output": F.when(why.isNull(), out), "failure": why})
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def store_analyses(rows: DataFrame, path: str, bucket: str = "bucket") -> None:
+    """Writes analyses by bucket; buckets of rows are replaced whole, others stay. The commit protocol makes it all or nothing."""
+    rows.write.mode("overwrite").partitionBy(bucket).option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, written beside and then renamed, so that a reader sees all of it or none."""
+    fs, at = _fs(spark, path)
+    _, beside = _fs(spark, path + ".tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(beside, at):
+        raise OSError(f"{path} was not written")
+
+
+def store_snapshot(spark: SparkSession, folder: str, text: str, instant: str, keep: int = 10) -> str:
+    """Writes a snapshot under its instant (YYYY-MM-DDTHH-MM-SSZ) and leaves the newest `keep`. A failure to remove is no failure to store."""
+    write_text(spark, f"{folder}/{instant}.json", text)
+    fs, at = _fs(spark, folder)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().endswith(".json"))
+    for name in names[:-keep]:
+        try:
+            fs.delete(_fs(spark, f"{folder}/{name}")[1], False)
+        except Exception as e:
+            print(f"not removed: {name}: {e}")
+    return f"{instant}.json"
+
+
+class Cache:
+    """Results by stage and hash of their inputs, each in a file of its own. A file that can't be read is an error, never a miss."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def get(self, stage: str, key: str):
+        import json
+
+        fs, at = _fs(self.spark, f"{self.root}/{stage}/{key}.json")
+        if not fs.exists(at):
+            return None
+        try:
+            return json.loads(self.spark.read.text(at.toString(), wholetext=True).first()[0])
+        except (ValueError, TypeError) as e:
+            raise ValueError(f"corrupt entry {stage}/{key}") from e
+
+    def put(self, stage: str, key: str, value) -> None:
+        import json
+
+        write_text(self.spark, f"{self.root}/{stage}/{key}.json", json.dumps(value, sort_keys=True))
+
+
+def publish(spark: SparkSession, local: str, public: str, name: str, text: str, patterns) -> None:
+    """Keeps text in local in any case, and in public only if no pattern(label, regex) matches; the error names labels, never matches."""
+    from skeinlog.functions.text import private_labels
+
+    write_text(spark, f"{local}/{name}", text)
+    labels = spark.createDataFrame([(text,)], "t string").select(private_labels(F.col("t"), patterns)).first()[0]
+    if labels:
+        raise ValueError(f"{name} stays local, it holds: {', '.join(labels)}")
+    write_text(spark, f"{public}/{name}", text)
+
+
+def cards_markdown(cards: DataFrame) -> DataFrame:
+    """(text): a section for each card(target, trigger, level, text, note), in order of target and trigger."""
+    body = F.concat(F.lit("## "), F.col("target").cast("string"), F.lit(" — "), F.col("trigger"), F.lit("\n\n"), F.concat_ws("\n\n", F.concat(F.lit("> "), F.nullif("text", F.lit(""))), F.concat(F.lit("level "), F.col("level").cast("string")), F.nullif("note", F.lit(""))))
+    rows = F.sort_array(F.collect_list(F.struct(F.col("target").cast("string").alias("t"), "trigger", body.alias("b"))))
+    return cards.agg(F.array_join(F.transform(rows, lambda r: r["b"]), "\n\n").alias("text"))

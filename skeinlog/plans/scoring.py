@@ -154,7 +154,7 @@ def recall_states(spark, d):
     """Parts stand for evidence, brands for probes, orders for findings and dropped entries."""
     probes = table(spark, d, "part").select(F.element_at(F.array(F.lit("friction"), F.lit("opportunity")), (F.col("p_size") % 2 + 1).cast("int")).alias("kind"), F.col("p_brand").alias("id"), F.col("p_partkey").alias("evidence_id"))
     li = table(spark, d, "lineitem").where("l_orderkey % 97 < 3").select((F.col("l_orderkey") % 97).alias("sample"), F.col("l_partkey").alias("evidence_id"), "l_returnflag")
-    return scoring.recall(probes, li.where("l_returnflag = 'R' and evidence_id % 5 = 0"), li.where("l_returnflag = 'A' and evidence_id % 3 = 0"), spark.range(3).withColumnRenamed("id", "sample"))
+    return scoring.recall(probes, li.where("l_returnflag = 'R' and evidence_id % 5 = 0"), li.where("l_returnflag = 'A' and evidence_id % 3 = 0"), range(3))
 
 
 SQL["recall_states"] = """

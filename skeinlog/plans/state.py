@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinlog.functions import text as T
-from skeinlog.operators import repos, stores
+from skeinlog.operators import repos, stores, verify
+from skeinlog.sources import state
 from skeinlog.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -165,4 +166,74 @@ SQL["rubric_hash"] = """
 with h as (select distinct source, sha256(text) as h from documents)
 select source, count(*) as n, sha256(string_agg(h, chr(10) order by h)) as set_hash from h group by 1"""
 
+
+
+def _adoptions(spark, d):
+    """Parts as findings; suppliers' numbers as files, of which some lack and some have other words."""
+    p = F.col("p_partkey")
+    f = table(spark, d, "part").select(
+        F.col("p_partkey").alias("rank"), F.when(p % 4 == 0, "no").otherwise("yes").alias("adopted"), F.when(p % 9 != 0, F.concat(F.lit("/h/"), (p % 60).cast("string"))).alias("adopted_path"),
+        F.when(p % 5 == 0, F.lit("")).when(p % 7 == 0, F.lit("other words")).otherwise(F.concat(F.lit("rule  "), (p % 60).cast("string"))).alias("adopted_excerpt"),
+        (p % 3 == 0).alias("escalated"), F.when(p % 11 == 0, "habit").otherwise("hook").alias("asset_type"), F.when(p % 13 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (p % 20).cast("int")).cast("string")).alias("last_seen"),
+    )
+    n = F.col("id").cast("string")
+    assets = spark.range(50).select(F.concat(F.lit("/h/"), n).alias("path"), F.concat(F.lit("a rule "), n, F.lit(" of ours")).alias("content"))
+    dates = spark.range(40).select(F.concat(F.lit("/h/"), n).alias("path"), F.lit("2024-01-10").alias("changed"))
+    return f, assets, dates
+
+
+_ADOPTIONS_SQL = """
+f as (select p_partkey as k, p_partkey % 60 as file, p_partkey % 9 = 0 or p_partkey % 5 = 0 as lacking,
+  case when p_partkey % 9 = 0 or p_partkey % 5 = 0 then 'lacking' when p_partkey % 60 >= 50 then 'unreadable' when p_partkey % 7 = 0 then 'not verbatim' end as state from part)"""
+
+
+def adopted_downgrades(spark, d):
+    f, assets, _ = _adoptions(spark, d)
+    return verify.adopted(f, assets).groupBy("adopted", F.coalesce("downgraded", F.lit("-")).alias("why")).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+
+
+SQL["adopted_downgrades"] = f"""with {_ADOPTIONS_SQL}
+select case when k % 4 = 0 then 'no' when state is null then 'yes' else 'unknown' end as adopted, case when k % 4 = 0 then '-' else coalesce(state, '-') end as why, count(*) as n, min(k) as first from f group by 1, 2"""
+
+
+def escalation_states(spark, d):
+    f, assets, dates = _adoptions(spark, d)
+    e = f.withColumnsRenamed({"adopted_path": "escalated_path", "adopted_excerpt": "escalated_excerpt"})
+    return verify.escalations(e, assets, dates).where("state is not null").select("rank", "state")
+
+
+SQL["escalation_states"] = f"""with {_ADOPTIONS_SQL}
+select k as rank, case when k % 11 = 0 then 'habit' when state is not null then state when file >= 40 or k % 13 = 0 then 'undated' when k % 20 < 9 then 'removed' else 'kept' end as state from f where k % 3 = 0"""
+
+
+def frozen_gaps(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100).alias("mtime"))
+    entries = o.where("id % 3 = 0").withColumn("mtime", F.when(F.col("id") % 10 == 0, -1).otherwise(F.col("mtime")))
+    return state.frozen_gaps(o, o.where("id % 8 <> 1"), entries)
+
+
+SQL["frozen_gaps"] = """
+select o_orderkey as id, case when o_orderkey % 8 = 1 then 'gap' else 'skew' end as problem from orders where o_orderkey % 8 = 1 or (o_orderkey % 3 = 0 and o_orderkey % 10 = 0)"""
+
+
+def rubric_errors(spark, d):
+    """Parts as rubrics with fields that break one rule or other."""
+    p = F.col("p_partkey")
+    of = lambda m, *v: F.element_at(F.array(*map(F.lit, v)), (F.floor(p / m) % len(v) + 1).cast("int"))
+    ids = lambda m: F.when(p % m == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a")))
+    r = table(spark, d, "part").select(
+        p.cast("string").alias("id"), p.cast("string").alias("file"), of(1, *state.PARTS, "odd").alias("part"), of(2, "HIGH", "MEDIUM", "LOW").alias("tier"), of(3, "theme", "none").alias("surface"), F.when(p % 17 != 0, "s").alias("statement"),
+        F.when(p % 19 == 0, "most").alias("pass_at"), F.when(p % 23 == 0, "odd").alias("seed_status"), F.lit("").alias("anchor_theme"), F.when(p % 6 != 0, F.array(F.lit("r"))).alias("repos"), ids(2).alias("anchor_session_ids"), ids(5).alias("source_theme_session_ids"),
+    )
+    return state.rubric_errors(r).groupBy("error").agg(F.count("*").alias("n"), F.min(F.col("id").cast("long")).alias("first"))
+
+
+SQL["rubric_errors"] = """
+with r as (select p_partkey as k, p_partkey % 4 < 2 as target, p_partkey % 4 = 2 as negative, p_partkey % 2 > 0 as anchored, p_partkey % 5 > 0 as source from part),
+e as (select k, unnest([case when k % 17 = 0 then 'id and statement' end, case when k % 4 = 3 then 'part' end, case when target and k // 2 % 3 = 2 then 'tier' end, case when target and k // 3 % 2 = 1 then 'surface' end,
+  case when target and k % 6 = 0 then 'repos' end, case when k % 4 = 1 and anchored then 'anchors of a gap' end, case when target and anchored and not source then 'source sessions of anchors' end,
+  case when target and not anchored and source then 'source sessions without anchors' end, case when negative and (anchored or source) then 'anchors of a negative' end,
+  case when k % 19 = 0 then 'pass_at' end, case when k % 23 = 0 then 'seed_status' end]) as error from r)
+select error, count(*) as n, min(k) as first from e where error is not null group by 1"""
+
 QUERIES = {name: globals()[name] for name in SQL}

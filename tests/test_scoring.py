@@ -123,7 +123,7 @@ def test_recall_and_drops(spark):
     assert {(r.kind, r.id) for r in probes.collect()} == {("opportunity", "r/G1"), ("friction", "r"), ("friction", "q"), ("preference", "q/P1,r/P1,r/P2")}
     cites = spark.createDataFrame([(0, "r/F2"), (1, "r/G1")], "sample int, evidence_id string")
     drops = spark.createDataFrame([(0, 0, "r/G1"), (0, 1, "r/F2"), (1, 0, "x")], "sample int, position int, evidence_id string")
-    state = scoring.recall(probes, cites, drops, spark.createDataFrame([(0,), (1,)], "sample int"))
+    state = scoring.recall(probes, cites, drops, (0, 1))
     got = {(r.sample, r.kind, r.id): r.state for r in state.collect()}
     assert got[0, "friction", "r"] == "cited" and got[0, "opportunity", "r/G1"] == "suppressed" and got[0, "friction", "q"] == "miss" and got[1, "opportunity", "r/G1"] == "cited" and len(got) == 8
     cards = {(r.sample, r.position): r.floors for r in scoring.unengaged_drops(drops, cites, state, probes).collect()}
