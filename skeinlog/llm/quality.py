@@ -1,11 +1,13 @@
 """Quality rules over a bitmask ledger.
 
-Each document's measurements are taken once. Each rule is evaluated once on them, and its outcome is one bit of fail_bits. A
-policy is a version and a mask of rules; applying one, comparing two or leaving a rule out reads the ledger and no text.
+Each document's measurements are taken once. Each rule is evaluated once on them, and its outcome is one bit of fail_bits. The ledger
+is kept as a table under the version of its rules. A policy is a name, a version and a mask of rules; applying one, comparing two or
+leaving a rule out reads the kept ledger and no text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm.common import SPACE, bounded_batches, table
+from skeinlog.llm.common import SPACE, bounded_batches, scratch, table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ends", "n_alpha_words")
 #: Bits in order: name and what makes a document fail. The first two are the base rules.
@@ -26,7 +28,14 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_alphabetic_words", "10 * n_alpha_words < 6 * n_words"),
     ("no_sentence_end", "n_ends = 0"),
 )
-POLICIES = {"base": ("few_words", "repeated_passages"), "strict": tuple(n for n, _ in RULES[:-1])}
+#: The version of the rules: what a ledger's bits mean.
+RULESET = hashlib.sha256(repr((MEASURES, RULES)).encode()).hexdigest()[:12]
+#: Policies by name and version. A version never changes; a new mask is a new version.
+POLICIES: dict[tuple[str, int], tuple[str, ...]] = {
+    ("base", 1): ("few_words", "repeated_passages"),
+    ("strict", 1): ("few_words", "repeated_passages", "word_length", "symbols", "repeated_lines", "few_alphabetic_words"),
+    ("strict", 2): tuple(n for n, _ in RULES),
+}
 
 
 def _repeated(words: list[bytes], width: int = 5) -> int:
@@ -95,18 +104,36 @@ def ledger(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return got.withColumn("fail_bits", total)
 
 
+def keep(book: DataFrame, path: str) -> DataFrame:
+    """Writes a ledger below path, under the version of its rules, and returns it as it is read from there."""
+    book.write.mode("overwrite").parquet(f"{path}/rules={RULESET}")
+    return kept(book.sparkSession, path)
+
+
+def kept(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger that keep() wrote. Of other rules than these there is none: their bits mean something else, and Spark's error names the path."""
+    return spark.read.parquet(f"{path}/rules={RULESET}")
+
+
 def mask_of(*names: str) -> int:
     return sum(1 << i for i, (n, _) in enumerate(RULES) if n in names)
 
 
-def passes(policy: str, bits: Column | str = "fail_bits") -> Column:
+def passes(policy: str, version: int, bits: Column | str = "fail_bits") -> Column:
+    """Whether bits have none of the policy's rules; null bits give null. An unknown policy or version is a KeyError."""
     bits = F.col(bits) if isinstance(bits, str) else bits
-    return bits.bitwiseAND(F.lit(mask_of(*POLICIES[policy])).cast("long")) == 0
+    return bits.bitwiseAND(F.lit(mask_of(*POLICIES[policy, version])).cast("long")) == 0
+
+
+def compared(book: DataFrame, one: tuple[str, int], other: tuple[str, int]) -> DataFrame:
+    """(kept_by_one, kept_by_other, n): how many rows of a ledger two policies keep; no row of an empty ledger."""
+    return book.groupBy(passes(*one).alias("kept_by_one"), passes(*other).alias("kept_by_other")).agg(F.count("*").alias("n"))
 
 
-def ablation(book: DataFrame, policy: str) -> DataFrame:
-    """For each rule of policy: how many rows fail it, fail it alone, and would be kept without it. One pass, summed in part first."""
-    mask = mask_of(*POLICIES[policy])
+def ablation(book: DataFrame, policy: str, version: int) -> DataFrame:
+    """For each rule of policy: how many rows fail it, fail it alone, and would be kept without it; an empty ledger gives no rows.
+    Repeated rows count as often as they are there. One pass, summed in part first."""
+    mask = mask_of(*POLICIES[policy, version])
     bits = F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long"))
     patterns = book.groupBy(bits.alias("bits")).agg(F.count("*").alias("n"))  # at most a row for each combination of rules
     rules = F.explode(F.array(*[F.struct(F.lit(i).alias("bit"), F.lit(n).alias("rule")) for i, (n, _) in enumerate(RULES) if mask >> i & 1])).alias("r")
@@ -121,6 +148,6 @@ def ablation(book: DataFrame, policy: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = ledger(table(spark, sf_dir, "documents"))
-    base = ~passes("base")
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes("strict")).alias("kept"), "fail_bits")
+    book = keep(ledger(table(spark, sf_dir, "documents")), scratch(spark, "quality"))
+    base = ~passes("base", 1)
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes("strict", 1)).alias("kept"), "fail_bits")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skeinlog.llm import mixing, neardup, queries, shards, toxicity, warc
+from skeinlog.llm.common import written
 from skeinlog.llm.components import components
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -412,6 +413,18 @@ def test_op6_and_op9(spark, small, docs):
         assert set(want.split(",")) - {""} <= set(s.spans.split(","))
 
 
+def test_op6_kept(spark, small, docs):
+    """The verdict of the policy, worked out from the text in plain loops."""
+    got = run(spark, small, "op6_quality")
+    for i, d in docs.items():
+        t, r = d.text or "", got[i]
+        w = SPACES.findall(t)
+        lines = [x for x in t.split("\n") if SPACES.search(x)]
+        chars, alpha = sum(map(len, w)), sum(1 for x in w if x.encode()[0] > 64 or x.encode()[-1] > 64)
+        bad = chars < 2 * len(w) or chars > 20 * len(w) or 10 * r.n_symbols > len(w) or 10 * r.n_dup_lines > 3 * len(lines) or 10 * alpha < 6 * len(w)
+        assert r.kept == (not r.base_failed and not bad), i
+
+
 def test_op6_keeps_clean(spark, small):
     got = run(spark, small, "op6_quality")
     good = [r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 1").collect()]
@@ -524,13 +537,55 @@ def test_op2_held_out(spark):
 
 
 def test_pipeline(spark, small, docs):
+    """Each stage against a brute-force version over what it was given."""
     frame = spark.read.parquet(f"{small}/documents.parquet").withColumn("size", F.lit("mine"))
-    columns = frame.columns
-    sizes = [frame.count()]
+    columns, before, kept = frame.columns, dict(docs), {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        frame = stage(spark, frame, small).cache()
+        frame = written(stage(spark, frame, small), "stage")
         assert frame.columns == columns, name
-        sizes.append(frame.count())
-    assert sizes[0] >= sizes[1] > sizes[2] >= sizes[3] > 0
-    final = corpus_pipeline.STAGES[-1][1](spark, frame, small)
-    assert final.count() == sizes[-1]
+        rows = frame.collect()
+        assert all(tuple(r)[:-1] == tuple(before[r.doc_id])[: len(columns) - 1] and r["size"] == "mine" for r in rows), name
+        kept[name] = (before, Counter(r.doc_id for r in rows))
+        before = {r.doc_id: r for r in rows}
+    _, left = kept["toxicity"]
+    calls = run(spark, small, "op2_toxicity")
+    assert set(left) == {i for i, r in calls.items() if r.score < 0.5} and set(left.values()) == {1}
+    given, left = kept["near-duplicates"]
+    same = classes(shingle_sets({i: d.text for i, d in given.items()}))
+    assert left == Counter(i for i in given if same[i] == i)
+    given, left = kept["decontamination"]
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    runs = lambda x: {tuple(w[k : k + 10]) for w in [word.findall((x or "").encode().lower())] for k in range(max(1, len(w) - 9) if w else 0)}
+    bad = {w for r in spark.read.parquet(f"{small}/benchmark.parquet").collect() for w in runs(r.text)}
+    assert all(len(w) == 10 for w in bad)
+    assert left == Counter(i for i, d in given.items() if not runs(d.text) & bad)
+    given, left = kept["mixing"]
+    size = {i: len(SPACES.findall(d.text or "")) for i, d in given.items()}
+    drawn = {i: r["target"] for i, r in ((r.doc_id, r) for r in mixing.pareto_mix(spark.createDataFrame([(i, d.text, d.source) for i, d in given.items()], "doc_id long, text string, source string")).collect())}
+    for s in {d.source for d in given.values()}:
+        ids = [i for i, d in given.items() if d.source == s]
+        assert all(left[i] <= 3 for i in ids)
+        assert abs(sum(left[i] * size[i] for i in ids) - drawn[ids[0]]) <= max(0.02 * drawn[ids[0]], max(size[i] for i in ids) / 2), s
+    final = corpus_pipeline.STAGES[-1][1](spark, frame, small).collect()
+    assert Counter(r.doc_id for r in final) == left
+    slots = defaultdict(list)
+    for r in final:
+        slots[r.shard].append(r.slot)
+    assert set(slots) <= set(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() over nulls, empty and long texts, repeated rows and exact copies; and over an empty table."""
+    labels = "doc_id long, quality int, toxic int"
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = [f"plain words about topic {i} and the things that go with it in lot {i * 7}" for i in range(40)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(plain)] + [(90, None, None, None, None), (91, "", "en", None, 0), (92, "long " * 50_000, "en", "s0", 250_000), (93, plain[3], "en", "s1", 1)]
+    truth = [(i, 1, int(i % 10 == 0)) for i in range(40)]
+    bench = [(1, "completely other words that no document has in such an order at all")]
+    for name, data, schema in (("documents", rows, kind), ("labels", truth, labels), ("benchmark", bench, "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "a" / f"{name}.parquet"))
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / "b" / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    ids = {r.doc_id for r in got}
+    assert ids and 93 not in ids and ids <= {r[0] for r in rows}
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0

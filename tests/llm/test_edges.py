@@ -99,10 +99,27 @@ def test_quality(docs, none):
     by = {r.doc_id: r for r in rows if r.doc_id}
     assert by[1].n_words == 0 and by[4].n_repeat_words == 80_000
     assert quality.ledger(none).count() == 0
-    ab = {r.rule: r for r in quality.ablation(quality.ledger(docs), "base").collect()}
+    ab = {r.rule: r for r in quality.ablation(quality.ledger(docs), "base", 1).collect()}
     assert ab["repeated_passages"].failed == 1 and ab["repeated_passages"].kept_without == 4
 
 
+def test_quality_ledger_is_kept(spark, docs, none, monkeypatch):
+    """Policies, their comparison and ablations read a kept ledger and measure nothing; other rules don't find it."""
+    at = scratch(spark, "kept")
+    want = {(r.doc_id, r.fail_bits) for r in quality.keep(quality.ledger(docs), at).collect()}
+    monkeypatch.setattr(quality, "ledger", None)
+    book = quality.kept(spark, at)
+    assert {(r.doc_id, r.fail_bits) for r in book.collect()} == want and "text" not in book.columns
+    both = {(r.kept_by_one, r.kept_by_other): r.n for r in quality.compared(book, ("strict", 1), ("strict", 2)).collect()}
+    assert sum(both.values()) == len(ROWS) and (False, True) not in both  # version 2 has one rule more
+    assert quality.ablation(book, "strict", 2).count() == len(quality.RULES)
+    with pytest.raises(KeyError):
+        quality.passes("strict", 9)
+    monkeypatch.setattr(quality, "RULESET", "other")
+    with pytest.raises(Exception, match="rules=other"):
+        quality.kept(spark, at)
+
+
 def test_secrets(spark, docs, none):
     at = scratch(spark, "ledger")
     rows = secrets.scan(spark, docs, at).collect()
