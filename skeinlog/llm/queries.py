@@ -7,7 +7,21 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = {"mixlm": "op5_mixlm", "toxicity": "op2_toxicity", "neardup": "op3_neardup", "decontaminate": "op1_decontaminate", "mixing": "op4_mixing", "quality": "op6_quality", "warc": "op7_warc", "chat": "op8_chat", "secrets": "op9_secrets", "shards": "op10_sharding"}
+MODULES = {
+    "mixlm": "op5_mixlm",
+    "toxicity": "op2_toxicity",
+    "neardup": "op3_neardup",
+    "decontaminate": "op1_decontaminate",
+    "mixing": "op4_mixing",
+    "quality": "op6_quality",
+    "warc": "op7_warc",
+    "chat": "op8_chat",
+    "secrets": "op9_secrets",
+    "shards": "op10_sharding",
+    "language": "op11_language",
+    "alignment": "op12_alignment",
+    "prefixes": "op13_prefixes",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
