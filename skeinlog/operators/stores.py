@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.functions.text import sha_hex
+from skeinlog.operators import keyed
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
@@ -72,21 +73,23 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def store_analyses(rows: DataFrame, path: str, bucket: str = "bucket") -> None:
-    """Writes analyses by bucket; buckets of rows are replaced whole, others stay. The commit protocol makes it all or nothing."""
-    rows.write.mode("overwrite").partitionBy(bucket).option("partitionOverwriteMode", "dynamic").parquet(path)
+def store_analyses(rows: DataFrame, path: str, key: str = "session_id", at: str = "transcript_mtime", buckets: int = keyed.BUCKETS) -> int:
+    """Merges analyses into the store at path, the newest of each session; those of other sessions stay. Returns the store's version."""
+    return keyed.merge(rows, path, key, at, buckets)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, written beside and then renamed, so that a reader sees all of it or none."""
+    """One small file, written beside and then renamed over the old one, so that a reader sees all of either."""
+    jvm = spark._jvm
     fs, at = _fs(spark, path)
     _, beside = _fs(spark, path + ".tmp")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise OSError(f"{path} was not written")
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(beside), fs.makeQualified(at), over)
 
 
 def store_snapshot(spark: SparkSession, folder: str, text: str, instant: str, keep: int = 10) -> str:

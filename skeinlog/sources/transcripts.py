@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINE_TYPES = ("user", "assistant", "system", "summary", "ai-title", "last-prompt", "mode", "permission-mode", "file-history-snapshot", "queue-operation", "attachment")
@@ -20,20 +20,57 @@ def refs(spark: SparkSession, root: str) -> DataFrame:
 
 def newest(listing: DataFrame) -> DataFrame:
     """One row for each session: the newest file, of equal ones the first by path."""
-    best = listing.groupBy("session_id").agg(F.max_by(F.struct("path", "project_dir", "mtime", "bytes"), F.struct("mtime", F.expr("-hash(path)"))).alias("r"))
-    return best.select("session_id", "r.*")
-
-
-def lines(spark: SparkSession, root: str) -> DataFrame:
-    """(session_id, line_no, raw, v): every line that isn't blank, of any length; v is null where it isn't an object in JSON."""
-    whole = spark.read.text(f"{root}/*/*.jsonl", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(?!agent-)(.+)\.jsonl$", 1).alias("session_id"), "value")
-    split = whole.where("session_id <> ''").select("session_id", F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
+    last = listing.groupBy("session_id").agg(F.max("mtime").alias("mtime"))
+    best = listing.join(last, ["session_id", "mtime"]).groupBy("session_id", "mtime").agg(F.min_by(F.struct("path", "project_dir", "bytes"), "path").alias("r"))
+    return best.select("session_id", "r.path", "r.project_dir", "mtime", "r.bytes")
+
+
+#: A file of up to so many bytes is read as a value of its own; a larger one is cut at line ends and read by many tasks.
+WHOLE = 1 << 26
+#: So many pieces of files at most are known to each task (some 60 bytes each); beyond that, lines and pieces meet in a shuffle.
+PIECES = 1_000_000
+
+
+def _split(spark: SparkSession, paths: str | list[str], pieces: int) -> DataFrame:
+    """(session_id, line_no, raw) of files that are cut into pieces at line ends. A line knows its piece and its place in the order of a
+    task; pieces are counted, and the lines before a piece are added up file by file."""
+    lines = spark.read.text(paths, lineSep="\n")
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("piece"), F.col("_metadata.file_size").alias("size")]
+    lines = lines.select(*at, F.col("_metadata.file_name").alias("name"), F.col("value").alias("raw"), F.monotonically_increasing_id().alias("row")).where(F.col("size") > WHOLE)
+    counted = lines.groupBy("path", "piece").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.select("path", "piece", (before - F.col("first")).alias("off"))
+    numbered = lines.join(F.broadcast(counted) if pieces <= PIECES else counted, ["path", "piece"])
+    return numbered.select("name", (F.col("row") + F.col("off")).alias("line_no"), "raw")
+
+
+def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(session_id, line_no, raw): every line of the files at paths, numbered from 0 in each file. No file is too large: only those of
+    up to WHOLE bytes are values. Files of agents have no lines here."""
+    found = spark.read.format("binaryFile").load(paths).select("length")  # a listing, no file is opened
+    least = WHOLE >> 4  # Spark's pieces are larger, but for small settings of spark.sql.files.maxPartitionBytes
+    large = found.where(F.col("length") > WHOLE).agg(F.sum(F.ceil(F.col("length") / least)).alias("pieces")).first().pieces
+    whole = spark.read.text(paths, wholetext=True).where(F.col("_metadata.file_size") <= WHOLE)
+    rows = whole.select(F.col("_metadata.file_name").alias("name"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no").cast("long"))
+    if large:
+        rows = rows.unionByName(_split(spark, paths, large))
+    return rows.select(F.regexp_extract("name", r"^(?!agent-)(.+)\.jsonl$", 1).alias("session_id"), "line_no", "raw").where("session_id <> ''")
+
+
+def lines(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """(session_id, line_no, raw, v): every line that isn't blank, of any length, of the sessions below root, or of a list of files; v is
+    null where it isn't an object in JSON."""
+    return decode(raw_lines(spark, f"{root}/*/*.jsonl" if isinstance(root, str) else root))
+
+
+def decode(raw: DataFrame) -> DataFrame:
+    """raw(session_id, line_no, raw) without blank lines and with v, the line's object; null for what isn't one."""
     v = F.try_parse_json("raw")
     kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")), F.lit("VOID"))
     sound = F.schema_of_variant(v).startswith("OBJECT")
     for f in STRINGS:  # a wrong type makes the whole line malformed; a null is as good as none
         sound = sound & kind(f).isin("STRING", "VOID")
-    return split.where(F.trim("raw") != "").select("session_id", F.col("line_no").cast("long").alias("line_no"), "raw", F.when(sound, v).alias("v"))
+    return raw.where(F.trim("raw") != "").select("session_id", F.col("line_no").cast("long").alias("line_no"), "raw", F.when(sound, v).alias("v"))
 
 
 def _get(path: str, kind: str = "string", v: str = "v") -> Column:

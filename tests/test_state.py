@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from skeinlog.functions.text import SNAPSHOT
-from skeinlog.operators import stores, verify
+from skeinlog.operators import keyed, stores, verify
 from skeinlog.sources import state
 
 
@@ -111,10 +111,10 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError, match="holds: users_path"):
         stores.publish(spark, str(tmp_path / "l"), str(tmp_path / "p"), "w.json", "at /Users/me", SNAPSHOT)
     assert (tmp_path / "l" / "w.json").exists() and not (tmp_path / "p" / "w.json").exists() and (tmp_path / "p" / "v.json").read_text() == "fine"
-    at, kind = str(tmp_path / "a"), "bucket string, session_id string, n int"
-    stores.store_analyses(spark.createDataFrame([("x", "1", 1), ("y", "2", 1)], kind), at)
-    stores.store_analyses(spark.createDataFrame([("y", "2", 2)], kind), at)
-    assert {(r.session_id, r.n) for r in spark.read.parquet(at).collect()} == {("1", 1), ("2", 2)}
+    at, kind = str(tmp_path / "a"), "session_id string, transcript_mtime int, n int"
+    stores.store_analyses(spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], kind), at, buckets=1)
+    assert stores.store_analyses(spark.createDataFrame([("a", 2, 2)], kind), at) == 2
+    assert {(r.session_id, r.n) for r in keyed.read(spark, at).collect()} == {("a", 2), ("b", 1)}
     cards = spark.createDataFrame([("u", "flip", 3, "", None), ("t", "flip", 2, "do", "why")], "target string, trigger string, level int, text string, note string")
     assert stores.cards_markdown(cards).first().text == "## t — flip\n\n> do\n\nlevel 2\n\nwhy\n\n## u — flip\n\nlevel 3"
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -86,3 +87,29 @@ def test_canary(spark, root):
     got = {(r.session_id, r.kind, r.key): r.n for r in transcripts.canary(transcripts.lines(spark, root)).collect()}
     assert got["friction", "malformed", "line"] == 2 and got["friction", "unknown_line_type", "brand-new"] == 1
     assert not [k for k in got if k[0] == "clean"]
+
+
+def test_large_files_are_cut(spark, tmp_path, monkeypatch):
+    """A file beyond the bound is read in pieces by many tasks; its numbers of lines are those of a plain read."""
+    (tmp_path / "p").mkdir()
+    said = ["", *("x" * (i * 37 % 5000) + f" é{i}" for i in range(900)), "", "last"]
+    (tmp_path / "p" / "big.jsonl").write_text("\n".join(said) + "\n")
+    (tmp_path / "p" / "other.jsonl").write_text("\n".join(reversed(said)))  # its last line break ends a line
+    (tmp_path / "p" / "small.jsonl").write_text("a\n\nb")
+    monkeypatch.setattr(transcripts, "WHOLE", 1000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        raw = transcripts.raw_lines(spark, f"{tmp_path}/*/*.jsonl")
+        got = {}
+        for r in raw.collect():
+            got.setdefault(r.session_id, {})[r.line_no] = r.raw
+        assert spark.read.text(f"{tmp_path}/p/big.jsonl").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {"big": dict(enumerate(said)), "other": dict(enumerate([*reversed(said)][:-1])), "small": {0: "a", 1: "", 2: "b"}}
+
+
+def test_newest_of_equal_times(spark):
+    t = dt.datetime(2026, 1, 1)
+    rows = [("s", f"/p/{c}", "p", t, 1) for c in "hgfedcba"] + [("s", "/p/0", "p", t - dt.timedelta(1), 1)]
+    assert transcripts.newest(spark.createDataFrame(rows, "session_id string, path string, project_dir string, mtime timestamp, bytes long")).first().path == "/p/a"
