@@ -12,12 +12,14 @@ them up for each document. Counts of the most frequent pairs are broadcast, up t
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from skeinlog.llm.common import bounded_batches, table, written
 
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: Code points of texts that are encoded together; a text isn't cut.
+TOGETHER = 1 << 21
 #: At most so many pairs, the most frequent ones, are broadcast with their counts (17 bytes each).
 PAIRS = 1 << 20
 #: From a space that follows another character than white space up to the next such space.
@@ -44,8 +48,6 @@ class Pair:
     """Both tokenizers, and the bytes of each of their entries."""
 
     def __init__(self, folder: str) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -158,7 +160,11 @@ def aligned(docs: DataFrame, key: str = "doc_id", folder: str = TOKENIZERS) -> D
         pair = Pair(folder)
         names = [x.split()[0] for x in DOC.split(", ")]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *align(pair, batch.column(1).to_pylist())], [key, *names])
+            texts = batch.column(1)
+            upto = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // TOGETHER
+            cut = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cut, cut[1:], strict=False):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *align(pair, texts.slice(i, j - i).to_pylist())], [key, *names])
 
     return docs.select(key, F.col("text").alias("__text")).mapInArrow(run, f"`{key}` {kind}, {DOC}")
 
