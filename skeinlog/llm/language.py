@@ -27,6 +27,8 @@ ORDER = 4
 #: Bounds of the learning sample: different texts of each language, bytes of each language, bytes of all languages together. Texts are
 #: taken whole, in the order of their hashes, until the next would pass the bound; a language has one text at least.
 TEXTS, BYTES, ALL_BYTES = 2000, 1 << 20, 1 << 24
+#: The hashes of at most so many sample texts are broadcast (some 40 bytes each).
+HELD = 1 << 20
 #: Every text is coded as if it came after this many line feeds.
 START = b"\n" * ORDER
 #: Code lengths are counted in 2^-20 bits.
@@ -167,6 +169,8 @@ def learn(docs: DataFrame, texts: int = TEXTS, size: int = BYTES, all_size: int
     picked = picked.withColumn("upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     picked = picked.where((F.col("upto") <= each) | (F.col("r") == 1)).select("lang", "h", "h2")
     keyed = known.select("lang", "text", F.xxhash64(F.lit(11), "text").alias("h"), F.xxhash64(F.lit(12), "text").alias("h2"))
+    if texts * len(names) <= HELD:  # else texts and their hashes meet in a shuffle
+        picked = F.broadcast(picked)
     sample = keyed.join(picked, ["lang", "h", "h2"], "left_semi").dropDuplicates(["lang", "h", "h2"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
