@@ -126,16 +126,24 @@ ARTIFACT: Sequence[tuple[str, str]] = (
     ("ticket", r"(?i)\bsc-\d+\b"),
     ("worktree", r"\.worktrees/"),
 )
-#: label and pattern of what no file of a repository must hold.
-PRIVATE: Sequence[tuple[str, str]] = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"),
-    ("home_path", r"/(Users|home)/[A-Za-z0-9_.-]+"),
-    ("uuid", r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),
-    ("ticket", r"\b[A-Z]{2,}-[0-9]{4,}\b"),
-    ("phone", r"\+?[0-9]{1,3}[ -][0-9]{3}[ -][0-9]{3,4}[ -]?[0-9]{0,4}"),
+# What no file of a repository must hold. The names in round brackets are made up and allowed.
+PRIVATE: Sequence[tuple] = (
+    ("users_path", r"(?i)/Users/([a-zA-Z0-9._-]+)", ("dev",)),
+    ("users_slug", r"(?i)-Users-([a-zA-Z0-9._]+)", ("dev",)),
+    ("home_path", r"(?i)/home/([a-zA-Z0-9._-]+)", ("user",)),
+    ("home_slug", r"(?i)-home-([a-zA-Z0-9._]+)", ("user",)),
+    ("uuid", r"(?i)([0-9a-f]{8})-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", ("00000000", "0abc1234")),
+    ("ticket", r"(?i)\bsc-[0-9]{4,}\b"),
 )
 
 
-def private_labels(c: Column, patterns: Sequence[tuple[str, str]] = PRIVATE) -> Column:
-    """The labels of the patterns that a text matches, never the matches."""
-    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in patterns]))
+def private_labels(c: Column, patterns: Sequence[tuple] = PRIVATE) -> Column:
+    """The labels of the patterns that a text matches, never the matches. A pattern is a label, a regular expression and, if need be,
+    what its first group may be: it takes a match with another name, in whatever case."""
+
+    def hit(pattern: str, allowed: Sequence[str] = ()) -> Column:
+        if not allowed:
+            return c.rlike(pattern)
+        return F.exists(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda name: ~F.lower(name).isin(*allowed))
+
+    return F.array_compact(F.array(*[F.when(hit(*p[1:]), F.lit(p[0])) for p in patterns]))

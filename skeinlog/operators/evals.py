@@ -31,11 +31,11 @@ def lower_median(c: str) -> Column:
 
 def status_of(status: Column, median: Column, pass_at: Column, tier: Column, provisional: Column | None = None) -> tuple[Column, Column]:
     """(meets expectation, hard fail) of a target's median granularity. A provisional pass waits for confirmation: it doesn't meet the
-    expectation, but is no hard fail."""
+    expectation, but is no hard fail. An invalidated target is left out of all counts: both are null."""
     would = median >= pass_at
     held = F.lit(False) if provisional is None else F.coalesce(provisional, F.lit(False))
-    meets = F.when(status == "must_pass", would & ~held).when(status == "expected_partial", median > 0).otherwise(True)
-    hard = F.when(status == "must_pass", (tier == "HIGH") & ~would).when(status == "expected_partial", median == 0).otherwise(False)
+    meets = F.when(status == "must_pass", would & ~held).when(status == "expected_partial", median > 0).when(status != "invalidated", True)
+    hard = F.when(status == "must_pass", (tier == "HIGH") & ~would).when(status == "expected_partial", median == 0).when(status != "invalidated", False)
     return meets, hard
 
 

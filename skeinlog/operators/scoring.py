@@ -136,7 +136,9 @@ def target_verdicts(rubrics: DataFrame, samples: DataFrame, adjudications: DataF
     """A row for each rubric, also for one without samples, which is absent and never passes: level, nuance_median, agreement, passes,
     provisional, meets, hard_fail, the deciding sample's item, and triggers(type, key_hash, samples, adjudicated).
 
-    A pass that was never seen before, of a target that has no anchors, is provisional until a person accepts it."""
+    A pass that was never seen before, of a target that has no anchors, is provisional until a person accepts it. Invalidated targets
+    have no row; invalidated() lists them."""
+    rubrics = rubrics.where(F.coalesce("status", F.lit("")) != "invalidated")
     cols = ("sample", "level", "class", "item_id", "text", "session_ids", "nuances", "applied", "sides")
     s = samples.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("sample", "level"))).alias("order"), F.map_from_entries(F.collect_list(F.struct("sample", F.struct(*cols)))).alias("by"))
     s = s.withColumn("ss", F.transform("order", lambda o: F.element_at("by", o["sample"]))).drop("order", "by")
@@ -182,6 +184,11 @@ def target_verdicts(rubrics: DataFrame, samples: DataFrame, adjudications: DataF
     )
 
 
+def invalidated(rubrics: DataFrame) -> DataFrame:
+    """(target): those that verdicts and all rates leave out."""
+    return rubrics.where("status = 'invalidated'").select("target")
+
+
 def effective(verdicts: DataFrame, adjudications: DataFrame | None = None) -> DataFrame:
     """(target, passes, level): committed verdicts under later decisions: a provisional fail whose provisional triggers were all accepted
     counts as a pass if its level reaches pass_at."""

@@ -41,8 +41,9 @@ def similar_pairs(items: DataFrame, key: str, text: str, bar: float, within: str
     """(a, b, inter, size_a, size_b): pairs a < b whose token multisets have a Jaccard similarity of bar or more;
     with `within`, only pairs that agree in that column.
 
-    Exact for any bar above 0, which is taken as the decimal fraction that it is written as. Only the rarest tokens of an item are joined: of s token occurrences, any partner must share one of the
-    first s - ceil(bar * s) + 1 in a common order by rarity, so frequent tokens are never keys of a join unless an item has no others.
+    Exact for any bar above 0, which is taken as the decimal fraction that it is written as. Only the rarest tokens of an item are
+    joined: of s token occurrences, any partner must share one of the first s - ceil(bar * s) + 1 in a common order by rarity, so frequent
+    tokens are never keys of a join unless an item has no others.
     """
     num, den = Fraction(str(bar)).as_integer_ratio()
     words = items.select(F.col(key).alias("id"), *([within] if within else []), F.explode(tokens(F.lower(F.col(text)))).alias("t"))
@@ -62,17 +63,28 @@ def similar_pairs(items: DataFrame, key: str, text: str, bar: float, within: str
     return shared.where(den * F.col("inter") >= num * (F.col("sa") + F.col("sb") - F.col("inter"))).select("a", "b", "inter", F.col("sa").alias("size_a"), F.col("sb").alias("size_b"))
 
 
-def clusters(pairs: DataFrame, most: int = 50) -> DataFrame:
-    """(id, cluster) of the nodes of pairs (a, b): the least id reachable, by labels that pass over links and jump to labels of labels."""
-    both = _saved(pairs.select("a", "b").unionAll(pairs.select(F.col("b"), F.col("a"))).distinct())
-    label = _saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("cluster")))
+def clusters(pairs: DataFrame, most: int = 60) -> DataFrame:
+    """(id, cluster) of the nodes of pairs (a, b), cluster being the least id that can be reached; a pair of a node with itself has one.
+
+    Stars by turns: each node's greater neighbours are hung under the least of its neighbours and itself, then its lesser ones are. What
+    hangs below a root gets flatter by a factor each round, so a chain of any order takes a number of rounds like its length's logarithm.
+    Least neighbours are aggregated and joined back, so a node with very many links is spread over tasks."""
+    named = pairs.where("a is not null and b is not null").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    links = _saved(named)
+    alone = links.where("hi = lo").select(F.col("hi").alias("id"))
+    links, before = links.where("hi <> lo"), None
     for _ in range(most):
-        far = both.join(label, both["b"] == label["id"]).groupBy(both["a"].alias("id")).agg(F.min("cluster").alias("m"))
-        up = label.select(F.col("id").alias("cluster"), F.col("cluster").alias("top"))
-        new = _saved(label.join(far, "id").join(up, "cluster").select("id", F.least("cluster", "m", "top").alias("cluster"), (F.least("cluster", "m", "top") < F.col("cluster")).alias("moved")))
-        label = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            return label
+        ends = links.select(F.col("hi").alias("n"), F.col("lo").alias("to")).unionAll(links.select("lo", "hi"))
+        low = ends.groupBy("n").agg(F.min("to").alias("low")).select("n", F.least("n", "low").alias("low"))
+        hung = _saved(ends.where("to > n").join(low, "n").select(F.col("to").alias("hi"), F.col("low").alias("lo")).distinct())
+        low = hung.groupBy("hi").agg(F.min("lo").alias("low"))
+        up = hung.join(low, "hi").select(F.when(F.col("lo") > F.col("low"), F.col("lo")).otherwise(F.col("hi")).alias("hi"), F.col("low").alias("lo"))
+        links = _saved(up.unionAll(low.select("hi", F.col("low").alias("lo"))).distinct())
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if now == before:
+            tops = links.select("lo").unionAll(alone.select(F.col("id").alias("lo"))).distinct().join(links.select(F.col("hi").alias("lo")), "lo", "left_anti")
+            return links.select(F.col("hi").alias("id"), F.col("lo").alias("cluster")).unionAll(tops.select(F.col("lo").alias("id"), F.col("lo").alias("cluster")))
+        before = now
     raise RuntimeError(f"clusters did not settle in {most} rounds")
 
 
@@ -81,23 +93,31 @@ def duplicate_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(F.sha2(F.encode(text, "UTF-8"), 256).alias("h")).agg(F.min(key).alias("cluster"), F.count("*").alias("n")).where("n > 1").drop("h")
 
 
-SHORT = 256  # quotes of one or two words that are held against a text at once
+GRAM = 4  # characters by which a piece of a word is looked up
+
+
+def _longest(words):
+    return F.get(F.array_sort(words, lambda x, y: F.length(y) - F.length(x)), 0)
 
 
 def quoted(docs: DataFrame, quotes: DataFrame, normal=lambda c: c) -> DataFrame:
     """(doc_id, item_id): documents whose text contains a quote as it stands, after `normal` on both; an empty quote is in none.
 
     The words inside of a quote have white space on both sides, so the longest of them must be a word of the document, and candidates
-    come from an equality join on it. A quote of one or two words has none inside: those are held against all texts, in blocks."""
+    come from an equality join on it. A quote of one or two words has none inside; its longest piece is part of a word. Such words are
+    found among the distinct words of all texts, by a join on a piece's first GRAM characters (all, if it has fewer) and the grams of
+    words, and lead to the documents that have them. White space between words counts as a word for quotes that have nothing else."""
+    pieces = F.split("quote", r"\s+")
     q = quotes.select("item_id", normal(F.col("text")).alias("quote")).where("quote <> ''")
-    inner = F.filter(F.slice(F.split("quote", r"\s+"), F.lit(2), F.greatest(F.size(F.split("quote", r"\s+")) - 2, F.lit(0))), lambda w: w != "")
-    q = q.withColumn("w", F.get(F.array_sort(inner, lambda x, y: F.length(y) - F.length(x)), 0))
+    inner = F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != "")
+    q = q.withColumns({"w": _longest(inner), "part": F.coalesce(F.nullif(_longest(pieces), F.lit("")), F.col("quote"))})
     d = docs.select("doc_id", normal(F.col("text")).alias("body")).where(F.length("body") > 0)
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("w"))
-    long = q.where("w is not null")
-    cand = words.join(long.select("item_id", "w"), "w").select("doc_id", "item_id")
-    found = cand.join(d, "doc_id").join(long.select("item_id", "quote"), "item_id").where(F.col("body").contains(F.col("quote"))).select("doc_id", "item_id")
-    blocks = q.where("w is null").groupBy(F.floor(F.pmod(F.xxhash64("item_id"), F.lit(1 << 40)) % F.greatest(F.lit(1), F.lit(q.where("w is null").count() // SHORT + 1))).alias("k"))
-    blocks = blocks.agg(F.collect_list(F.struct("item_id", "quote")).alias("b"))
-    hits = d.join(blocks, F.lit(True)).select("doc_id", "body", F.explode("b").alias("q")).where(F.col("body").contains(F.col("q.quote")))
-    return found.unionByName(hits.select("doc_id", F.col("q.item_id").alias("item_id")))
+    words = d.select("doc_id", F.explode(F.array_distinct(F.concat(F.split("body", r"\s+"), F.split("body", r"\S+")))).alias("w"))
+    long = words.join(q.where("w is not null").select("item_id", "w"), "w").select("doc_id", "item_id")
+    short = q.where("w is null").select("item_id", "part", F.substring("part", 1, GRAM).alias("gram"))
+    known = words.select("w").distinct()
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("w") - i + 1)), lambda n: F.col("w").substr(i, n))))
+    known = known.where("w <> ''").select("w", F.explode(F.array_distinct(grams)).alias("gram"))
+    parts = known.join(short, "gram").where(F.col("w").contains(F.col("part"))).select("w", "item_id")
+    found = long.unionByName(words.join(parts, "w").select("doc_id", "item_id")).distinct()
+    return found.join(d, "doc_id").join(q.select("item_id", "quote"), "item_id").where(F.col("body").contains(F.col("quote"))).select("doc_id", "item_id")

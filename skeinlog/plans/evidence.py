@@ -39,7 +39,16 @@ def privacy_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.private_labels(F.col("text")), ",").alias("labels")).where("labels <> ''")
 
 
-SQL["privacy_labels"] = "select * from (select doc_id, concat_ws(',', " + ", ".join(f"case when regexp_matches(text, '{p}') then '{n}' end" for n, p in T.PRIVATE) + ") as labels from documents) where labels <> ''"
+SQL["privacy_labels"] = r"""
+with m as (select doc_id, 1 as k, 'users_path' as label, unnest(regexp_extract_all(text, '(?i)/users/([a-z0-9._-]+)', 1)) as name from documents
+  union all select doc_id, 2, 'users_slug', unnest(regexp_extract_all(text, '(?i)-users-([a-z0-9._]+)', 1)) from documents
+  union all select doc_id, 3, 'home_path', unnest(regexp_extract_all(text, '(?i)/home/([a-z0-9._-]+)', 1)) from documents
+  union all select doc_id, 4, 'home_slug', unnest(regexp_extract_all(text, '(?i)-home-([a-z0-9._]+)', 1)) from documents
+  union all select doc_id, 5, 'uuid', unnest(regexp_extract_all(text, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}')) from documents
+  union all select doc_id, 6, 'ticket', unnest(regexp_extract_all(text, '(?i)\bsc-[0-9]{4,}\b')) from documents),
+k as (select distinct doc_id, k, label from m where not (label like 'users%' and lower(name) = 'dev') and not (label like 'home%' and lower(name) = 'user')
+  and not (label = 'uuid' and (lower(name) like '00000000-%' or lower(name) like '0abc1234-%')))
+select doc_id, string_agg(label, ',' order by k) as labels from k group by doc_id"""
 
 
 def quantitative_claims(spark, d):

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -77,7 +78,11 @@ def test_quantity(spark):
 
 
 def test_private(spark):
-    assert one(spark, text.private_labels, "mail a@b.co or /home/me", "nothing") == [["email", "home_path"], []]
+    uuid = "-1111-4222-8333-444444444444"
+    fine = ("mail a@b.co", "/home/user/x /Users/dev/x", "-Users-DEV-Developer -home-user-x", "00000000" + uuid, "0ABC1234" + uuid, "12345678-1111-1222-8333-444444444444", "AB-1234 sc-123", "nothing", None)
+    assert one(spark, text.private_labels, *fine) == [[]] * len(fine)
+    found = one(spark, text.private_labels, "at /users/Alice", "/home/user and /HOME/me", "-Users-alice-Developer-r", "-home-me_x", "z 12345678" + uuid, "SC-12345.")
+    assert found == [["users_path"], ["home_path"], ["users_slug"], ["home_slug"], ["uuid"], ["ticket"]]
     snapshot = lambda c: text.private_labels(c, text.SNAPSHOT)
     assert one(spark, snapshot, "at $HOME/x", "/home/x SC-1", "/Users/ sc-1") == [["home"], [], ["users_path", "ticket"]]
     assert one(spark, lambda c: text.private_labels(c, text.ARTIFACT), "/home/x SC-1", "a.worktrees/b") == [["home_path", "ticket"], ["worktree"]]
@@ -123,18 +128,35 @@ def test_corroboration(spark):
     assert got == ["corroborated", "grounded", "anchor_mismatch", "dropped", "no_anchors", "anchor_mismatch", "size_cap", "size_cap"]
 
 
-@pytest.mark.parametrize("links", [[(i, i + 1) for i in range(40)], [(1, 9), (9, 5), (5, 2), (20, 21)]])
+def shuffled_chain(n):
+    ids = [*range(n)]
+    random.Random(1).shuffle(ids)
+    return [*zip(ids, ids[1:], strict=False)]
+
+
+@pytest.mark.parametrize("links", [[(i, i + 1) for i in range(40)], [(1, 9), (9, 5), (5, 2), (20, 21), (7, 7), (5, 5)], shuffled_chain(1000), [(0, i) for i in range(1, 200)] + [(i, i + 500) for i in range(200)]])
 def test_clusters(spark, links):
     from skeinlog.operators.similarity import clusters
 
     got = {r.id: r.cluster for r in clusters(spark.createDataFrame(links, "a long, b long")).collect()}
     root = {x: x for p in links for x in p}
-    for _ in root:
+    moved = True
+    while moved:
+        moved = False
         for a, b in links:
-            root[a] = root[b] = min(root[a], root[b])
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                moved = True
     assert got == root
 
 
+def test_invalidated(spark):
+    from skeinlog.operators.evals import status_of
+
+    df = spark.createDataFrame([("invalidated", 1), ("expected_fail", 1)], "s string, m int")
+    assert [tuple(r) for r in df.select(*status_of(F.col("s"), F.col("m"), F.lit(3), F.lit("HIGH"))).collect()] == [(None, None), (True, False)]
+
+
 def test_corroboration_without_a_cap(spark):
     from skeinlog.operators.evals import corroborate
 
@@ -154,12 +176,14 @@ def test_status(spark):
 def test_quotes_of_few_words(spark):
     from skeinlog.operators.similarity import quoted
 
-    texts = ["hello world", "say hello, world", "xhello worldx and more", "one\ttwo three four", ""]
-    quotes = ["hello", "hello worl", "lo wor", "two three four", "o three f", "hello world", "missing", "xhello worldx and", " hello"]
+    texts = ["hello world", "say hello, world", "xhello worldx and more", "one\ttwo three four", "", "lllo worl\n\n d", None]
+    quotes = ["hello", "hello worl", "lo wor", "two three four", "o three f", "hello world", "missing", "xhello worldx and", " hello", "l", "\n", " ", "\t", "o ", "\n\n d", "lo worlds", ""]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     q = spark.createDataFrame(list(enumerate(quotes)), "item_id int, text string")
     got = sorted((r.doc_id, r.item_id) for r in quoted(d, q).collect())
-    assert got == [(i, j) for i, t in enumerate(texts) for j, x in enumerate(quotes) if x in t]
+    assert got == [(i, j) for i, t in enumerate(texts) for j, x in enumerate(quotes) if t and x and x in t]
+    plan = quoted(d, q)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner\n" not in plan and "Join Cross" not in plan  # no join without a key
 
 
 def test_similar_pairs_at_a_decimal_bar(spark):
