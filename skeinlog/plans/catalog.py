@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlog.plans import evidence, scoring, sessions, state
+from skeinlog.plans import evidence, lines, scoring, sessions, state
 
-MODULES = (sessions, evidence, state, scoring)
+MODULES = (sessions, evidence, state, scoring, lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,8 +24,8 @@ def _rubrics(spark, d):
 
 
 def _matches(spark, d):
-    li = table(spark, d, "lineitem").where("l_suppkey % 41 < 38 and l_quantity % 3 = 0")
-    return li.select((F.col("l_suppkey") % 41).alias("target"), (F.col("l_orderkey") % 3).alias("sample"), (F.col("l_linenumber") % 3).cast("long").alias("repeat"), F.col("l_partkey").cast("string").alias("item_id"), (F.col("l_quantity").cast("int") % 4).alias("granularity"), F.array(F.col("l_discount") > 0.03, F.col("l_tax") > 0.02).alias("nuances"), F.when((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 5 == 0), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("forbidden")).where("granularity > 0")
+    li = table(spark, d, "lineitem")
+    return li.select((F.col("l_suppkey") % 38).alias("target"), (F.col("l_orderkey") % 3).alias("sample"), (F.col("l_linenumber") % 3).cast("long").alias("repeat"), F.col("l_partkey").cast("string").alias("item_id"), (F.col("l_quantity").cast("int") % 4).alias("granularity"), F.array(F.col("l_discount") > 0.03, F.col("l_tax") > 0.02).alias("nuances"), F.when((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 5 == 0), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("forbidden")).where("granularity > 0")
 
 
 def _repeats(spark, d):
@@ -34,9 +34,9 @@ def _repeats(spark, d):
 
 
 _SQL = """
-m as (select l_suppkey % 41 as target, l_orderkey % 3 as sample, l_linenumber % 3 as repeat, l_partkey, l_quantity::int % 4 as g, l_discount > 0.03 as n1, l_tax > 0.02 as n2,
+m as (select l_suppkey % 38 as target, l_orderkey % 3 as sample, l_linenumber % 3 as repeat, l_partkey, l_quantity::int % 4 as g, l_discount > 0.03 as n1, l_tax > 0.02 as n2,
   l_returnflag = 'R' and l_partkey % 5 = 0 as form, l_partkey % 7 = 0 as dropped, p_size % 5 as s from lineitem join part on p_partkey = l_partkey
-  where l_suppkey % 41 < 38 and l_quantity % 3 = 0 and l_quantity::int % 4 > 0),
+  where l_quantity::int % 4 > 0),
 j as (select *, case when form then 1 when g = 3 and not (n1 and n2) then 2 else g end as level, n1::int + n2::int as passed,
   case when dropped then 'dropped' when target % 2 = 1 then 'no_anchors' when s = target % 5 then 'corroborated' else 'anchor_mismatch' end as class from m),
 q as (select range % 38 as target, range // 38 % 3 as sample, range // 114 as repeat from range(342)),
@@ -153,13 +153,13 @@ SQL["negative_reads"] = f"with {_SQL} select target, sample, count(distinct repe
 def recall_states(spark, d):
     """Parts stand for evidence, brands for probes, orders for findings and dropped entries."""
     probes = table(spark, d, "part").select(F.element_at(F.array(F.lit("friction"), F.lit("opportunity")), (F.col("p_size") % 2 + 1).cast("int")).alias("kind"), F.col("p_brand").alias("id"), F.col("p_partkey").alias("evidence_id"))
-    li = table(spark, d, "lineitem").where("l_orderkey % 97 < 3").select((F.col("l_orderkey") % 97).alias("sample"), F.col("l_partkey").alias("evidence_id"), "l_returnflag")
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 3).alias("sample"), F.col("l_partkey").alias("evidence_id"), "l_returnflag")
     return scoring.recall(probes, li.where("l_returnflag = 'R' and evidence_id % 5 = 0"), li.where("l_returnflag = 'A' and evidence_id % 3 = 0"), range(3))
 
 
 SQL["recall_states"] = """
 with p as (select distinct case p_size % 2 when 0 then 'friction' else 'opportunity' end as kind, p_brand as id, p_partkey from part),
-l as (select l_orderkey % 97 as sample, l_partkey, l_returnflag from lineitem where l_orderkey % 97 < 3),
+l as (select l_orderkey % 3 as sample, l_partkey, l_returnflag from lineitem),
 g as (select range as sample, kind, id from range(3), (select distinct kind, id from p))
 select sample, kind, id, case when exists (select 1 from l join p on p.p_partkey = l.l_partkey where l.sample = g.sample and p.kind = g.kind and p.id = g.id and l_returnflag = 'R' and l.l_partkey % 5 = 0) then 'cited'
   when exists (select 1 from l join p on p.p_partkey = l.l_partkey where l.sample = g.sample and p.kind = g.kind and p.id = g.id and l_returnflag = 'A' and l.l_partkey % 3 = 0) then 'suppressed' else 'miss' end as state from g"""
@@ -181,7 +181,7 @@ select repo, kind, user_id as session_id from k where kind is not null"""
 
 
 def _retyped(spark, d):
-    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("p_partkey % 40 < 12")
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     norm = F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand"))
     return j.groupBy((F.col("p_partkey") % 40).cast("string").alias("repo"), (F.col("l_orderkey") % 30).alias("session_id"), norm.alias("norm")).agg(F.min("l_shipdate").alias("start"), F.count("*").alias("n"), F.count_if(F.col("l_linenumber") <= 3).alias("first_turn"), F.max("p_name").alias("exemplar"))
 
@@ -194,7 +194,7 @@ def retyped_clusters(spark, d):
 
 SQL["retyped_clusters"] = r"""
 with recursive c as (select (p_partkey % 40)::varchar as repo, l_orderkey % 30 as session_id, p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) as norm, count(*) as n, count(*) filter (where l_linenumber <= 3) as f
-  from lineitem join part on p_partkey = l_partkey where p_partkey % 40 < 12 group by 1, 2, 3),
+  from lineitem join part on p_partkey = l_partkey group by 1, 2, 3),
 f as (select repo, norm, sum(n) as n, sum(f) as f from c group by 1, 2),
 w as (select repo, norm, regexp_replace(unnest(string_split(norm, ' ')), '^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$', '', 'g') as t from f),
 g as (select repo, norm, t, count(*) as k from w where t <> '' group by 1, 2, 3), z as (select repo, norm, sum(k) as size from g group by 1, 2),
