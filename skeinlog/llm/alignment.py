@@ -88,10 +88,7 @@ class Aligned:
     def __init__(self, pair: Pair, chunks: list[str]) -> None:
         a, b = pair.encode(chunks)
         n = len(chunks)
-        self.sound = np.zeros(n, bool)
-        for i, c in enumerate(chunks):
-            said = c.encode()
-            self.sound[i] = b"".join([pair.a_bytes[x] for x in a[i]]) == said == b"".join([pair.b_bytes[x] for x in b[i]])
+        self.sound = self._sound(pair, chunks, a, b)
         a, b = ([x if s else [] for x, s in zip(ids, self.sound, strict=True)] for ids in (a, b))
         self.n_a, self.n_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (a, b))
         a_id, b_id = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
@@ -118,6 +115,20 @@ class Aligned:
         ends = np.cumsum(self.n_a + self.n_b).tolist()
         self.groups = ["".join(said[i:j])[:-1] for i, j in zip([0, *ends], ends, strict=False)]
 
+    @staticmethod
+    def _sound(pair: Pair, chunks: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """All chunks are looked at as one, and each on its own only if that fails."""
+        said = [c.encode() for c in chunks]
+        size, n = np.fromiter(map(len, said), np.int64, len(said)), len(said)
+        whole = b"".join(said)
+        for ids, of, sizes in ((a, pair.a_bytes, pair.a_size), (b, pair.b_bytes, pair.b_size)):
+            flat = list(chain.from_iterable(ids))
+            chunk = np.repeat(np.arange(n), np.fromiter(map(len, ids), np.int64, n))
+            if b"".join(map(of.__getitem__, flat)) != whole or (np.bincount(chunk, sizes[flat], n) != size).any():
+                both = zip(a, b, said, strict=True)
+                return np.array([b"".join([pair.a_bytes[i] for i in x]) == c == b"".join([pair.b_bytes[i] for i in y]) for x, y, c in both], bool)
+        return np.ones(n, bool)
+
 
 def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[i], start[i] + 1, ... for each i, size[i] of them."""
