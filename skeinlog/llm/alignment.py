@@ -29,6 +29,8 @@ TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Code points of texts that are encoded together; a text isn't cut.
 TOGETHER = 1 << 21
+#: Chunks whose ids a task keeps; each has fewer than 64 code points.
+KNOWN = 1 << 17
 #: At most so many pairs, the most frequent ones, are broadcast with their counts (17 bytes each).
 PAIRS = 1 << 20
 #: From a space that follows another character than white space up to the next such space.
@@ -52,6 +54,7 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        self.known: dict[str, tuple[list[int], list[int]]] = {}
         self.a = Tokenizer.from_file(f"{folder}/{A_FILE}")
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{B_FILE}")
@@ -65,9 +68,16 @@ class Pair:
             raise ValueError("a piece has a space after another character: chunks aren't encoded on their own")
 
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's and B's ids of chunks, each of which begins with a space, which B adds on its own."""
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        return a, self.b.encode([c[1:] for c in chunks], num_threads=1)
+        """A's and B's ids of chunks, each of which begins with a space, which B adds on its own. The first KNOWN chunks of a task stay
+        known to it; frequent ones come early."""
+        new = [c for c in chunks if c not in self.known]
+        a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        got = dict(zip(new, zip(a, self.b.encode([c[1:] for c in new], num_threads=1), strict=True), strict=True))
+        both = [got.get(c) or self.known[c] for c in chunks]
+        for c in new[: max(0, KNOWN - len(self.known))]:
+            if len(c) < 64:
+                self.known[c] = got[c]
+        return [x for x, _ in both], [y for _, y in both]
 
 
 def overlaps(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
