@@ -3,8 +3,9 @@
 A text is a sequence of binary decisions, and its score is the sum of their logarithms.
 
 - Its symbols are spelt by a Huffman code: a frequent word, the class of another known word (a hash of its last two bytes), or a new
-  word. Before each bit several predictors, each a table of counts addressed by a hash of its context and by the place in the code,
-  give the logarithm of the odds. A gate, chosen by the depth in the code and by how sure two predictors are, selects the weights
+  word. Before each bit several predictors, each a table of counts addressed by its context and by the place in the code, give the
+  logarithm of the odds. The words' four contexts are few enough for plain addresses (none, the symbol before, two of frequent words
+  and suffix classes); only the bytes of new words have hashed ones. A gate, chosen by the depth in the code and by how sure two predictors are, selects the weights
   that add them up. Weights and an offset move along each text, from its first tokens on.
 - Inside of a class, a word has its exact share of the class's count. A new word is spelt in bytes, by predictors of its own.
 - Before each word, a decision says whether it comes from what has followed the word before it, with its exact share there.
@@ -13,11 +14,13 @@ A text is a sequence of binary decisions, and its score is the sum of their loga
 
 The exact counts, of words, of pairs of words, of contexts and of segments, grow with the learning texts; only the symbols' and the
 bytes' tables have a fixed size. A learning text is scored by the counts of all others, and every text by its own words so far
-besides: a count is the total, less the text's own, plus what came before in the text. (The tables of fixed size keep their own.)
+besides: a count is the total, less the text's own, plus what came before in the text. The tables of fixed size don't leave a text's
+own counts out.
 
 Texts are made into numbers once, in blocks, each with its own list of words. Shards by hash add up the counts of all blocks and send
 each block its totals back, so no task holds the counts of the corpus. The weights learn online: a task goes once over its learning
 texts, whole, by a step of Newton's method for every few thousand tokens; the tasks' weights are then averaged by their curvatures.
+Blocks are cut from partitions as they are read, so a table read in other partitions gives somewhat other weights, and so other scores.
 """
 
 from __future__ import annotations
