@@ -40,9 +40,9 @@ def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, which may be not at all. A document without words counts for nothing in its source
-    and is taken or left like others; a null source is a source; repeated rows are documents of their own; ties in rank are broken by
-    the text's hash and doc_id."""
+    """Each document as often as the mix takes it, which may be not at all. A document without words is taken as often as all of its
+    source are, so not at all where the source gives less than it has; a null source is a source; repeated rows are documents of their
+    own; ties in rank are broken by a hash of doc_id and text, then by the row's place."""
     packed = docs.select("doc_id", "text", "source", F.struct("*").alias("__doc"))  # so that no column of docs gives way
     drawn = pareto_mix(packed).where("copies > 0")
     return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("__doc.*")
