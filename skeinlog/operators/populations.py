@@ -57,6 +57,13 @@ def all_resolved(buckets: DataFrame) -> DataFrame:
     return buckets.agg((F.coalesce(F.bool_and("resolved"), F.lit(False))).alias("resolved"), F.count_if(~F.col("resolved")).alias("open"))
 
 
+def cutover(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, before, after): buckets whose numbers of rows differ between two tables; one that lacks counts 0, rows without key don't."""
+    side = lambda df, a, b: df.where(F.col(key).isNotNull()).select(key, F.lit(a).alias("b"), F.lit(b).alias("a"))
+    n = side(before, 1, 0).unionByName(side(after, 0, 1)).groupBy(key).agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
+    return n.where("before <> after")
+
+
 def stripped(members: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members without sessions of gaps(session_id), whose transcripts are gone, and (bucket, session_id, note) of those that went."""
     gone = gaps.select("session_id").distinct()

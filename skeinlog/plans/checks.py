@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinlog.functions import schema
-from skeinlog.operators import populations, ranks, redact, tier1, trees
+from skeinlog.operators import evals, populations, ranks, redact, tier1, trees
 from skeinlog.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -205,6 +205,26 @@ e as (select substr(sha256(path), 1, 2) as part, sha256(string_agg(path || chr(0
 select path, digest, files::bigint as files from n union all select path, digest, files::bigint from r union all select '', sha256(string_agg(digest, '' order by part)), sum(n)::bigint from e"""
 
 
+def contested_reasons(spark, d):
+    """Orders as sessions, their lines as repeats, with quotes from the order's priority."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    outcome = F.when(k % 5 == 0, "fully_achieved").when((k % 7 == 0) & (n == 1), "unclear").when(n % 2 == 0, "mostly_achieved").otherwise(F.when(k % 3 == 0, "partially_achieved").otherwise("mostly_achieved"))
+    kinds = F.when(k % 4 == 1, F.array(F.lit("buggy_code"))).when((k % 4 == 2) & (n > 2), F.array(F.lit("incomplete"), F.lit("incomplete")))
+    r = table(spark, d, "lineitem").select(k.alias("session_id"), n.alias("repeat"), outcome.alias("outcome"), kinds.alias("types"), F.when(k % 11 == 0, F.array(F.lit("HIGH"), F.lit(""))).alias("quotes"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), (F.col("o_orderkey") % 2).alias("friction"), F.concat_ws(" ", "o_orderpriority", F.when(F.col("o_orderkey") % 22 == 0, F.col("o_orderpriority"))).alias("all_text"))
+    return evals.contested(r, o).groupBy(F.array_join("reasons", "|").alias("reasons")).agg(F.count("*").alias("n"), F.sum("session_id").alias("keys"))
+
+
+SQL["contested_reasons"] = """
+with r as (select l_orderkey as k, case when l_orderkey % 5 = 0 then 'f' when l_orderkey % 7 = 0 and l_linenumber = 1 then 'u' when l_linenumber % 2 = 0 or l_orderkey % 3 <> 0 then 'm' else 'p' end as o,
+  case when l_orderkey % 4 = 1 then 1 when l_orderkey % 4 = 2 and l_linenumber > 2 then 2 else 0 end as n from lineitem),
+b as (select k, count(distinct o) > 1 or count(distinct n) > 1 as dis, bool_or(o = 'u') or (bool_or(o = 'm') and bool_or(o = 'p')) as edge, max(n) as most, count(*) filter (where n = 0) as zero, count(*) as c from r group by 1),
+x as (select o_orderkey as k, concat_ws('|', case when dis then 'run-to-run disagreement' end, case when edge then 'borderline outcome' end,
+  case when b.k is not null and o_orderkey % 22 = 0 and o_orderpriority like '%HIGH%' then 'fabrication-pressure quote' end, case when o_orderkey % 2 = 0 and most > 0 then 'false-friction candidate' end,
+  case when o_orderkey % 2 = 1 and zero >= (c + 1) // 2 then 'recall candidate' end) as reasons from orders left join b on b.k = o_orderkey)
+select reasons, count(*) as n, sum(k)::bigint as keys from x group by 1"""
+
+
 def nearest_ranks(spark, d):
     """The ninth tenth of prices for each supplier, found by cells; no supplier's prices meet in one buffer."""
     return ranks.nearest_rank(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", 0.9).select("l_suppkey", "n", F.col("l_extendedprice").alias("p90"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinlog.functions import text as T
-from skeinlog.operators import evals, select, signals, similarity, verify
+from skeinlog.operators import evals, repos, select, signals, similarity, verify
 from skeinlog.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -413,7 +413,7 @@ def session_to_root(spark, d):
     """Which of the configured roots a page's path begins with, at a component's boundary; the first in their order."""
     roots = ["/en", "/fr", "/de", "/es", "/e"]
     path = F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1)
-    hit = F.coalesce(*[F.when((path == r) | path.startswith(r + "/"), F.lit(r)) for r in roots], F.lit("unavailable"))
+    hit = F.coalesce(repos.root_of(path, roots), F.lit("unavailable"))
     return table(spark, d, "pages").groupBy(hit.alias("root")).agg(F.count("*").alias("n"))
 
 

@@ -10,6 +10,7 @@ from skeinlog.functions import classify as K
 from skeinlog.functions import text as T
 from skeinlog.operators import directives, evals, select, signals
 from skeinlog.sources.tables import table
+from skeinlog.streaming import incremental
 
 NOW = "2024-02-01 00:00:00"  # a fixed now, so that results don't depend on the day
 SQL: dict[str, str] = {}
@@ -260,14 +261,13 @@ select event_type, event_id, age from (select event_type, event_id, row_number()
 
 
 def incremental_plan_counts(spark, d):
-    e = table(spark, d, "events")
-    refs = e.groupBy("user_id").agg(F.max("ts").alias("mtime"), F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("stamp"), F.max(F.when(F.col("event_type") == "error", F.col("ts"))).alias("gated"))
-    now = F.lit(NOW).cast("timestamp_ntz")
-    kind = (
-        F.when(F.col("user_id") % 17 == 0, "meta").when(F.col("stamp") >= F.col("mtime"), "incremental").when(F.col("gated") >= F.col("mtime"), "gate")
-        .when(F.col("mtime") > now - F.expr("interval 12 hours"), "quiet").otherwise("process")
-    )
-    return refs.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+    """Users as sessions: the last event is a file's time, a purchase an analysis, an error a gate."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    folder = F.when(F.col("user_id") % 17 == 0, "insights-x").otherwise("p").alias("project_dir")
+    last = lambda kind: e.where(F.col("event_type") == kind).groupBy("session_id").agg(F.max("ts").alias("mtime"))
+    refs = e.groupBy("session_id", folder).agg(F.max("ts").alias("mtime"))
+    ledger = last("error").select("session_id", "mtime", F.lit("gated").alias("outcome"), F.lit(5).alias("threshold"), F.lit(1).cast("long").alias("seq"))
+    return incremental.plan(refs, last("purchase"), ledger, NOW, 5, 12 * 3600).groupBy("class").agg(F.count("*").alias("n"))
 
 
 SQL["incremental_plan_counts"] = f"""
@@ -315,9 +315,7 @@ select n.user_id, n.repeats, round(coalesce(p.m, 1), 9) as mean_jaccard, h.churn
 
 
 def two_class_jump(spark, d):
-    rank = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "signup", 3).when(F.col("event_type") == "purchase", 4)
-    e = table(spark, d, "events").groupBy("user_id").agg(F.max(rank).alias("hi"), F.min(rank).alias("lo"), F.count_if(rank.isNull()).alias("unclear"))
-    return e.select("user_id", (F.col("hi") - F.col("lo") >= 2).alias("jump"), "unclear")
+    return evals.two_class_jump(table(spark, d, "events"), "user_id", "event_type", ("view", "click", "signup", "purchase"))
 
 
 SQL["two_class_jump"] = """

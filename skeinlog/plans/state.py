@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinlog.functions import text as T
-from skeinlog.operators import repos, stores, verify
+from skeinlog.operators import populations, repos, stores, verify
 from skeinlog.sources import state
 from skeinlog.sources.tables import table
 
@@ -106,10 +106,7 @@ SQL["namespaced_ids"] = "select 'r' || p_size || '/' || p_partkey as id, 'r' ||
 def cutover_diff(spark, d):
     """Suppliers whose counts differ between the lines of early and of late orders."""
     li = table(spark, d, "lineitem")
-    one = li.where("l_linenumber <= 2").groupBy("l_suppkey").agg(F.count("*").alias("before"))
-    two = li.where("l_linenumber between 3 and 4").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("after"))
-    j = one.join(two, F.col("l_suppkey") == F.col("k"), "full").select(F.coalesce("l_suppkey", "k").alias("l_suppkey"), F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
-    return j.where("before <> after")
+    return populations.cutover(li.where("l_linenumber <= 2"), li.where("l_linenumber between 3 and 4"), "l_suppkey")
 
 
 SQL["cutover_diff"] = """
