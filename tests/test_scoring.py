@@ -63,7 +63,8 @@ def test_statuses_and_empty_samples(spark):
     r = spark.createDataFrame(rubrics, RUBRIC)
     none = scoring.sample_outcomes(scoring.repeat_outcomes(scoring.judged(spark.createDataFrame([], MATCH), spark.createDataFrame([], ITEM), r), empty))
     got = {v.target: (v.level, v.passes, v.meets, v.hard_fail) for v in scoring.target_verdicts(r, none).collect()}
-    assert got == {"high": (0, False, False, True), "low": (0, False, False, False), "part": (0, False, False, True), "gap": (0, False, True, False), "again": (0, False, True, False), "off": (0, False, False, False)}
+    assert got == {"high": (0, False, False, True), "low": (0, False, False, False), "part": (0, False, False, True), "gap": (0, False, True, False), "again": (0, False, True, False)}
+    assert [t.target for t in scoring.invalidated(r).collect()] == ["off"]  # left out of verdicts and rates
 
 
 def test_first_pass_without_anchors_waits(spark):
