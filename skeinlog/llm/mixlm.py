@@ -4,9 +4,9 @@ A text is a sequence of binary decisions, and its score is the sum of their loga
 
 - Its symbols are spelt by a Huffman code: a frequent word, the class of another known word (a hash of its last two bytes), or a new
   word. Before each bit several predictors, each a table of counts addressed by its context and by the place in the code, give the
-  logarithm of the odds. The words' four contexts are few enough for plain addresses (none, the symbol before, two of frequent words
-  and suffix classes); only the bytes of new words have hashed ones. A gate, chosen by the depth in the code and by how sure two predictors are, selects the weights
-  that add them up. Weights and an offset move along each text, from its first tokens on.
+  logarithm of the odds. Contexts are addressed by a hash (of the two symbols before; of one to four bytes of a new word), or plainly
+  where they are few (none, the symbol before, two of frequent words and suffix classes). A gate, chosen by the depth in the code and by
+  how sure two predictors are, selects the weights that add them up. Weights and an offset move along each text, from its first tokens on.
 - Inside of a class, a word has its exact share of the class's count. A new word is spelt in bytes, by predictors of its own.
 - Before each word, a decision says whether it comes from what has followed the word before it, with its exact share there.
 - Before each segment, a decision says whether the whole segment repeats one that has followed the same four words. Segments begin
@@ -44,6 +44,7 @@ from skeinlog.llm.common import bounded_batches, crc_mod, drop, stored, table, t
 TOP = 511  # words with a symbol of their own, at most
 CLASSES = 255  # of the other words
 FEW = 32  # words that stand for the language or the manner of a text
+PAIRS = 2048  # rows of the table whose context is a hash of two symbols
 ORDERS = (1, 2, 3, 4)  # of the bytes' contexts
 BYTE_BITS = (18, 18, 20, 20)  # of the addresses of the bytes' tables
 END_OF_WORD = 256
@@ -179,9 +180,9 @@ class Model:
         few = min(FEW, len(words)) + 1
         ends = classes(b"\n".join(words)) if words else np.empty(0, np.int64)
         self.suffix = np.concatenate((ends % 32, np.arange(CLASSES) % 32, (32, 32)))  # of each symbol; of a new word, and of none, 32
-        self.few, self.rows = few, (1, self.new + 2, few * 33, few * few)
+        self.few, self.rows = few, (1, self.new + 2, few * 33, PAIRS, few * few)
         self.tables: list[list[np.ndarray]] = [[], []]  # log odds; while weights learn, those without a zero and without a one, by turns
-        tree = np.array([0.1, 0.3, 0.3, 0.3, 0.0])
+        tree = np.array([0.1, 0.3, 0.2, 0.2, 0.2, 0.0])
         self.weights = [np.tile(tree, (GATES, 1)), np.tile([0.1, 0.2, 0.4, 0.3, 0.0], (GATES, 1)), np.tile([0.1, 0.0, -1.0], (LEVELS, 1)), np.tile([0.3, 0.5, 0.0], (LEVELS, 1))]
 
 
@@ -327,15 +328,16 @@ class Symbols:
 
     def contexts(self, model: Model) -> list[np.ndarray]:
         """The row of each token in the tables of each predictor: none; the symbol before; the last of the few most frequent words, and
-        the end of the word before; the last two of the few."""
+        the end of the word before; a hash of the two symbols before; the last two of the few."""
         sym, place, few = self.sym, self.place, model.few
-        one, n = _before(sym, place, 1, model.new + 1), len(sym)
+        one, two, n = _before(sym, place, 1, model.new + 1), _before(sym, place, 2, model.new + 1), len(sym)
         at = np.maximum.accumulate(np.where(sym < few - 1, np.arange(n), -1))
         last = _before(at, place, 1, -1)
         last[last < np.repeat(self.first, self.size)] = -1
         f1 = np.where(last >= 0, sym[last], few - 1)
         f2 = np.where(last >= 0, f1[last], few - 1)
-        return [np.zeros(n, np.int64), one, f1 * 33 + model.suffix[one], f1 * few + f2]
+        both = _mix((one * (model.new + 2) + two).astype(np.uint64)) % np.uint64(PAIRS)
+        return [np.zeros(n, np.int64), one, f1 * 33 + model.suffix[one], both.astype(np.int64), f1 * few + f2]
 
 
 class Ready(Symbols):
@@ -403,10 +405,10 @@ class Learner:
 
     def step(self, part: int, gate: np.ndarray, x: np.ndarray, e: np.ndarray, v: np.ndarray) -> None:
         """x: inputs and a one, a row for each of them; e: what came less the probability of a one; v: curvature. The curvature, by which
-        steps are scaled, is that of every 16th decision, times 16."""
-        w, few, n = self.weights[part], slice(None, None, 16), len(x)
+        steps are scaled, is that of every fourth decision, times four."""
+        w, few, n = self.weights[part], slice(None, None, 4), len(x)
         slope = np.stack([np.bincount(gate, e * row, len(w)) for row in x], axis=1)
-        rows, some, scaled = x[:, few], gate[few], 16 * v[few]
+        rows, some, scaled = x[:, few], gate[few], 4 * v[few]
         for i in range(n):
             one = scaled * rows[i]
             for j in range(i, n):

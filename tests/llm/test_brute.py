@@ -258,7 +258,8 @@ def plain_scores(texts, learn, model):
             one = syms[-1] if t else none
             f = [*few[::-1], model.few - 1, model.few - 1][:2]
             suffix = int(mixlm.classes(d[t - 1])[0]) % 32 if t and syms[-1] != model.new else 32
-            rows = [0, one, f[0] * 33 + suffix, f[0] * model.few + f[1]]
+            two = mix(one * (model.new + 2) + (syms[-2] if t > 1 else none)) % mixlm.PAIRS
+            rows = [0, one, f[0] * 33 + suffix, two, f[0] * model.few + f[1]]
             lp = 0.0
             for k in range(model.code.start[s], model.code.start[s + 1]):
                 x = [float(tab[r * (model.code.n - 1) + model.code.nodes[k]]) for tab, r in zip(model.tables[0], rows, strict=True)]
