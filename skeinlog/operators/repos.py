@@ -29,9 +29,9 @@ def root_of(cwd: Column, roots: Sequence[str]) -> Column:
 
 
 def relative_file(path: Column) -> Column:
-    """A file within its worktree; a home folder is named by ~."""
+    """A file within its worktree; one below a home folder is redacted, as its path names a person."""
     inner = F.regexp_extract(path, r"/\.worktrees/[^/]+/(.+)$", 1)
-    return F.when(inner != "", inner).otherwise(F.regexp_replace(path, r"^/(Users|home)/[^/]+", "~"))
+    return F.when(inner != "", inner).when(path.startswith("/Users/") | path.startswith("/home/"), "[redacted]").otherwise(path)
 
 
 def split_id(c: Column) -> tuple[Column, Column]:

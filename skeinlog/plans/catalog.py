@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinlog.plans import checks, evidence, lines, scoring, sessions, state
+from skeinlog.plans import checks, evidence, lines, scoring, sessions, state, synthesis
 
-MODULES = (sessions, evidence, state, scoring, lines, checks)
+MODULES = (sessions, evidence, state, scoring, lines, checks, synthesis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,14 +23,21 @@ from pyspark.sql.types import StructType
 
 from skeinlog.functions.classify import substantial
 from skeinlog.operators import judge, keyed
-from skeinlog.operators.facts import session_facts
+from skeinlog.operators.facts import corpora, session_facts
 from skeinlog.operators.reduce import reduced
+from skeinlog.operators.scoring import valid_quotes
 from skeinlog.sources import transcripts
 from skeinlog.sources.state import exists
 
 REFS = "session_id string, path string, project_dir string, mtime timestamp, bytes bigint"
 OUTCOMES = "session_id string, mtime timestamp, outcome string, threshold int, error string"
 DUE = "session_id string, path string, project_dir string, mtime timestamp"
+#: What an analysis keeps of what was judged, and of the session's facts.
+JUDGED = tuple(c for c in judge.FIELDS if c != "error")
+FACTS = (
+    "project_dir", "cwd", "start", "assistant_turns", "user_turns", "interrupts", "rejections", "tool_errors", "skills", "tool_counts",
+    "mechanical_friction", "mechanical_exemplars", "other_error_signatures", "directive_clauses",
+)
 #: A row that is in each step's log, so that timers are looked at even if nothing has changed.
 TICK = ""
 STATE = "path string, project_dir string, mtime bigint, stamp bigint, gated bigint, threshold int, failures int, timer bigint"
@@ -114,6 +121,21 @@ def ledger(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(OUTCOMES).parquet(f"{store}/ledger/*").withColumn("seq", F.expr(BATCH))
 
 
+def quoted(analyses: DataFrame, decoded: DataFrame) -> DataFrame:
+    """analyses whose quotes are held against what was said: a friction's that isn't there is cleared and flagged in quote_unverified, a
+    preference without a quote of the user's own goes. Only sessions with a friction or a preference have their texts looked up."""
+    some = analyses.where("size(friction) > 0 or size(preferences) > 0").select("session_id")
+    said = corpora(decoded.join(some, "session_id", "left_semi"))
+    out = analyses.drop("friction", "preferences")
+    kinds = (("friction", False, ("type", "one_line", "quote", "file", "quote_unverified")), ("preferences", True, ("rule", "quote")))
+    for name, preference, fields in kinds:
+        rows = analyses.select("session_id", F.posexplode(name).alias("pos", "i")).select("session_id", "pos", "i.*")
+        entry = F.struct("pos", F.struct(*fields).alias("i"))
+        rows = valid_quotes(rows, said, preference).groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["i"]).alias(name))
+        out = out.join(rows, "session_id", "left")
+    return out.withColumns({name: F.coalesce(name, F.array().cast(out.schema[name].dataType)) for name, _, _ in kinds})
+
+
 def analysed(due: DataFrame, pool: str, options: Options, client: Callable[[pd.Series], list[dict]] = judge.by_rule) -> DataFrame:
     """Decodes due sessions, gates them, has the substantial ones judged and merges their analyses into the pool. Returns OUTCOMES.
 
@@ -133,9 +155,9 @@ def analysed(due: DataFrame, pool: str, options: Options, client: Callable[[pd.S
     done = enough.drop("__enough", "path").withColumnRenamed("mtime", "transcript_mtime").join(said, "session_id", "left")
     done = done.withColumn("error", F.when(F.col("outcome").isNull(), F.coalesce("error", F.lit("no answer"))))
     kept = f"{pool}/tries"
-    done.select("session_id", "transcript_mtime", "error", "session_type", "outcome", "brief_summary", "project_dir", "cwd", "assistant_turns", "user_turns", "interrupts", "rejections", "tool_errors").write.mode("overwrite").parquet(kept)
+    done.select("session_id", "transcript_mtime", "error", *JUDGED, *FACTS).write.mode("overwrite").parquet(kept)
     done = spark.read.parquet(kept)  # judged once
-    keyed.merge(done.where("error is null").drop("error"), f"{pool}/analyses", "session_id", "transcript_mtime")
+    keyed.merge(quoted(done.where("error is null").drop("error"), decoded), f"{pool}/analyses", "session_id", "transcript_mtime")
     judged = done.select("session_id", F.col("transcript_mtime").alias("mtime"), F.when(F.col("error").isNull(), "analysed").otherwise("errored").alias("outcome"), "error")
     gated = facts.where("not __enough").select("session_id", "mtime", F.lit("gated").alias("outcome"), F.lit(None).cast("string").alias("error"))
     return judged.unionByName(gated).withColumn("threshold", F.lit(options.threshold)).select(*StructType.fromDDL(OUTCOMES).names)
