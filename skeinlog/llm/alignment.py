@@ -33,8 +33,9 @@ TOGETHER = 1 << 21
 KNOWN = 1 << 17
 #: At most so many pairs, the most frequent ones, are broadcast with their counts (17 bytes each).
 PAIRS = 1 << 20
-#: From a space that follows another character than white space up to the next such space.
-CHUNK = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
+#: From a space that follows another character than white space up to the next such space; a text's single last space isn't cut off, since
+#: B, which adds a chunk's first space, has no ids for an empty rest.
+CHUNK = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*(?: \Z)?")
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 DOC = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, a array<int>, b array<int>, times array<int>"
 
@@ -63,7 +64,8 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
-        self.a_name, self.b_name = ([str(i) for i in range(len(v))] for v in (self.a_bytes, self.b_bytes))
+        # a token's id with what follows it: A's within a side and at its end, then B's
+        self.names = [f"{i}{end}" for v, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(v))]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece has a space after another character: chunks aren't encoded on their own")
 
@@ -116,12 +118,11 @@ class Aligned:
         a_chunk, b_chunk = np.repeat(np.arange(n), self.n_a), np.repeat(np.arange(n), self.n_b)
         self.n_groups = np.bincount(b_chunk[border], minlength=n)
         self.n_links = np.bincount(a_chunk, many, n).astype(np.int64)
-        # a1,a2|b1;a3|b2,b3: each token's id with what follows it
+        # a1,a2|b1;a3|b2,b3
         a_last, b_last = np.append(a_group[1:] != a_group[:-1], True), border
-        said = [pair.a_name[x] + ("|" if e else ",") for x, e in zip(a_id.tolist(), a_last.tolist(), strict=True)]
-        said += [pair.b_name[x] + (";" if e else ",") for x, e in zip(b_id.tolist(), b_last.tolist(), strict=True)]
+        named = np.concatenate([a_id + a_last * len(pair.a_size), 2 * len(pair.a_size) + b_id + b_last * len(pair.b_size)])
         order = np.argsort(np.concatenate([a_group * 2, b_group * 2 + 1]), kind="stable")
-        said = [said[i] for i in order.tolist()]
+        said = list(map(pair.names.__getitem__, named[order].tolist()))
         ends = np.cumsum(self.n_a + self.n_b).tolist()
         self.groups = ["".join(said[i:j])[:-1] for i, j in zip([0, *ends], ends, strict=False)]
 
@@ -152,23 +153,21 @@ def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
 def align(pair: Pair, texts: list[str | None]) -> list[pa.Array]:
     """The columns of DOC for each text."""
     chunks = [CHUNK.findall(" " + t) if t else [] for t in texts]
-    index: dict[str, int] = {}
-    where = [[index.setdefault(c, len(index)) for c in cs] for cs in chunks]
+    size, said = np.fromiter(map(len, chunks), np.int64, len(chunks)), list(chain.from_iterable(chunks))
+    index = {c: i for i, c in enumerate(dict.fromkeys(said))}
     got = Aligned(pair, list(index))
-    for i, w in enumerate(where):
-        if not got.sound[w].all():
-            where[i] = []
-    size = np.fromiter(map(len, where), np.int64, len(where))
-    flat = np.fromiter(chain.from_iterable(where), np.int64, size.sum())
-    doc = np.repeat(np.arange(len(where)), size)
-    numbers = [np.bincount(doc, getattr(got, c)[flat], len(where)).astype(np.int64) for c in NUMBERS]
-    digest = [hashlib.sha256(";".join([got.groups[k] for k in w]).encode()).hexdigest() if w else "" for w in where]
+    flat, doc = np.fromiter(map(index.__getitem__, said), np.int64, len(said)), np.repeat(np.arange(len(chunks)), size)
+    lost = np.bincount(doc[~got.sound[flat]], minlength=len(chunks)) > 0
+    flat, doc, size = flat[~lost[doc]], doc[~lost[doc]], np.where(lost, 0, size)
+    numbers = [np.bincount(doc, getattr(got, c)[flat], len(chunks)).astype(np.int64) for c in NUMBERS]
+    groups, ends = list(map(got.groups.__getitem__, flat.tolist())), np.cumsum(size).tolist()
+    digest = [hashlib.sha256(";".join(groups[i:j]).encode()).hexdigest() if i < j else "" for i, j in zip([0, *ends], ends, strict=False)]
     # each document's distinct pairs, and how often it has them
     both, pair_no = np.unique(got.a << 32 | got.b, return_inverse=True)
     at = _flat((np.cumsum(got.n_links) - got.n_links)[flat], got.n_links[flat])
     keys, times = np.unique(np.repeat(doc, got.n_links[flat]) * max(1, len(both)) + pair_no[at], return_counts=True)
     of, which = np.divmod(keys, max(1, len(both)))
-    each, found = np.bincount(of, minlength=len(where)), both[which]
+    each, found = np.bincount(of, minlength=len(chunks)), both[which]
     return [*map(pa.array, numbers), pa.array(digest, pa.string()), _lists(found >> 32, each), _lists(found & (1 << 32) - 1, each), _lists(times, each)]
 
 

@@ -87,3 +87,11 @@ def test_index():
     a, b = np.array([2, 5, 9, 10]), np.array([1, 2, 3, 7, 10])
     first, after, border = alignment.overlaps(a, b)
     assert list(zip(first, after, strict=True)) == [(0, 2), (2, 4), (3, 5), (4, 5)] and border.tolist() == [False, True, False, False, True]
+
+
+@pytest.mark.parametrize("end", [" ", "  ", "\n ", "\t", " \n"])
+def test_white_space_at_the_end(pair, end):
+    texts = [f"a word{end}", f"x.{end}", end, f"a word{end}y"]
+    want, _ = plain(pair, list(enumerate(texts)))
+    got = zip(*[c.to_pylist() for c in alignment.align(pair, texts)[:5]], strict=True)
+    assert list(got) == [(*w[1:5], w[7]) for w in want] and all(w[1] for w in want)
