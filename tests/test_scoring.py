@@ -201,3 +201,21 @@ def test_signals(spark):
     assert {k: (v.id, v.magnitude) for k, v in got.items()} == {"high_read": ("G1", 4), "unskilled_toil": ("G2", 3), "mechanical_friction": ("G3", 3), "retyped_kickoffs": ("G4", 3)}
     assert got["high_read"].sessions == ["s3", "s2", "s1", "s0"]  # by start
     assert got["mechanical_friction"].detail == ["wrong_cwd — at 2", "residual signatures: z; e0; e1"] and got["retyped_kickoffs"].detail == ["Please run"]
+
+
+def test_counted_sides_are_those_listed(spark):
+    from pyspark.sql import functions as F
+
+    items = [(s, f"i{k:02}", f"text {k}", [("a", "b", "z")[k % 3]], k % 4 == 0, None) for s in range(2) for k in range(24)]
+    matches = [(t, s, r, f"i{k:02}", 1 + (k + r) % 3, [True, k % 5 > 0], [0] if k == 7 and r else []) for t in ("t", "u") for s in range(2) for r in range(2) for k in range(24) if (k + s) % 2]
+    r, m, i = spark.createDataFrame([rubric("t"), rubric("u", anchors=()), rubric("none")], RUBRIC), spark.createDataFrame(matches, MATCH), spark.createDataFrame(items, ITEM)
+    grid = spark.createDataFrame([(t, s, k) for t in ("t", "u", "none") for s in range(2) for k in range(2)], GRID)
+    judged = scoring.judged(m, i, r)
+    full, bare = scoring.repeat_outcomes(judged, grid), scoring.repeat_outcomes(judged, grid, listed=False)
+    assert "sides" not in bare.columns and full.where(F.size("sides") != F.col("n_sides")).count() == 0 and full.where("n_sides > 2").count() > 0
+    plain = lambda df: sorted(map(str, df.drop("sides").collect()))
+    assert plain(full) == plain(bare)
+    a, b = (scoring.target_verdicts(r, scoring.sample_outcomes(x)) for x in (full, bare))
+    assert plain(a.drop("triggers")) == plain(b.drop("triggers"))
+    mine = lambda df: {(x.target, t["type"]) for x in df.collect() for t in x.triggers}
+    assert {x for x in mine(a) if x[1] not in ("dropped", "anchor_mismatch")} == mine(b)
