@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinlog.operators.signals import density
-from skeinlog.operators.similarity import clusters, similar_pairs
+from skeinlog.operators.similarity import _saved, clusters, similar_pairs
 
 # Named modes, kinds of signal in their order, floors and bars.
 NAMED_MODES = ("edit_before_read", "wrong_cwd", "permission", "symlink_edit")
@@ -55,7 +55,7 @@ def retyping(clauses: DataFrame, bar: float = RETYPED, least: int = FLOOR) -> tu
     Equal norms are one form; forms whose token multisets are similar are linked, and links join to clusters (single link). Returns
     clusters (repo, cluster, rep, exemplar, occurrences, first, sessions, kickoff) of `least` sessions or more, rep being the most
     frequent form (of equal ones the least), and their members (repo, cluster, session_id)."""
-    c = clauses.withColumn("id", F.concat_ws("\0", "repo", "norm"))
+    c = _saved(clauses.withColumn("id", F.concat_ws("\0", "repo", "norm")))  # read three times
     forms = c.groupBy("id", "repo", "norm").agg(F.sum("n").alias("n"), F.sum("first_turn").alias("first"), F.min_by("exemplar", F.struct("start", "session_id")).alias("exemplar"))
     joined = clusters(similar_pairs(forms, "id", "norm", bar, within="repo")).withColumnRenamed("cluster", "c")
     forms = forms.join(joined, "id", "left").withColumn("cluster", F.coalesce("c", "id")).drop("c")

@@ -202,3 +202,22 @@ def test_curate_is_one_pass(spark):
     got = select.curate(rows, "id", cells, [F.col("id").desc()])
     assert [tuple(r) for r in got.collect()][:4] == [(39, "outlier"), (0, "c0"), (7, "c0"), (1, "c1")]
     assert [r.id for r in got.collect()][-3:] == [6, 13, 14] and got.count() == 16
+
+
+@pytest.mark.parametrize("short", [0, 3, 64])
+def test_similar_pairs_of_short_and_long_texts(spark, monkeypatch, short):
+    from collections import Counter
+
+    from skeinlog.operators import similarity
+
+    monkeypatch.setattr(similarity, "SHORT", short)
+    rows = [(f"k{i:02}", i % 2, " ".join(["a b", "a a b", "b c d e", "a b c d", "c", "a a a b c d e"][j] for j in {i % 6, i * 5 % 6})) for i in range(30)]
+    bag = {k: (w, Counter(t.split())) for k, w, t in rows}
+    want = set()
+    for x, (v, p) in bag.items():
+        for y, (w, q) in bag.items():
+            inter = (p & q).total()
+            if x < y and v == w and 5 * inter >= 3 * (p.total() + q.total() - inter):
+                want.add((x, y, inter, p.total(), q.total()))
+    got = similarity.similar_pairs(spark.createDataFrame(rows, "k string, w int, t string"), "k", "t", 0.6, within="w").collect()
+    assert want and len(got) == len(want) and {tuple(r) for r in got} == want
