@@ -48,16 +48,18 @@ def floored(analyses: DataFrame, least: int) -> DataFrame:
 
 def items(analyses: DataFrame) -> DataFrame:
     """The evidence F, P and S of analyses(repo, session_id, start, outcome, session_type, underlying_goal, brief_summary, friction,
-    preferences), numbered by start, then session, then place in the session. Null or empty lists have no items."""
-    who = ("repo", "session_id", "start")
+    preferences), numbered by start, then session, then place in the session. Null or empty lists have no items. analyses are read twice,
+    since rows are dealt by ranges; so they should be a table."""
     none = F.lit(None).cast("string")
-    f = analyses.select(*who, F.posexplode("friction").alias("pos", "i"))
-    f = f.select(*who, "pos", F.lit("F").alias("kind"), F.col("i.type").alias("label"), F.col("i.one_line").alias("text"), F.col("i.quote").alias("quote"), relative_file(F.col("i.file")).alias("file"))
-    p = analyses.select(*who, F.posexplode("preferences").alias("pos", "i"))
-    p = p.select(*who, "pos", F.lit("P").alias("kind"), none.alias("label"), F.col("i.rule").alias("text"), F.col("i.quote").alias("quote"), none.alias("file"))
-    s = analyses.where(F.col("outcome").isin(*ACHIEVED))
-    s = s.select(*who, F.lit(0).alias("pos"), F.lit("S").alias("kind"), F.col("session_type").alias("label"), F.concat_ws(" — ", F.nullif("underlying_goal", F.lit("")), F.nullif("brief_summary", F.lit(""))).alias("text"), none.alias("quote"), none.alias("file"))
-    rows = placed(f.unionByName(p).unionByName(s), ("repo", "kind"), ("start", "session_id", "pos"))
+    item = "struct<pos:int,kind:string,label:string,text:string,quote:string,file:string>"
+    row = lambda *cells: F.struct(*[c.alias(n) for c, n in zip(cells, ("pos", "kind", "label", "text", "quote", "file"), strict=True)]).cast(item)
+    listed = lambda name, of: F.coalesce(F.transform(name, of), F.array().cast(f"array<{item}>"))
+    f = listed("friction", lambda i, pos: row(pos, F.lit("F"), i["type"], i["one_line"], i["quote"], i["file"]))
+    p = listed("preferences", lambda i, pos: row(pos, F.lit("P"), none, i["rule"], i["quote"], none))
+    done = row(F.lit(0), F.lit("S"), F.col("session_type"), F.concat_ws(" — ", F.nullif("underlying_goal", F.lit("")), F.nullif("brief_summary", F.lit(""))), none, none)
+    s = F.when(F.col("outcome").isin(*ACHIEVED), F.array(done)).otherwise(F.array().cast(f"array<{item}>"))
+    rows = analyses.select("repo", "session_id", "start", F.inline(F.concat(f, p, s)))
+    rows = placed(rows.withColumn("file", relative_file(F.col("file"))), ("repo", "kind"), ("start", "session_id", "pos"))
     pool = F.when(F.coalesce("quote", F.lit("")) != "", F.array("quote")).otherwise(F.array().cast("array<string>"))
     return rows.withColumns({"id": F.concat("repo", F.lit("/"), "kind", F.col("n").cast("string")), "signal_kind": none, "session_ids": F.array("session_id"), "quote_pool": pool}).select(*_COLUMNS)
 

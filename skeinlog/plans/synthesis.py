@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from skeinlog.operators import bundles, synthesis
+from skeinlog.operators.similarity import _saved
 from skeinlog.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -39,9 +40,14 @@ i as (
     select repo, 'S', o_orderkey, o_orderpriority, 'order ' || o_orderkey, false, null, row_number() over (partition by repo order by o_orderdate, o_orderkey) from a where o_orderstatus = 'F')"""
 
 
+def _analysed(spark, d):
+    """Analyses as a table, as in a store, of the repositories that have three."""
+    return bundles.floored(_saved(analyses(spark, d)), 3)
+
+
 def bundle_items(spark, d):
     """All evidence of all repositories under its ids."""
-    got = bundles.items(bundles.floored(analyses(spark, d), 3))
+    got = bundles.items(_analysed(spark, d))
     return got.select("repo", "id", "label", "text", F.size("quote_pool").alias("quotes"), F.col("session_ids")[0].alias("session_id"))
 
 
@@ -52,7 +58,7 @@ select repo, repo || '/' || kind || n as id, label, text, quoted::int as quotes,
 
 def bundle_headers(spark, d):
     """What a run would feed the synthesizer, and in how many bytes."""
-    a = bundles.floored(analyses(spark, d), 3).withColumn("session_id", F.col("session_id").cast("string"))
+    a = _analysed(spark, d).withColumn("session_id", F.col("session_id").cast("string"))
     return bundles.headers(a, bundles.items(a))
 
 
@@ -66,8 +72,8 @@ select repo, sessions, from_day, to_day, coalesce(friction, 0) as friction, coal
 
 def synthesis_findings(spark, d):
     """The stand-in's findings over all repositories, verified and counted anew from what they cite."""
-    a = bundles.floored(analyses(spark, d), 3)
-    evidence = bundles.items(a)
+    a = _analysed(spark, d)
+    evidence = _saved(bundles.items(a))  # a run, too, writes what the synthesizer reads
     findings, dropped = synthesis.by_rule(evidence, bundles.headers(a, evidence))
     dates = a.select("repo", "session_id", F.date_format("start", "yyyy-MM-dd").alias("day"))
     good, _ = synthesis.verified(synthesis.shaped(findings, synthesis.FINDING), dropped, evidence, dates, spark.createDataFrame([], synthesis.ASSETS), None)
