@@ -13,6 +13,7 @@ out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -120,8 +121,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def bars(threshold: float = NUM / DEN, miss: float = MISS) -> list[int]:
-    """For each batch, the fewest agreeing hashes so far with which a candidate stays.
+@cache
+def bars(threshold: float = NUM / DEN, miss: float = MISS) -> tuple[int, ...]:
+    """For each batch, the fewest agreeing hashes so far with which a candidate stays. A worker works them out once, since blocks are many.
 
     With a flat prior on similarity s, and bytes of hashes that agree with probability s + (1 - s) / 256, the posterior after m of n
     agree is proportional to their binomial likelihood; it is summed over a grid of s."""
@@ -134,7 +136,7 @@ def bars(threshold: float = NUM / DEN, miss: float = MISS) -> list[int]:
         like = np.exp(logs - logs.max(axis=1, keepdims=True))
         post = like[:, grid >= threshold].sum(axis=1) / like.sum(axis=1)
         out.append(int(np.argmax(post >= miss)))
-    return out
+    return tuple(out)
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

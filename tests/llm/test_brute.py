@@ -107,6 +107,11 @@ def test_components(spark):
     assert {got[i] for i in range(1, 61)} == {1} and got[100] == 1 and got[201] == 200 and got[599] == 500 and 300 not in got
 
 
+def test_bars_are_worked_out_once():
+    """Blocks are many, and each asks for them."""
+    assert neardup.bars() is neardup.bars()
+
+
 def test_posterior_bars():
     from math import comb
 
