@@ -9,6 +9,7 @@ from skeinlog.functions.classify import is_interrupt, is_rejection, rejection_re
 from skeinlog.functions.text import elide, trim_ws
 from skeinlog.operators.facts import user_texts
 from skeinlog.operators.select import budgeted
+from skeinlog.operators.similarity import _saved
 from skeinlog.sources.transcripts import blocks, events
 
 # The budget in bytes, the most characters of each kind of row, and the inputs that tell what a tool was used on.
@@ -35,9 +36,10 @@ def tool_key(name: Column, given: Column) -> Column:
 
 def reduced_rows(decoded: DataFrame) -> DataFrame:
     """(session_id, line_no, block_no, priority, text): a row for each thing that was done or said. Priority 0 always stays; 2 is what the
-    assistant said, 3 what it thought, 4 which tools it used. A line's own text comes after its results of tools."""
+    assistant said, 3 what it thought, 4 which tools it used. A line's own text comes after its results of tools. Blocks are kept as a
+    table, so that lines are decoded once."""
     ev = events(decoded)
-    bl = blocks(ev)
+    bl = _saved(blocks(ev))
     body = F.col("body")
     error = F.when(is_interrupt(body), "[Interrupt]").when(is_rejection(body), rejected(body)).otherwise(F.concat(F.lit("[ToolError]: "), elide(body, MOST_ERROR)))
     results = bl.where("line_type = 'user' and block_type = 'tool_result'").select("session_id", "line_no", "block_no", F.lit(SPINE).alias("priority"), F.when(F.col("is_error"), error).when(is_interrupt(body), "[Interrupt]").alias("text"))

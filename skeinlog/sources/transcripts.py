@@ -64,13 +64,20 @@ def lines(spark: SparkSession, root: str | list[str]) -> DataFrame:
 
 
 def decode(raw: DataFrame) -> DataFrame:
-    """raw(session_id, line_no, raw) without blank lines and with v, the line's object; null for what isn't one."""
-    v = F.try_parse_json("raw")
-    kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")), F.lit("VOID"))
-    sound = F.schema_of_variant(v).startswith("OBJECT")
-    for f in STRINGS:  # a wrong type makes the whole line malformed; a null is as good as none
-        sound = sound & kind(f).isin("STRING", "VOID")
-    return raw.where(F.trim("raw") != "").select("session_id", F.col("line_no").cast("long").alias("line_no"), "raw", F.when(sound, v).alias("v"))
+    """raw(session_id, line_no, raw) without blank lines and with v, the line's object; null for what isn't one.
+
+    A line is parsed once: its checks are in a lambda, whose argument is a value, and a generator hands v on, which no filter on v goes
+    below. As a plain column the parsing is repeated for every check, and all of them for each filter."""
+
+    def object_of(v: Column) -> Column:
+        kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")), F.lit("VOID"))
+        sound = F.schema_of_variant(v).startswith("OBJECT")
+        for f in STRINGS:  # a wrong type makes the whole line malformed; a null is as good as none
+            sound = sound & kind(f).isin("STRING", "VOID")
+        return F.when(sound, v)
+
+    lines = raw.where(F.trim("raw") != "").select("session_id", F.col("line_no").cast("long").alias("line_no"), "raw")
+    return lines.select("*", F.explode(F.transform(F.array(F.try_parse_json("raw")), object_of)).alias("v"))
 
 
 def _get(path: str, kind: str = "string", v: str = "v") -> Column:

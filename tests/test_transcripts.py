@@ -113,3 +113,17 @@ def test_newest_of_equal_times(spark):
     t = dt.datetime(2026, 1, 1)
     rows = [("s", f"/p/{c}", "p", t, 1) for c in "hgfedcba"] + [("s", "/p/0", "p", t - dt.timedelta(1), 1)]
     assert transcripts.newest(spark.createDataFrame(rows, "session_id string, path string, project_dir string, mtime timestamp, bytes long")).first().path == "/p/a"
+
+
+PLAN = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def raw_lines(spark):
+    return spark.createDataFrame([("s", 0, '{"type": "user", "message": {"content": "hello"}}'), ("s", 1, '{"type": 1}'), ("s", 2, " ")], "session_id string, line_no long, raw string")
+
+
+def test_lines_are_parsed_once(spark):
+    """Neither the checks of a line nor filters on what came of it may parse it again."""
+    decoded = transcripts.decode(raw_lines(spark))
+    assert PLAN(transcripts.blocks(transcripts.events(decoded))).count("parseJson") == 1
+    assert [(r.line_no, r.v is None) for r in decoded.orderBy("line_no").collect()] == [(0, False), (1, True)]
