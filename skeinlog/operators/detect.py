@@ -71,6 +71,7 @@ def retyping(clauses: DataFrame, bar: float = RETYPED, least: int = FLOOR) -> tu
 def signals(sessions: DataFrame, clauses: DataFrame) -> DataFrame:
     """(repo, id, kind, magnitude, sessions, detail): the signals of each repo with three sessions or more, G1, G2, ... in the order of
     KINDS; sessions by start. sessions: rows of session_facts with repo and session_type; clauses as in retyping."""
+    sessions = _saved(sessions)  # each kind reads them
     hit, details = mechanical(sessions)
     found, members = retyping(clauses)
     kind = F.when(F.col("kickoff"), "retyped_kickoffs").otherwise("retyped_directives")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from skeinlog.functions.classify import is_interrupt, is_rejection, is_trivial, mode_of, rejection_reason, result_class, text_class
 from skeinlog.functions.text import error_signature, fingerprint, fingerprint_text, sanitise, trim_ws
 from skeinlog.operators import directives
+from skeinlog.operators.similarity import _saved
 from skeinlog.sources.transcripts import blocks, events
 
 
@@ -37,9 +38,11 @@ def user_texts(ev: DataFrame, bl: DataFrame) -> DataFrame:
 
 
 def session_facts(decoded: DataFrame) -> DataFrame:
-    """Times are the first and last in the order of the file; tokens are of messages, cache reads are a peak; tools are of blocks."""
-    ev = events(decoded)
-    bl = blocks(ev)
+    """Times are the first and last in the order of the file; tokens are of messages, cache reads are a peak; tools are of blocks.
+
+    Events and blocks are kept as tables, since each fact reads one of them; lines are decoded once."""
+    ev = _saved(events(decoded))
+    bl = _saved(blocks(ev))
     base = ev.groupBy("session_id").agg(
         F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("line_no"))).alias("start"),
         F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("line_no"))).alias("end"),

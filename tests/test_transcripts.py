@@ -127,3 +127,8 @@ def test_lines_are_parsed_once(spark):
     decoded = transcripts.decode(raw_lines(spark))
     assert PLAN(transcripts.blocks(transcripts.events(decoded))).count("parseJson") == 1
     assert [(r.line_no, r.v is None) for r in decoded.orderBy("line_no").collect()] == [(0, False), (1, True)]
+
+
+def test_facts_read_what_is_kept(spark):
+    f = facts.session_facts(transcripts.decode(raw_lines(spark)))
+    assert PLAN(f).count("parseJson") == 0 and [r.user_turns for r in f.collect()] == [1]
