@@ -221,3 +221,15 @@ def test_similar_pairs_of_short_and_long_texts(spark, monkeypatch, short):
                 want.add((x, y, inter, p.total(), q.total()))
     got = similarity.similar_pairs(spark.createDataFrame(rows, "k string, w int, t string"), "k", "t", 0.6, within="w").collect()
     assert want and len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_quotes_with_words_inside_read_texts_once(spark):
+    """No grams of words where all quotes have words inside, and only candidates are normalised again."""
+    from skeinlog.operators import similarity
+
+    d = spark.createDataFrame([(1, "One  two\nTHREE four"), (2, "one two four"), (3, ""), (4, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "two three  four"), (8, "one two four"), (9, "one three four")], "item_id long, text string")
+    got = similarity.quoted(d, q, text.fingerprint_text)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("regexp_replace") == 1
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 7), (2, 8)]
