@@ -366,6 +366,61 @@ def test_op5_packed_arrays():
     assert mixlm._small(np.array([2**33])).tolist() == [2**33]  # counts beyond 32 bits are kept
 
 
+def test_op5_learning_leaves_held_out_texts_alone():
+    """Only learning texts are gone over while the decisions on shares learn; the steps are those of all entries, cut at the same places."""
+    from skeinlog.llm import mixlm
+
+    rng = np.random.default_rng(5)
+    n = 3 * mixlm.STEP + 17
+    doc = np.sort(rng.integers(0, 300, n))
+    learn = rng.random(300) < 0.6
+    of, logp = rng.integers(0, 40, n), -10 * rng.random(n)
+    count = np.where(rng.random(n) < 0.4, (of * rng.random(n)).astype(np.int64), 0)
+    first = [np.tile([0.1, 0.0, -1.0], (mixlm.LEVELS, 1))] * 4
+    learner = mixlm.Learner(first)
+    got = mixlm.blend(first[0], logp, count, of, doc, learner, mixlm.PAIR, learn[doc])
+    np.testing.assert_array_equal(got[~learn[doc]], logp[~learn[doc]])
+
+    weights, bend = first[0].copy(), np.zeros((mixlm.LEVELS, 3, 3))  # by plain loops
+    at = np.flatnonzero(of > 0)
+    before: dict[int, list[bool]] = {}
+    for a in range(0, len(at), mixlm.STEP):
+        slope, seen, w = np.zeros((mixlm.LEVELS, 3)), 0, weights.copy()
+        for t in at[a : a + mixlm.STEP].tolist():
+            if not learn[doc[t]]:
+                continue
+            past = before.setdefault(doc[t], [])
+            y, ones = bool(count[t] > 0), sum(past)
+            x = np.array([math.log((ones + 0.5) / (len(past) - ones + 0.5)), 0 if not past else 1 if past[-1] else -1, 1])
+            g = min(int(math.log2(of[t])), mixlm.LEVELS - 1)
+            p = 1 / (1 + math.exp(-x @ w[g]))
+            yes = p * count[t] / of[t]
+            both = yes + (1 - p) * math.exp(logp[t])
+            assert math.isclose(got[t], math.log(both), rel_tol=1e-4, abs_tol=1e-4)
+            slope[g] += (yes / both - p) * x
+            bend[g] += 4 * p * (1 - p) * np.outer(x, x) * (seen % 4 == 0)
+            seen += 1
+            past.append(y)
+        weights += np.clip(np.linalg.solve(bend + mixlm.HOLD * np.eye(3), slope[..., None])[..., 0], -1, 1)
+    np.testing.assert_allclose(learner.weights[mixlm.PAIR], weights, rtol=1e-3, atol=1e-4)
+
+
+def test_op5_words_of_a_shard():
+    """A shard's totals are summed over lists of words that stay in Arrow; the end is the empty word, alone or among others."""
+    from skeinlog.llm import mixlm
+
+    for words in ([b""], [b"a", b"", b"b\xc3\xa4"], [b"", b"a"], [b"long" * 1000, b""]):
+        joined = b"\n".join(words)
+        assert mixlm.words_of(len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)).to_pylist() == words
+    rows = [(0, [b"a", b""], [3, 2]), (1, [b"", b"new", b"a"], [1, 0, 4]), (2, [b""], [5])]
+    pack = lambda words: len(b"\n".join(words)).to_bytes(8, "little") + pa.compress(b"\n".join(words), codec="zstd", asbytes=True)
+    batch = pa.RecordBatch.from_pylist([{"block": b, "shard": 0, "kind": 0, "data": pack(w), "counts": mixlm.pack(np.array(n, np.uint32))} for b, w, n in rows])
+    out = [r for b in mixlm._totals(5)([batch]) for r in b.to_pylist()]
+    assert [mixlm.unpack(r["data"]).tolist() for r in out if r["kind"] == 0] == [[7, 8], [8, 0, 7], [8]]
+    assert {r["shard"]: r["n"] for r in out if r["kind"] == mixlm.STATS and r["shard"] < 0} == {-1: 2, -2: 0}
+    assert [(r["data"], r["n"]) for r in out if r["kind"] == mixlm.FREQUENT] == [(b"", 8), (b"a", 7)]
+
+
 def test_op5_adapts_in_short_texts(monkeypatch):
     """A symbol that a text repeats gets cheaper within its first 160 tokens; the texts beside don't matter."""
     from skeinlog.llm import mixlm
